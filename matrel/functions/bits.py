@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Multipliers and offset of the 32-bit column hash.
@@ -29,19 +29,26 @@ def times32(x: Column, factor: int) -> Column:
     return (low + high * lng(0x10000)).bitwiseAND(lng(MASK32))
 
 
-def hash32(x: Column) -> Column:
-    """32-bit mixer: add the offset, then xor-shift and multiply twice."""
-    y = (x + lng(HASH_OFFSET)).bitwiseAND(lng(MASK32))
+def with_hash32(df: DataFrame, source: Column, name: str) -> DataFrame:
+    """Add the 32-bit hash of ``source``: add the offset, then xor-shift and multiply twice.
+
+    Every step reads the previous one twice, so the steps are separate
+    projections; one nested expression would grow exponentially.
+    """
+    h = F.col(name)
+    folded = lambda shift: h.bitwiseXOR(F.shiftrightunsigned(h, shift))
+    df = df.withColumn(name, (source + lng(HASH_OFFSET)).bitwiseAND(lng(MASK32)))
     for shift, factor in zip((16, 13), HASH_MULTIPLIERS):
-        y = times32(y.bitwiseXOR(F.shiftrightunsigned(y, shift)), factor)
-    return y.bitwiseXOR(F.shiftrightunsigned(y, 16))
+        df = df.withColumn(name, folded(shift)).withColumn(name, times32(h, factor))
+    return df.withColumn(name, folded(16))
 
 
 def bit_length(x: Column) -> Column:
-    """Position of the highest set bit plus one; 0 for 0."""
-    for shift in (1, 2, 4, 8, 16, 32):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    return F.bit_count(x)
+    """Position of the highest set bit plus one; 0 for 0. Exact below 2^45.
+
+    The half keeps the logarithm clear of the powers of two.
+    """
+    return (F.floor(F.log2(x + F.lit(0.5))) + 1).cast("int")
 
 
 def floor_log2(x: Column) -> Column:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matrel.functions.bits import bit_length, hash32, lng
+from matrel.functions.bits import bit_length, lng, with_hash32
 
 
 @dataclass(frozen=True)
@@ -35,36 +35,45 @@ HLL32 = SketchKind(registers=32, index_bits=5, alpha=0.697)
 EMPTY_REMAINDER_RANK = 31
 
 
-def register_of(c: Column, kind: SketchKind) -> Column:
-    return hash32(c).bitwiseAND(lng(kind.registers - 1)).cast("int")
+def with_rank(df: DataFrame, c: Column, kind: SketchKind) -> DataFrame:
+    """Add ``register`` and ``rank`` of column index ``c``.
 
+    The low hash bits name the register; the rank is the number of leading
+    zeros of the rest, plus one.
+    """
+    rest = F.shiftrightunsigned(F.col("_h"), kind.index_bits)
+    rank = F.when(F.col("_rest") == 0, EMPTY_REMAINDER_RANK).otherwise(
+        F.lit(kind.rank_bits + 1) - bit_length(F.col("_rest")))
+    return (
+        with_hash32(df, c, "_h")
+        .withColumn("register", F.col("_h").bitwiseAND(lng(kind.registers - 1)).cast("int"))
+        .withColumn("_rest", rest)
+        .withColumn("rank", rank.cast("int"))
+        .drop("_h", "_rest")
+    )
 
-def rank_of(c: Column, kind: SketchKind) -> Column:
-    """Leading-zero rank of the hash bits above the register index."""
-    rest = F.shiftrightunsigned(hash32(c), kind.index_bits)
-    rank = F.lit(kind.rank_bits + 1) - bit_length(rest)
-    return F.when(rest == 0, EMPTY_REMAINDER_RANK).otherwise(rank).cast("int")
 
-
-def build(register: str, rank: str, kind: SketchKind) -> list[Column]:
+def build(kind: SketchKind) -> list[Column]:
     """Aggregates that turn (register, rank) rows into a sketch."""
     return [
-        F.coalesce(F.max(F.when(F.col(register) == i, F.col(rank))), F.lit(0)).alias(name)
+        F.expr(f"coalesce(max(CASE WHEN register = {i} THEN rank END), 0) AS {name}")
         for i, name in enumerate(kind.columns)
     ]
 
 
 def merge(kind: SketchKind) -> list[Column]:
-    return [F.max(name).alias(name) for name in kind.columns]
+    return [F.expr(f"max({name}) AS {name}") for name in kind.columns]
 
 
 def estimate(upper: Column, kind: SketchKind) -> Column:
-    """Distinct count of a sketch, clamped to [1, upper]; 0 when upper is 0."""
+    """Distinct count of a sketch, clamped to [1, upper]; 0 when upper is 0.
+
+    The raw estimate is alpha m^2 / sum 2^-rank; small ones with empty
+    registers use linear counting. Halves round up.
+    """
     m = kind.registers
-    inverse = sum((F.pow(F.lit(2.0), -F.col(h)) for h in kind.columns[1:]),
-                  F.pow(F.lit(2.0), -F.col(kind.columns[0])))
-    zeros = sum((F.when(F.col(h) == 0, 1).otherwise(0) for h in kind.columns[1:]),
-                F.when(F.col(kind.columns[0]) == 0, 1).otherwise(0))
+    inverse = F.expr(" + ".join(f"pow(2.0D, -{h})" for h in kind.columns))
+    zeros = F.expr(" + ".join(f"CAST({h} = 0 AS INT)" for h in kind.columns))
     raw = F.lit(kind.alpha * m * m) / inverse
     linear = F.lit(float(m)) * F.ln(F.lit(float(m)) / F.nullif(zeros, F.lit(0)))
     value = F.when((raw <= 2.5 * m) & (zeros > 0), linear).otherwise(raw)

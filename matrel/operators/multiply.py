@@ -18,6 +18,7 @@ from matrel.operators.joins import JoinShape, Limits, join_shape, spread_join
 from matrel.operators.tiles import tile_products
 
 DENSE_ROUTE = 3
+HEAVY_PRODUCTS = 4096      # fixed value: default threshold of heavy rows
 MODES = ("merge", "dense", "adaptive", "auto")
 MODE_ALIASES = {
     "merge_only": "merge", "dense_only": "dense", "row_adaptive": "adaptive",
@@ -74,6 +75,18 @@ def heavy_multiply(a: DataFrame, b: DataFrame, keep_structural: bool = False,
     return summed(parts, keep_structural)
 
 
+def direct_multiply(a: DataFrame, b: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Output rows of A rows with a single entry: a scaled row of B, nothing to sum."""
+    single = a.groupBy("r").agg(F.count(F.lit(1)).alias("runs"), F.max("c").alias("c"), F.max("v").alias("v"))
+    entries = single.filter(F.col("runs") == 1).drop("runs")
+    return partial_products(entries, b, limits).withColumnRenamed("p", "v").filter(F.col("v") != 0)
+
+
+def heavy_rows(features: DataFrame, products: int = HEAVY_PRODUCTS) -> DataFrame:
+    """Rows whose products reach the heavy threshold; 0 turns the class off."""
+    return features.filter(F.lit(products > 0) & (F.col("runs") > 1) & (F.col("products") >= products))
+
+
 def split_rows(a: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Entries of DENSE rows and of all other rows."""
     dense = routes.filter(F.col("route") == DENSE_ROUTE).select(F.col("r").alias("dense_r"))

@@ -29,7 +29,7 @@ def b_row_stats(b: DataFrame) -> DataFrame:
 
 
 def feature_bin(products, lower_bound):
-    product_bin = F.least(lng(PRODUCT_BINS - 1), int_div(floor_log2(products).cast("long"), 3))
+    product_bin = F.least(lng(PRODUCT_BINS - 1), int_div(floor_log2(F.least(products, lng(1 << 40))).cast("long"), 3))
     reuse_bin = sum((F.when(lower_bound >= edge, 1).otherwise(0) for edge in REUSE_EDGES), F.lit(0))
     return (product_bin * REUSE_BINS + reuse_bin).cast("int")
 
@@ -63,20 +63,14 @@ def row_features(a: Matrix, b: Matrix | None = None, limits: Limits = Limits())
 
 def row_sketches(entries: DataFrame, kind: SketchKind) -> DataFrame:
     """Column sketch of every non-empty row, one row (bk, h0 ..)."""
-    ranked = entries.select(
-        F.col("r").alias("bk"),
-        sketch.register_of(F.col("c"), kind).alias("register"),
-        sketch.rank_of(F.col("c"), kind).alias("rank"),
-    )
-    return ranked.groupBy("bk").agg(*sketch.build("register", "rank", kind))
+    ranked = sketch.with_rank(entries.select(F.col("r").alias("bk"), "c"), F.col("c"), kind)
+    return ranked.groupBy("bk").agg(*sketch.build(kind))
 
 
 def sketch_rows(entries: DataFrame, kind: SketchKind) -> DataFrame:
     """Long form of the row sketches: (r, register, rank) for touched registers."""
-    return entries.select(
-        "r", sketch.register_of(F.col("c"), kind).alias("register"),
-        sketch.rank_of(F.col("c"), kind).alias("rank"),
-    ).groupBy("r", "register").agg(F.max("rank").alias("rank"))
+    ranked = sketch.with_rank(entries.select("r", "c"), F.col("c"), kind)
+    return ranked.groupBy("r", "register").agg(F.max("rank").alias("rank"))
 
 
 def output_estimates(entries: DataFrame, b: Matrix, kind: SketchKind, limits: Limits = Limits()) -> DataFrame:
@@ -106,16 +100,12 @@ def detailed_features(a: Matrix, kind: SketchKind = HLL32, width: int = MERGE_WI
     are log_width(longest row) levels.
     """
     spark = a.entries.sparkSession
-    banked = a.entries.select(
-        F.col("r").alias("bk"), F.col("c"),
-        sketch.register_of(F.col("c"), kind).alias("register"),
-        sketch.rank_of(F.col("c"), kind).alias("rank"),
-        bank(F.col("c")).alias("bank"),
-    )
+    banked = sketch.with_rank(
+        a.entries.select(F.col("r").alias("bk"), "c", bank(F.col("c")).alias("bank")), F.col("c"), kind)
     load_names = [f"load{i}" for i in range(BANKS)]
     leaves = banked.groupBy("bk").agg(
         F.count(F.lit(1)).alias("run"), F.max("c").alias("last_c"),
-        *sketch.build("register", "rank", kind),
+        *sketch.build(kind),
         *[F.count(F.when(F.col("bank") == i, 1)).alias(name) for i, name in enumerate(load_names)],
     )
     placed = rank_within(a.entries.select("r", "c"), "c", a.n, ("r",))

@@ -1,0 +1,168 @@
+"""The cost model: linear row costs, batch credits and the global mode."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from matrel.functions.bits import ceil_div, lng
+from matrel.functions.bits import BANKS
+from matrel.operators.batches import aligned_batches
+from matrel.plans.light import DENSE, DIRECT, EMPTY, MERGE
+from matrel.plans.policy import CostDecision
+
+
+@dataclass(frozen=True)
+class CostModel:
+    """Fitted cycle coefficients and margins."""
+
+    producer_per_product: float = 0.0
+    output_per_nnz: float = 0.0
+    merge_per_product: float = 3.0462016513
+    merge_max_run: float = 26.5310879406
+    merge_critical: float = 0.0
+    merge_materialized: float = 10.7640965427
+    merge_final_copy: float = 0.0
+    merge_transaction: float = 198.423883492
+    dense_per_product: float = 0.5624710195
+    dense_round_ii: float = 0.0
+    dense_bank_replay: float = 8.7627963542
+    dense_extract_per_nnz: float = 3.3399254595
+    dense_row_setup: float = 1376.45516912
+    adaptive_row_control: float = 2.0
+    row_dense_margin: float = 1.07
+    global_adaptive_margin: float = 1.03
+    dense_min_runs: int = 17
+    dense_short_row_penalty: float = 1.08
+    dense_capacity: int = 65536
+
+    def credit(self, batch: int) -> float:
+        return (batch - 1) * self.dense_row_setup
+
+
+MERGE_INPUTS = ("products", "max_run", "merge_critical", "merge_materialized", "unique_columns", "merge_transactions")
+DENSE_INPUTS = ("products", "groups", "bank_replays", "unique_columns")
+
+
+def merge_cost(model: CostModel, of=F.col):
+    return (
+        F.lit(model.merge_per_product) * of("products") + F.lit(model.merge_max_run) * of("max_run")
+        + F.lit(model.merge_critical) * of("merge_critical")
+        + F.lit(model.merge_materialized) * of("merge_materialized")
+        + F.lit(model.merge_final_copy) * of("unique_columns")
+        + F.lit(model.merge_transaction) * of("merge_transactions")
+    )
+
+
+def dense_cost(model: CostModel, of=F.col, rows=None):
+    return (
+        F.lit(model.dense_row_setup) * (F.lit(1.0) if rows is None else rows)
+        + F.lit(model.dense_per_product) * of("products")
+        + F.lit(model.dense_round_ii) * (of("groups") + of("bank_replays"))
+        + F.lit(model.dense_bank_replay) * of("bank_replays")
+        + F.lit(model.dense_extract_per_nnz) * of("unique_columns")
+    )
+
+
+def row_costs(features: DataFrame, n: int, model: CostModel = CostModel()) -> DataFrame:
+    """Features with merge_cost, dense_cost and route; costs are 0 for rows of one run."""
+    grouped = features.withColumn("groups", ceil_div(F.col("products"), BANKS))
+    multi = F.col("runs") > 1
+    costed = grouped.withColumn("merge_cost", F.when(multi, merge_cost(model)).otherwise(0.0)).withColumn(
+        "dense_cost", F.when(multi, dense_cost(model)).otherwise(0.0))
+    dense = (
+        F.lit(n <= model.dense_capacity) & (F.col("runs") >= model.dense_min_runs)
+        & (F.col("dense_cost") * model.row_dense_margin < F.col("merge_cost"))
+    )
+    route = (
+        F.when((F.col("products") == 0) | (F.col("runs") == 0), EMPTY)
+        .when(F.col("runs") == 1, DIRECT).when(dense, DENSE).otherwise(MERGE)
+    )
+    return costed.withColumn("route", route)
+
+
+def mode_cycles(costs: DataFrame, n: int, model: CostModel = CostModel()) -> DataFrame:
+    """One row: predicted cycles of the three modes and the chosen mode.
+
+    The costs are linear, so the integer features are summed per route and the
+    coefficients applied once. The totals do not depend on summation order.
+    """
+    multi = F.col("route") >= MERGE
+    routes = {"m": F.col("route") == MERGE, "d": F.col("route") == DENSE}
+    names = sorted(set(MERGE_INPUTS + DENSE_INPUTS))
+    total = lambda name, test: F.coalesce(F.sum(F.when(test, F.col(name))), lng(0))
+    sums = costs.agg(
+        *[total(name, test).alias(f"{tag}_{name}") for tag, test in routes.items() for name in names],
+        *[F.count(F.when(test, 1)).alias(f"{tag}_rows") for tag, test in routes.items()],
+        F.count(F.when(F.col("route") == EMPTY, 1)).alias("empty_rows"),
+        F.count(F.when(F.col("route") == DIRECT, 1)).alias("direct_rows"),
+        total("products", F.col("route") == DIRECT).alias("direct_products"),
+        total("unique_columns", F.col("route") == DIRECT).alias("direct_unique"),
+        F.sum(F.when(F.col("route") > EMPTY, F.col("products")).otherwise(lng(0))).alias("product_sum"),
+        F.sum(F.when(F.col("route") > EMPTY, F.col("products").cast("double") * F.col("products")).otherwise(0.0)).alias("square_sum"),
+    )
+    batches = lambda test, tag: aligned_batches(costs.select("r", test.alias("eligible")), n).select(
+        *[F.col(x).alias(f"{tag}_{x}") for x in ("hexes", "octs", "quads", "pairs")])
+    row = (
+        sums.crossJoin(F.broadcast(batches(multi, "only")))                  # one row each
+        .crossJoin(F.broadcast(batches(F.col("route") == DENSE, "mixed")))
+    )
+    part = lambda *tags: (lambda name: sum((F.col(f"{t}_{name}") for t in tags[1:]), F.col(f"{tags[0]}_{name}")))
+    common = (
+        F.lit(model.producer_per_product) * (part("m", "d")("products") + F.col("direct_products"))
+        + F.lit(model.output_per_nnz) * (part("m", "d")("unique_columns") + F.col("direct_unique"))
+    )
+    saved = lambda tag: sum(
+        (F.lit(model.credit(size)) * F.col(f"{tag}_{name}")
+         for name, size in (("octs", 8), ("quads", 4), ("pairs", 2))),
+        F.lit(model.credit(16)) * F.col(f"{tag}_hexes"))
+    routed = F.col("m_rows") + F.col("d_rows")
+    active = routed + F.col("direct_rows")
+    infinite = F.lit(float("inf"))
+    legal = F.lit(n <= model.dense_capacity)
+    mean = F.col("product_sum") / active
+    variance = F.greatest(F.lit(0.0), F.col("square_sum") / active - mean * mean)
+    out = (
+        row.withColumn("merge_cycles", common + merge_cost(model, part("m", "d")))
+        .withColumn("dense_cycles", F.when(legal, F.greatest(
+            F.lit(0.0), common + dense_cost(model, part("m", "d"), routed) - saved("only"))).otherwise(infinite))
+        .withColumn("adaptive_cycles", F.when(legal, F.greatest(
+            F.lit(0.0), common + merge_cost(model, part("m")) + dense_cost(model, part("d"), F.col("d_rows"))
+            + F.lit(model.adaptive_row_control) * routed - saved("mixed"))).otherwise(infinite))
+        .withColumn("product_cv", F.when((active == 0) | (F.col("product_sum") == 0), 0.0).otherwise(F.sqrt(variance) / mean))
+    )
+    best = F.least("merge_cycles", "dense_cycles")
+    calibrated = (
+        F.lit(8192 < n <= 16384) & (F.col("product_cv") >= 0.50)
+        & (F.col("m_rows").cast("double") / F.nullif(routed, lng(0))).between(0.05, 0.20)
+        & (F.col("adaptive_cycles") <= 1.15 * F.col("dense_cycles"))
+    )
+    clears = F.col("adaptive_cycles") * model.global_adaptive_margin < best
+    gain = F.when(calibrated, 0.10 * F.col("dense_cycles")).otherwise(
+        F.greatest(F.lit(0.0), best - F.col("adaptive_cycles")))
+    mode = (
+        F.when(calibrated | clears, "ADAPTIVE")
+        .when(F.col("dense_cycles") < F.col("merge_cycles"), "DENSE_ONLY").otherwise("MERGE_ONLY")
+    )
+    reason = (
+        F.when(calibrated, "rowrr-oct-high-cv-calibration")
+        .when(clears, "adaptive-clears-global-margin").otherwise("best-only-or-insufficient-margin")
+    )
+    decided = out.withColumn("mode", mode).withColumn("reason", reason).withColumn("gain_cycles", gain)
+    return decided.select(
+        "empty_rows", "direct_rows", F.col("m_rows").alias("merge_rows"), F.col("d_rows").alias("dense_rows"),
+        F.col("m_products").alias("merge_products"), F.col("d_products").alias("dense_products"),
+        "only_hexes", "only_octs", "only_quads", "only_pairs",
+        "mixed_hexes", "mixed_octs", "mixed_quads", "mixed_pairs",
+        "merge_cycles", "dense_cycles",
+        F.when(calibrated, 0.90 * F.col("dense_cycles")).otherwise(F.col("adaptive_cycles")).alias("adaptive_cycles"),
+        "product_cv", "gain_cycles", "mode", "reason",
+    )
+
+
+def decision_of(cycles: DataFrame) -> CostDecision:
+    row = cycles.first()
+    return CostDecision(row["mode"], row["merge_cycles"], row["dense_cycles"], row["adaptive_cycles"],
+                        row["reason"], row["gain_cycles"])

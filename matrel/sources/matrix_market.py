@@ -1,5 +1,6 @@
 """Matrix Market coordinate files, parsed by Spark line by line.
 
+A path may be one file or a folder of parts in name order, header part first.
 The driver sees the header and the size line only. Rules: the header must name
 ``matrix coordinate``; ``pattern`` entries are 1; symmetric, hermitian and skew
 files are mirrored; blank and ``%`` lines are skipped anywhere; indices are
@@ -23,8 +24,10 @@ class MatrixMarketError(ValueError):
 
 def _first(lines: DataFrame) -> str | None:
     """First line by file position; the first split is tried before a full scan."""
-    for part in (lines.filter(F.col("at") == 0), lines):
-        row = part.orderBy("at", "line_id").select("value").first()
+    first_file = min(lines.inputFiles(), default=None)
+    at_start = (F.col("at") == 0) & (F.col("file").endswith((first_file or "").rsplit("/", 1)[-1]))
+    for part in (lines.filter(at_start), lines):
+        row = part.orderBy("file", "at", "line_id").select("value").first()
         if row:
             return row["value"]
     return None
@@ -32,12 +35,12 @@ def _first(lines: DataFrame) -> str | None:
 
 def _only_first(lines: DataFrame, wanted: int) -> DataFrame:
     """The first ``wanted`` lines in file order, numbered split by split."""
-    per_split = lines.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)     # one row per file split
+    per_split = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)     # one row per file split
     offsets = per_split.withColumn("offset", F.coalesce(F.sum("n").over(before), lng(0))).drop("n")
-    inside = Window.partitionBy("at").orderBy("line_id")                        # one file split
+    inside = Window.partitionBy("file", "at").orderBy("line_id")                # one file split
     return (
-        lines.join(offsets, "at")
+        lines.join(offsets, ["file", "at"])
         .withColumn("number", F.col("offset") + F.row_number().over(inside))
         .filter(F.col("number") <= wanted)
     )
@@ -45,7 +48,8 @@ def _only_first(lines: DataFrame, wanted: int) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, path: str) -> Matrix:
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_block_start").alias("at"),
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("line_id"),
     )
     header = (_first(lines) or "").lower()
