@@ -444,5 +444,5 @@ def oracle_sql() -> dict[str, str]:
         "verify_cells": f"WITH {o.matrix('sign')}, {o.verify()} SELECT r, c, want, got, allowed, ok FROM cmp",
         "verify_report": f"WITH {o.matrix('sign')}, {o.verify()} {o.REPORT}",
         "verify_sample": f"""WITH {o.matrix('cust')}, {o.verify(
-            f"ref.r IN (SELECT range * ({o.N} - 1) // {verify.SAMPLE_ROWS - 1} FROM range({verify.SAMPLE_ROWS}))")} {o.REPORT}""",
+            f"r IN (SELECT range * ({o.N} - 1) // {verify.SAMPLE_ROWS - 1} FROM range({verify.SAMPLE_ROWS}))")} {o.REPORT}""",
     }
