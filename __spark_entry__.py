@@ -251,6 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spgemm_dense_sparse": _on("cust", lambda m: mul.multiply(m, mode="dense")),
         "spgemm_adaptive": _on("blend", lambda m: mul.multiply(m, mode="adaptive")),
         "spgemm_auto": _on("blend", lambda m: mul.multiply(m)),
+        "spgemm_auto_by_work": _on("supp", lambda m: mul.multiply(m, calibrated=False)),
         "spgemm_trade": _on("trade", lambda m: mul.multiply(m, mode="dense")),
         "spgemm_structural": _on("sign", lambda m: mul.multiply(m, mode="merge", keep_structural=True)),
         "spgemm_structural_dense": _on("sign", lambda m: mul.multiply(m, mode="dense", keep_structural=True)),
@@ -347,6 +348,7 @@ def oracle_sql() -> dict[str, str]:
         "spgemm_dense_sparse": o.product("cust"),
         "spgemm_adaptive": o.product("blend"),
         "spgemm_auto": o.product("blend"),
+        "spgemm_auto_by_work": o.product("supp"),
         "spgemm_trade": o.product("trade"),
         "spgemm_structural": o.product("sign", ""),
         "spgemm_structural_dense": o.product("sign", ""),

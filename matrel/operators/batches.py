@@ -22,7 +22,7 @@ ISLAND_MIN_ROWS = 4
 ISLAND_MIN_PRODUCTS = 512
 
 
-def _cut_after(rows: DataFrame, weight: str, budget: int, total: int) -> DataFrame:
+def _cut_after(rows: DataFrame, n: int, weight: str, budget: int, total: int, limits: Limits) -> DataFrame:
     """First row where a batch started at ``r`` would exceed one budget: (r, cut).
 
     A batch started at prefix p ends at the first row whose inclusive prefix
@@ -41,7 +41,7 @@ def _cut_after(rows: DataFrame, weight: str, budget: int, total: int) -> DataFra
     answers = answered.filter(F.col("limit").isNotNull() & F.col("nearest").isNotNull()).select(
         "limit", (-F.col("nearest")).alias("found"))
     marked = rows.select("r", limit.alias("limit_of_r"))
-    cut = lookup(marked, "limit_of_r", ["r"], answers, "limit")
+    cut = lookup(marked, "limit_of_r", ["r"], answers, "limit", limits, n)
     return cut.select("r", F.greatest(F.col("found"), F.col("r") + 1).alias("cut"))
 
 
@@ -63,7 +63,7 @@ def row_batches(rows: DataFrame, n: int, budgets: dict[str, int], even: bool = F
     cuts = None
     for weight in weights:
         if totals[weight] > budgets[weight]:
-            found = _cut_after(table, weight, budgets[weight], totals[weight])
+            found = _cut_after(table, n, weight, budgets[weight], totals[weight], limits)
             cuts = found if cuts is None else cuts.unionByName(found)
     starts = rows.sparkSession.range(1).select(F.col("id").alias("s"))
     jumps = None
@@ -74,13 +74,13 @@ def row_batches(rows: DataFrame, n: int, budgets: dict[str, int], even: bool = F
         jumps = stage(after.filter(F.col("to") < n))      # rows without a jump close the last batch
         leap, known = jumps, 1
         while True:
-            fresh = lookup(leap, "r", ["r"], starts, "s", limits).select(F.col("to").alias("s"))
+            fresh = lookup(leap, "r", ["r"], starts, "s", limits, n).select(F.col("to").alias("s"))
             starts = stage(starts.unionByName(fresh).distinct())
             count, known = starts.count(), known * 2
             if count < known:
                 break
             on = leap.select(F.col("r").alias("from"), F.col("to").alias("via"))
-            leap = stage(lookup(on, "via", ["from"], leap, "r", limits).select(F.col("from").alias("r"), "to"))
+            leap = stage(lookup(on, "via", ["from"], leap, "r", limits, n).select(F.col("from").alias("r"), "to"))
     bounds = starts.withColumnRenamed("s", "begin_row")
     if jumps is None:
         bounds = bounds.withColumn("end_row", lng(n))

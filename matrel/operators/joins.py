@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from matrel.functions.bits import lng
 from matrel.session import stage
 
-BROADCAST_ROWS = 1_000_000     # a broadcast side is counted first and never larger
+BROADCAST_VALUES = 4_000_000   # 8-byte values of a broadcast side: counted first, never more
 PAIRS_PER_CELL = 1 << 22       # a key with more pairs than this is cut
 PAIRS_PER_TASK = 1 << 25       # sizing of the join's partitions
 MAX_CUT = 1 << 16              # bounds the copies made of one row
@@ -26,10 +26,14 @@ MAX_PARTITIONS = 200_000
 
 @dataclass(frozen=True)
 class Limits:
-    broadcast_rows: int = BROADCAST_ROWS
+    broadcast_values: int = BROADCAST_VALUES
     pairs_per_cell: int = PAIRS_PER_CELL
     pairs_per_task: int = PAIRS_PER_TASK
 
+    def broadcasts(self, rows: int, df: DataFrame) -> bool:
+        """Whether ``rows`` rows of ``df`` are few enough to send to every executor."""
+        return rows * len(df.columns) <= self.broadcast_values
+
 
 @dataclass(frozen=True)
 class JoinShape:
@@ -98,8 +102,8 @@ def _salted(df: DataFrame, key: str, identity: list[str], cuts: DataFrame, own:
 def spread_join(left: DataFrame, left_key: str, left_identity: list[str],
                 right: DataFrame, right_key: str, right_identity: list[str],
                 shape: JoinShape | None = None, limits: Limits = Limits(),
-                spread_by: list[str] | None = None) -> DataFrame:
-    """Inner join on one key each; column names of the sides must not overlap.
+                spread_by: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """Join on one key each; column names of the sides must not overlap.
 
     * right side counted and small: broadcast it, and spread the left rows by
       ``spread_by`` over enough tasks for the pairs they produce;
@@ -110,24 +114,33 @@ def spread_join(left: DataFrame, left_key: str, left_identity: list[str],
     shape = shape or join_shape(left, left_key, right, right_key, limits)
     parts = shape.partitions(limits)
     on: Column = F.col(left_key) == F.col(right_key)
-    if shape.right_rows <= limits.broadcast_rows:
+    if limits.broadcasts(shape.right_rows, right):
         if spread_by:
             left = left.repartition(parts, *spread_by)
-        return left.join(F.broadcast(right), on)
+        return left.join(F.broadcast(right), on, how)
     if shape.hot_keys == 0:
-        return left.repartition(parts, left_key).join(right.repartition(parts, right_key), on)
+        return left.repartition(parts, left_key).join(right.repartition(parts, right_key), on, how)
     cuts = stage(cuts_of(shape, limits))
-    if shape.hot_keys <= limits.broadcast_rows:
+    if limits.broadcasts(shape.hot_keys, cuts):
         cuts = F.broadcast(cuts)
     lhs = _salted(left, left_key, left_identity, cuts, "cut_l", "cut_r", ("salt_l", "salt_r"))
     rhs = _salted(right, right_key, right_identity, cuts, "cut_r", "cut_l", ("salt_r2", "salt_l2"))
     lhs = lhs.repartition(parts, left_key, "salt_l", "salt_r")
     rhs = rhs.repartition(parts, right_key, "salt_l2", "salt_r2")
     on = on & (F.col("salt_l") == F.col("salt_l2")) & (F.col("salt_r") == F.col("salt_r2"))
-    return lhs.join(rhs, on).drop("salt_l", "salt_r", "salt_l2", "salt_r2")
+    return lhs.join(rhs, on, how).drop("salt_l", "salt_r", "salt_l2", "salt_r2")
 
 
 def lookup(left: DataFrame, left_key: str, left_identity: list[str], right: DataFrame,
-           right_key: str, limits: Limits = Limits()) -> DataFrame:
-    """Inner join with a side that has one row per key (statistics, routes)."""
-    return spread_join(left, left_key, left_identity, right, right_key, [right_key], limits=limits)
+           right_key: str, limits: Limits = Limits(), right_bound: int | None = None,
+           how: str = "inner") -> DataFrame:
+    """Join with a side that has one row per key (statistics, sketches, routes).
+
+    ``right_bound`` is a proven upper bound of its rows, usually the matrix
+    size; where it is small the side is broadcast without being counted.
+    A left join is safe: only keys of both sides are cut, and a side with one
+    row per key is never cut itself.
+    """
+    if right_bound is not None and limits.broadcasts(right_bound, right):
+        return left.join(F.broadcast(right), F.col(left_key) == F.col(right_key), how)
+    return spread_join(left, left_key, left_identity, right, right_key, [right_key], limits=limits, how=how)

@@ -33,14 +33,32 @@ def resolve_mode(mode: str) -> str:
     return mode
 
 
+def row_spread(a: DataFrame, shape: JoinShape, limits: Limits) -> list[str]:
+    """How to spread A over the tasks of a broadcast join.
+
+    Whole rows, so that the sum needs no second shuffle, unless one row holds a
+    large share of a task's entries; then single entries.
+    """
+    longest = a.groupBy("r").count().agg(F.max("count")).first()[0] or 0
+    share = shape.left_rows / shape.partitions(limits)
+    return ["r"] if longest * 4 <= share else ["r", "k"]
+
+
+def joined_entries(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
+                   shape: JoinShape | None = None) -> DataFrame:
+    """(r, k, c, p): one row per pair of A(i,k) and B(k,j)."""
+    left = a.select("r", F.col("c").alias("k"), F.col("v").alias("va"))
+    right = b.select(F.col("r").alias("kb"), "c", F.col("v").alias("vb"))
+    shape = shape or join_shape(left, "k", right, "kb", limits)
+    by = row_spread(a, shape, limits) if limits.broadcasts(shape.right_rows, right) else None
+    joined = spread_join(left, "k", ["r", "k"], right, "kb", ["c"], shape, limits, spread_by=by)
+    return joined.select("r", "k", "c", (F.col("va") * F.col("vb")).alias("p"))
+
+
 def partial_products(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
                      shape: JoinShape | None = None) -> DataFrame:
     """One row (r, c, p) per pair of A(i,k) and B(k,j)."""
-    left = a.select("r", F.col("c").alias("k"), F.col("v").alias("va"))
-    right = b.select(F.col("r").alias("kb"), "c", F.col("v").alias("vb"))
-    joined = spread_join(left, "k", ["r", "k"], right, "kb", ["c"], shape, limits,
-                         spread_by=["r", "k"])
-    return joined.select("r", "c", (F.col("va") * F.col("vb")).alias("p"))
+    return joined_entries(a, b, limits, shape).select("r", "c", "p")
 
 
 def summed(products: DataFrame, keep_structural: bool, value: str = "p") -> DataFrame:
@@ -65,13 +83,8 @@ def heavy_multiply(a: DataFrame, b: DataFrame, keep_structural: bool = False,
 
     The residue splits the sum of a single very hot cell over ``ways`` groups.
     """
-    left = a.select("r", F.col("c").alias("k"), F.col("v").alias("va"))
-    right = b.select(F.col("r").alias("kb"), "c", F.col("v").alias("vb"))
-    joined = spread_join(left, "k", ["r", "k"], right, "kb", ["c"], limits=limits,
-                         spread_by=["r", "k"])
-    parts = joined.groupBy("r", "c", F.pmod("k", lng(ways)).alias("way")).agg(
-        F.sum(F.col("va") * F.col("vb")).alias("p")
-    )
+    joined = joined_entries(a, b, limits)
+    parts = joined.groupBy("r", "c", F.pmod("k", lng(ways)).alias("way")).agg(F.sum("p").alias("p"))
     return summed(parts, keep_structural)
 
 
@@ -90,7 +103,7 @@ def heavy_rows(features: DataFrame, products: int = HEAVY_PRODUCTS) -> DataFrame
 def split_rows(a: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Entries of DENSE rows and of all other rows."""
     dense = routes.filter(F.col("route") == DENSE_ROUTE).select(F.col("r").alias("dense_r"))
-    if dense.count() <= limits.broadcast_rows:
+    if limits.broadcasts(dense.count(), dense):
         dense = F.broadcast(dense)
     on = F.col("r") == F.col("dense_r")
     return a.join(dense, on, "left_semi"), a.join(dense, on, "left_anti")
@@ -108,12 +121,14 @@ def adaptive_multiply(a: DataFrame, b: DataFrame, routes: DataFrame, keep_struct
 def multiply(a: Matrix, b: Matrix | None = None, mode: str = "auto", keep_structural: bool = False,
              rows: tuple[int | None, int | None] = (None, None),
              columns: tuple[int | None, int | None] = (None, None),
-             routes: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
+             routes: DataFrame | None = None, calibrated: bool = True,
+             limits: Limits = Limits()) -> DataFrame:
     """C = A x B (B defaults to A) as (r, c, v).
 
     ``rows`` and ``columns`` restrict the output to half-open ranges; both
     filters reach the scans of A and B. ``routes`` overrides the row routes of
-    ``adaptive``; ``auto`` takes the mode the row policy names.
+    ``adaptive``; ``auto`` takes the mode the row policy names, or with
+    ``calibrated=False`` the mode the routed work itself suggests.
     """
     mode = resolve_mode(mode)
     b = b or a
@@ -122,7 +137,7 @@ def multiply(a: Matrix, b: Matrix | None = None, mode: str = "auto", keep_struct
 
         plan = choose_routes(a, b, limits=limits)
         routes = plan.routes
-        mode = plan.policy_mode() if mode == "auto" else mode
+        mode = plan.mode(calibrated) if mode == "auto" else mode
     left = a.entries.filter(between("r", *rows))
     right = b.entries.filter(between("c", *columns))
     if mode == "merge":

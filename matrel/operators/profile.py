@@ -43,17 +43,16 @@ def row_features(a: Matrix, b: Matrix | None = None, limits: Limits = Limits())
     b = b or a
     entries = a.entries.select("r", F.col("c").alias("k"))
     stats = b_row_stats(b.entries)
-    touched = lookup(entries, "k", ["r"], stats, "bk", limits).groupBy("r").agg(
-        F.sum("run").alias("products"), F.max("run").alias("max_run"),
+    touched = lookup(entries, "k", ["r"], stats, "bk", limits, b.n, "left").groupBy("r").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("run").alias("products"), F.max("run").alias("max_run"),
         F.min("first_c").alias("min_col"), F.max("last_c").alias("max_col"),
     )
-    runs = a.entries.groupBy("r").agg(F.count(F.lit(1)).alias("runs"))
     zero = lambda name: F.coalesce(F.col(name), lng(0)).alias(name)
     span = F.when(F.col("products") > 0, F.col("max_col") - F.col("min_col") + 1).otherwise(lng(0))
     bound = F.when(F.col("products") > 0, F.col("products").cast("double") / F.col("span")).otherwise(0.0)
     return (
         all_rows(a.entries.sparkSession, a.n)
-        .join(runs, "r", "left").join(touched, "r", "left")
+        .join(touched, "r", "left")
         .select("r", *[zero(x) for x in ("runs", "products", "max_run", "min_col", "max_col")])
         .withColumn("span", span)
         .withColumn("lower_bound", bound)
@@ -62,9 +61,9 @@ def row_features(a: Matrix, b: Matrix | None = None, limits: Limits = Limits())
 
 
 def row_sketches(entries: DataFrame, kind: SketchKind) -> DataFrame:
-    """Column sketch of every non-empty row, one row (bk, h0 ..)."""
+    """Length and column sketch of every non-empty row: (bk, run, h0 ..)."""
     ranked = sketch.with_rank(entries.select(F.col("r").alias("bk"), "c"), F.col("c"), kind)
-    return ranked.groupBy("bk").agg(*sketch.build(kind))
+    return ranked.groupBy("bk").agg(F.count(F.lit(1)).alias("run"), *sketch.build(kind))
 
 
 def sketch_rows(entries: DataFrame, kind: SketchKind) -> DataFrame:
@@ -75,10 +74,8 @@ def sketch_rows(entries: DataFrame, kind: SketchKind) -> DataFrame:
 
 def output_estimates(entries: DataFrame, b: Matrix, kind: SketchKind, limits: Limits = Limits()) -> DataFrame:
     """Estimated distinct output columns of each row of ``entries``: (r, products, estimate)."""
-    leaves = row_sketches(b.entries, kind).join(
-        b_row_stats(b.entries).select("bk", "run"), "bk"
-    )
-    joined = lookup(entries.select("r", F.col("c").alias("k")), "k", ["r"], leaves, "bk", limits)
+    leaves = row_sketches(b.entries, kind)
+    joined = lookup(entries.select("r", F.col("c").alias("k")), "k", ["r"], leaves, "bk", limits, b.n)
     merged = joined.groupBy("r").agg(F.sum("run").alias("products"), *sketch.merge(kind))
     upper = F.least(F.col("products"), lng(b.n))
     return merged.select("r", "products", sketch.estimate(upper, kind).alias("estimate"))
@@ -109,13 +106,11 @@ def detailed_features(a: Matrix, kind: SketchKind = HLL32, width: int = MERGE_WI
         *[F.count(F.when(F.col("bank") == i, 1)).alias(name) for i, name in enumerate(load_names)],
     )
     placed = rank_within(a.entries.select("r", "c"), "c", a.n, ("r",))
-    # Runs of empty B rows are part of the tree, so they keep their position.
-    # Every row of B gets a leaf; the lookup then keeps the hot columns spread.
-    all_leaves = stage(
-        all_rows(spark, a.n).withColumnRenamed("r", "bk").join(leaves, "bk", "left")
-        .na.fill(0)
+    # Runs of empty B rows are part of the tree: they stay, with an empty sketch.
+    joined = stage(
+        lookup(placed.withColumnRenamed("c", "k"), "k", ["r"], leaves, "bk", limits, a.n, "left")
+        .drop("bk").na.fill(0)
     )
-    joined = stage(lookup(placed.withColumnRenamed("c", "k"), "k", ["r"], all_leaves, "bk", limits))
     totals = joined.groupBy("r").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("run").alias("products"),
         F.max("run").alias("max_run"), F.max("last_c").alias("max_col"),

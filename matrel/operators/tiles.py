@@ -24,7 +24,6 @@ TILE_COLUMNS = 1024
 OPEN_WORKSPACES = 128      # 64 x 1024 doubles each
 EXPANSION = 1 << 21        # products expanded at once
 MATMUL_FACTOR = 64         # products per cell-step at which a matrix product wins
-MAX_TILES_BROADCAST = 20_000
 PAIRS_PER_CELL = 1 << 10
 
 
@@ -136,8 +135,10 @@ def tile_products(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
     """Partial sums (r, c, v) of A x B; one cell may appear once per task."""
     left = tiles(a, TILE_ROWS, TILE_INNER, "i", "k")
     right = tiles(b, TILE_INNER, TILE_COLUMNS, "kb", "j")
+    # Tiles are weighed by their entries (two values each), not by their number.
+    small = limits.broadcasts(2 * b.count(), right.select("kb"))
     tile_limits = Limits(
-        broadcast_rows=min(MAX_TILES_BROADCAST, limits.broadcast_rows // TILE_INNER),
+        broadcast_values=limits.broadcast_values if small else 0,
         pairs_per_cell=min(PAIRS_PER_CELL, limits.pairs_per_cell),
         pairs_per_task=PAIRS_PER_CELL,
     )

@@ -11,9 +11,9 @@ from matrel.operators import multiply as mul
 from matrel.operators.joins import Limits, cuts_of, join_shape
 from matrel.operators.tiles import Workspaces
 
-SHUFFLED = Limits(broadcast_rows=0, pairs_per_cell=10**9)
-CUT = Limits(broadcast_rows=0, pairs_per_cell=16)
-CUT_BROADCAST_KEYS = Limits(broadcast_rows=5, pairs_per_cell=16)
+SHUFFLED = Limits(broadcast_values=0, pairs_per_cell=10**9)
+CUT = Limits(broadcast_values=0, pairs_per_cell=16)
+CUT_BROADCAST_KEYS = Limits(broadcast_values=9, pairs_per_cell=16)
 
 
 def random_cells(seed, n, count, hot=None):
@@ -97,7 +97,7 @@ def test_non_finite_values_stay_local(matrix_of):
 def test_cells_cover_every_pair_once(spark):
     left = spark.range(1000).select(F.lit(5).cast("long").alias("k"), F.col("id").alias("a"))
     right = spark.range(300).select(F.lit(5).cast("long").alias("k2"), F.col("id").alias("b"))
-    limits = Limits(broadcast_rows=0, pairs_per_cell=400)
+    limits = Limits(broadcast_values=0, pairs_per_cell=400)
     shape = join_shape(left, "k", right, "k2", limits)
     cut = cuts_of(shape, limits).first()
     assert (shape.pairs, shape.hot_keys, cut["cut_l"], cut["cut_r"]) == (300_000, 1, 50, 15)

@@ -71,7 +71,7 @@ def test_route_word_round_trip(spark):
 
 
 @pytest.mark.parametrize("kind", [HLL16, HLL32])
-@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_rows=0, pairs_per_cell=16)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_values=0, pairs_per_cell=16)])
 def test_estimates(matrix_of, kind, limits):
     rng = random.Random(3)
     cells = {(rng.randrange(40), rng.randrange(40)) for _ in range(300)}
