@@ -75,8 +75,7 @@ def _raw_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def _heavy(m) -> DataFrame:
     """Products of the rows over the heavy threshold, by the two-stage sum."""
-    rows = mul.heavy_rows(profile.row_features(m)).select(F.col("r").alias("heavy_r"))
-    heavy = stage(m.entries.join(rows, F.col("r") == F.col("heavy_r"), "left_semi"))
+    heavy = stage(mul.keep_rows(m.entries, mul.heavy_rows(profile.row_features(m))))
     return mul.heavy_multiply(heavy, m.entries)
 
 
@@ -178,6 +177,15 @@ def _violations(m) -> DataFrame:
     return csr.violations(cells, m.n)
 
 
+def _empty_shard_split(m) -> DataFrame:
+    rows, _ = _shard_tasks(m)
+    return windows.empty_shard_split(rows, profile.row_features(m).select("r", F.lit(3).alias("route")), m.n, min_tasks=8)
+
+
+def _island_summary(m) -> DataFrame:
+    return batches.island_summary(batches.merge_islands(_routes(m).routes.withColumn("tasks", F.col("runs")), m.n))
+
+
 def _sampled(m) -> DataFrame:
     plan = _routes(m)
     return plan.samples.select("r", "bin", "products", "estimate", "ratio")
@@ -314,6 +322,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _routes(m).routes.withColumn("tasks", F.col("runs")), m.n)),
         "merge_islands_mix": _on("mix", lambda m: batches.merge_islands(
             _routes(m).routes.withColumn("tasks", F.col("runs")), m.n)),
+        "island_summary": _on("mix", _island_summary),
+        "empty_shard_split": _on("cust", _empty_shard_split),
+        "fragment_tail": _on("mix", lambda m: windows.fragment_tail(_fragments(m), 16)),
         # compressed rows, fingerprints and verification
         "csr_rowptr": _on("label", lambda m: csr.row_pointers(m.entries, m.n)),
         "csr_rows": _on("part", _csr_rows),
@@ -434,6 +445,15 @@ def oracle_sql() -> dict[str, str]:
             "ws", SLICE_BUDGET, False),
         "merge_islands": o.islands("label"),
         "merge_islands_mix": o.islands("mix"),
+        "island_summary": f"""WITH x AS ({o.islands('mix')}) SELECT count(CASE WHEN selected THEN 1 END) AS batches,
+            CAST(coalesce(sum(CASE WHEN selected THEN n_rows END), 0) AS BIGINT) AS selected_rows,
+            CAST(coalesce(sum(CASE WHEN selected THEN products END), 0) AS BIGINT) AS selected_products,
+            CAST(coalesce(sum(CASE WHEN NOT selected THEN n_rows END), 0) AS BIGINT) AS fallback_rows FROM x""",
+        "empty_shard_split": f"""{window('cust')}, e AS (SELECT r, w FROM tk GROUP BY r, w HAVING count(*) >= 8 AND count(DISTINCT shard) < 8)
+            SELECT w, CASE WHEN min(r) + 1 < {o.N} THEN min(r) + 1 ELSE min(r) END AS split_row FROM e GROUP BY w""",
+        "fragment_tail": f"""{frag('mix')} SELECT logical_row, base, span, CAST(route AS INTEGER) AS route, runs, products,
+            CAST(source_mask AS INTEGER) AS source_mask, capacity_locked, words_upper, route_word FROM fg
+            ORDER BY logical_row DESC, base DESC LIMIT 16""",
         "csr_rowptr": f"""WITH {o.matrix('label')}, rows_ AS ({o.ROWS}), l AS (SELECT r, count(*) AS n FROM a GROUP BY r),
             x AS (SELECT rows_.r, coalesce(n, 0) AS row_nnz FROM rows_ LEFT JOIN l ON rows_.r = l.r)
             SELECT r, row_nnz, CAST(sum(row_nnz) OVER (ORDER BY r) - row_nnz AS BIGINT) AS begin_at,

@@ -119,6 +119,17 @@ def merge_islands(rows: DataFrame, n: int) -> DataFrame:
     )
 
 
+def island_summary(islands: DataFrame) -> DataFrame:
+    """One row: selected batches, their rows and products, and the rows left to the fallback."""
+    chosen = F.col("selected")
+    return islands.agg(
+        F.count(F.when(chosen, 1)).alias("batches"),
+        F.coalesce(F.sum(F.when(chosen, F.col("n_rows"))), lng(0)).alias("selected_rows"),
+        F.coalesce(F.sum(F.when(chosen, F.col("products"))), lng(0)).alias("selected_products"),
+        F.coalesce(F.sum(F.when(~chosen, F.col("n_rows"))), lng(0)).alias("fallback_rows"),
+    )
+
+
 def aligned_batches(rows: DataFrame, n: int) -> DataFrame:
     """Aligned full groups of eligible rows: (hexes, octs, quads, pairs), largest first.
 

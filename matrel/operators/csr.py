@@ -71,9 +71,3 @@ def descending_steps(packed: DataFrame) -> DataFrame:
     return packed.filter(F.expr(
         "exists(sequence(1, size(columns) - 1), i -> size(columns) > 1 AND i > 0 AND columns[i] <= columns[i - 1])"
         " AND size(columns) > 1"))
-
-
-def row_counts(entries: DataFrame) -> DataFrame:
-    """Each entry with the number of entries of its row (row_nnz), by a join, not a row window."""
-    counts = entries.groupBy("r").agg(F.count(F.lit(1)).alias("row_nnz"))
-    return entries.join(counts, "r")

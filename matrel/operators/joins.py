@@ -138,9 +138,10 @@ def lookup(left: DataFrame, left_key: str, left_identity: list[str], right: Data
 
     ``right_bound`` is a proven upper bound of its rows, usually the matrix
     size; where it is small the side is broadcast without being counted.
-    A left join is safe: only keys of both sides are cut, and a side with one
-    row per key is never cut itself.
+    Left, semi and anti joins are safe: only keys of both sides are cut, and a
+    side with one row per key is never cut itself.
     """
-    if right_bound is not None and limits.broadcasts(right_bound, right):
+    rows = right.count() if right_bound is None else right_bound
+    if limits.broadcasts(rows, right):
         return left.join(F.broadcast(right), F.col(left_key) == F.col(right_key), how)
     return spread_join(left, left_key, left_identity, right, right_key, [right_key], limits=limits, how=how)

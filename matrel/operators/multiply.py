@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from matrel.functions.bits import lng
 from matrel.operators.coo import Matrix, between
-from matrel.operators.joins import JoinShape, Limits, join_shape, spread_join
+from matrel.operators.joins import JoinShape, Limits, join_shape, lookup, spread_join
 from matrel.operators.tiles import tile_products
 
 DENSE_ROUTE = 3
@@ -100,13 +100,16 @@ def heavy_rows(features: DataFrame, products: int = HEAVY_PRODUCTS) -> DataFrame
     return features.filter(F.lit(products > 0) & (F.col("runs") > 1) & (F.col("products") >= products))
 
 
+def keep_rows(a: DataFrame, rows: DataFrame, limits: Limits = Limits(), how: str = "left_semi") -> DataFrame:
+    """Entries of A whose row is (or, with ``left_anti``, is not) among the unique rows of ``rows``."""
+    keys = rows.select(F.col("r").alias("kept_r"))
+    return lookup(a, "r", ["c"], keys, "kept_r", limits, how=how)
+
+
 def split_rows(a: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Entries of DENSE rows and of all other rows."""
-    dense = routes.filter(F.col("route") == DENSE_ROUTE).select(F.col("r").alias("dense_r"))
-    if limits.broadcasts(dense.count(), dense):
-        dense = F.broadcast(dense)
-    on = F.col("r") == F.col("dense_r")
-    return a.join(dense, on, "left_semi"), a.join(dense, on, "left_anti")
+    dense = routes.filter(F.col("route") == DENSE_ROUTE)
+    return keep_rows(a, dense, limits), keep_rows(a, dense, limits, "left_anti")
 
 
 def adaptive_multiply(a: DataFrame, b: DataFrame, routes: DataFrame, keep_structural: bool = False,

@@ -40,6 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path below the shared folder; all paths of an application share one parent."""
+    return f"{shared_folder(spark)}/matrel-{spark.sparkContext.applicationId}/{kind}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -47,6 +52,6 @@ def stage(df: DataFrame) -> DataFrame:
     the optimizer the true size of the table.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage/{uuid.uuid4().hex}"
+    path = new_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

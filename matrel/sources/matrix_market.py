@@ -71,40 +71,32 @@ def read_matrix_market(spark: SparkSession, path: str) -> Matrix:
     if rows == 0 or rows != columns or rows > MAX_INDEX:
         raise MatrixMarketError("a square matrix with 32-bit indices is required")
 
-    counts = body.agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count(F.when(F.col("value") == size_line, 1)).alias("like_size_line"),
-    ).first()
-    if counts["lines"] - 1 < entries:
-        raise MatrixMarketError("truncated matrix")
-    repeats = counts["like_size_line"] - 1
-    if counts["lines"] - 1 > entries:
-        body = _only_first(body, entries + 1)
-        repeats = body.filter(F.col("value") == size_line).count() - 1
-
     # An entry may spell the same text as the size line. Equal lines are equal
-    # entries, so all copies are replaced by one entry weighted by repeats.
+    # entries, so all copies are replaced by one entry weighted by their number.
     token = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     value = F.lit(1.0) if pattern else F.try_element_at(token, F.lit(3)).try_cast("double")
-    weight = F.when(F.col("value") == size_line, float(repeats)).otherwise(1.0)
-    parsed = (
-        (body if repeats else body.filter(F.col("value") != size_line)).select(
-            F.try_element_at(token, F.lit(1)).try_cast("long").alias("r1"),
-            F.try_element_at(token, F.lit(2)).try_cast("long").alias("c1"),
-            value.alias("v"), weight.alias("w"), (F.col("value") == size_line).alias("like"),
-        )
+    r1 = F.try_element_at(token, F.lit(1)).try_cast("long")
+    c1 = F.try_element_at(token, F.lit(2)).try_cast("long")
+    like = F.col("value") == size_line
+    sound = r1.between(1, rows) & c1.between(1, rows) & value.isNotNull()
+    checks = (
+        F.count(F.lit(1)).alias("lines"), F.count(F.when(like, 1)).alias("like"),
+        F.count(F.when(~like & ~F.coalesce(sound, F.lit(False)), 1)).alias("bad"),
+        F.count(F.when(like & ~F.coalesce(sound, F.lit(False)), 1)).alias("bad_like"),
     )
-    bad = parsed.filter(
-        F.col("r1").isNull() | F.col("c1").isNull() | F.col("v").isNull()
-        | ~F.col("r1").between(1, rows) | ~F.col("c1").between(1, rows)
-    )
-    if bad.limit(1).count():
+    seen = body.agg(*checks).first()
+    if seen["lines"] - 1 < entries:
+        raise MatrixMarketError("truncated matrix")
+    if seen["lines"] - 1 > entries:
+        body = _only_first(body, entries + 1)
+        seen = body.agg(*checks).first()
+    repeats = seen["like"] - 1
+    if seen["bad"] or (repeats and seen["bad_like"]):
         raise MatrixMarketError("invalid Matrix Market entry")
-    once = parsed.filter(~F.col("like")).select(
-        (F.col("r1") - 1).alias("r"), (F.col("c1") - 1).alias("c"), "v")
+    parsed = body.select((r1 - 1).alias("r"), (c1 - 1).alias("c"), value.alias("v"), like.alias("like"))
+    once = parsed.filter(~F.col("like")).drop("like")
     if repeats:
-        again = parsed.filter("like").limit(1).select(
-            (F.col("r1") - 1).alias("r"), (F.col("c1") - 1).alias("c"), (F.col("v") * F.col("w")).alias("v"))
+        again = parsed.filter("like").limit(1).select("r", "c", (F.col("v") * float(repeats)).alias("v"))
         once = once.unionByName(again)
     expanded = mirrored(once, -1 if skew else 1) if mirror else once
     return Matrix(canonical(expanded), rows)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrel.operators.coo import Matrix, canonical, shifted
-from matrel.session import shared_folder, stage
+from matrel.session import new_path, stage
 
 
 class Tables:
@@ -108,6 +106,6 @@ class Tables:
         head = self.spark.createDataFrame(
             [(f"%%MatrixMarket matrix coordinate real {symmetry}\n% derived\n\n{matrix.n} {matrix.n} {entries.count()}",)],
             "value string").coalesce(1)
-        path = f"{shared_folder(self.spark)}/text/{uuid.uuid4().hex}"
+        path = new_path(self.spark, "text")
         head.unionAll(lines).write.text(path)        # the header stays in the first part
         return path

@@ -126,3 +126,25 @@ def test_every_query_has_sql():
     import __spark_entry__ as entry
 
     assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+def test_command_line(spark, tables, tmp_path, capsys):
+    from matrel.__main__ import arguments, run
+
+    path = tables.market_text("cust")
+    assert run(spark, arguments([path, "--dry-run"])) == 0
+    out, product = str(tmp_path / "csv"), str(tmp_path / "c")
+    assert run(spark, arguments([path, "--reps", "1", "--out", out, "--product", product, "--rows", "0", "50"])) == 0
+    rows = spark.read.option("header", True).csv(out)
+    assert rows.filter("batch = 'TOTAL'").count() == 3
+    stored = spark.read.parquet(product)
+    assert stored.exceptAll(multiply(tables.matrix("cust"), mode="merge", rows=(0, 50))).count() == 0
+    assert "'mismatches': 0" in capsys.readouterr().out
+
+
+def test_empty_shard_split(spark):
+    tasks = [(3, 0, i, i % 7) for i in range(14)] + [(2, 0, i, i % 8) for i in range(16)] + [(9, 0, i, 0) for i in range(20)]
+    df = spark.createDataFrame(tasks, "r long, w long, task long, shard int")
+    routes = spark.range(10).select(F.col("id").alias("r"), F.when(F.col("id") == 3, 2).otherwise(3).alias("route"))
+    assert [tuple(x) for x in windows.empty_shard_split(df, routes, 10, 10).collect()] == [(0, 9)]
+    assert [tuple(x) for x in windows.empty_shard_split(df, routes, 10, 10, every_route=True).collect()] == [(0, 4)]
