@@ -209,8 +209,7 @@ def _column_window(m) -> DataFrame:
 def _product_check(m) -> DataFrame:
     """Products from the row features against products of the join."""
     counted = profile.row_features(m).agg(F.sum("products").alias("profiled_products"))
-    joined = mul.partial_products(m.entries, m.entries).agg(F.count(F.lit(1)).alias("joined_products"))
-    return counted.crossJoin(F.broadcast(joined))      # one row each
+    return counted.withColumn("joined_products", F.lit(mul.partial_products(m.entries, m.entries).count()).cast("long"))
 
 
 def _features(m) -> DataFrame:

@@ -52,7 +52,7 @@ def main() -> None:
         "row_batches": lambda: batches.row_batches(rows, mix.n, {"products": 5_000_000, "runs": 60_000}, even=True),
         "csr_rowptr": lambda: csr.row_pointers(part.entries, part.n),
         "row_fingerprint": lambda: csr.fingerprints(part.entries),
-        "verify_cust": lambda: verify.report(verify.verify(cust, mul.multiply(cust, mode="dense"))),
+        "verify_cust": lambda: verify.report(verify.verify(cust, mul.multiply(cust, mode="merge"))),
     }
     for name, build in runs.items():
         consume(build())

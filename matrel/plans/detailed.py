@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrel.functions.bits import ceil_div, lng
-from matrel.functions.bits import BANKS
-from matrel.operators.batches import aligned_batches
+from matrel.functions.bits import BANKS, ceil_div, int_div, lng
+from matrel.operators.batches import GROUP_ROWS, GROUP_SIZES, member_bit, with_group_counts
 from matrel.plans.light import DENSE, DIRECT, EMPTY, MERGE
 from matrel.plans.policy import CostDecision
 
@@ -89,26 +88,28 @@ def mode_cycles(costs: DataFrame, n: int, model: CostModel = CostModel()) -> Dat
     The costs are linear, so the integer features are summed per route and the
     coefficients applied once. The totals do not depend on summation order.
     """
-    multi = F.col("route") >= MERGE
     routes = {"m": F.col("route") == MERGE, "d": F.col("route") == DENSE}
     names = sorted(set(MERGE_INPUTS + DENSE_INPUTS))
     total = lambda name, test: F.coalesce(F.sum(F.when(test, F.col(name))), lng(0))
-    sums = costs.agg(
-        *[total(name, test).alias(f"{tag}_{name}") for tag, test in routes.items() for name in names],
-        *[F.count(F.when(test, 1)).alias(f"{tag}_rows") for tag, test in routes.items()],
-        F.count(F.when(F.col("route") == EMPTY, 1)).alias("empty_rows"),
-        F.count(F.when(F.col("route") == DIRECT, 1)).alias("direct_rows"),
-        total("products", F.col("route") == DIRECT).alias("direct_products"),
-        total("unique_columns", F.col("route") == DIRECT).alias("direct_unique"),
-        F.sum(F.when(F.col("route") > EMPTY, F.col("products")).otherwise(lng(0))).alias("product_sum"),
-        F.sum(F.when(F.col("route") > EMPTY, F.col("products").cast("double") * F.col("products")).otherwise(0.0)).alias("square_sum"),
-    )
-    batches = lambda test, tag: aligned_batches(costs.select("r", test.alias("eligible")), n).select(
-        *[F.col(x).alias(f"{tag}_{x}") for x in ("hexes", "octs", "quads", "pairs")])
-    row = (
-        sums.crossJoin(F.broadcast(batches(multi, "only")))                  # one row each
-        .crossJoin(F.broadcast(batches(F.col("route") == DENSE, "mixed")))
-    )
+    rows = lambda test: F.count(F.when(test, 1))
+    active = F.col("route") > EMPTY
+    sums = {
+        **{f"{tag}_{name}": total(name, test) for tag, test in routes.items() for name in names},
+        **{f"{tag}_rows": rows(test) for tag, test in routes.items()},
+        "empty_rows": rows(F.col("route") == EMPTY), "direct_rows": rows(F.col("route") == DIRECT),
+        "direct_products": total("products", F.col("route") == DIRECT),
+        "direct_unique": total("unique_columns", F.col("route") == DIRECT),
+        "product_sum": total("products", active),
+        "square_sum": F.sum(F.when(active, F.col("products").cast("double") * F.col("products")).otherwise(0.0)),
+    }
+    groups = costs.groupBy(int_div(F.col("r"), GROUP_ROWS)).agg(
+        F.sum(member_bit(F.col("route") >= MERGE)).alias("only_mask"),
+        F.sum(member_bit(F.col("route") == DENSE)).alias("mixed_mask"),
+        *[value.alias(name) for name, value in sums.items()])
+    counted = with_group_counts(with_group_counts(groups, "only_mask", n, "only_"), "mixed_mask", n, "mixed_")
+    counts = [prefix + name for prefix in ("only_", "mixed_") for name in GROUP_SIZES]
+    row = counted.agg(*[F.coalesce(F.sum(name), lng(0)).alias(name) if name != "square_sum"
+                        else F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in [*sums, *counts]])
     part = lambda *tags: (lambda name: sum((F.col(f"{t}_{name}") for t in tags[1:]), F.col(f"{tags[0]}_{name}")))
     common = (
         F.lit(model.producer_per_product) * (part("m", "d")("products") + F.col("direct_products"))
