@@ -9,6 +9,7 @@ from matrel.functions.bits import with_hash32
 from matrel.operators.coo import all_rows
 from matrel.operators.ordered import BLOCK, running
 from matrel.operators.windows import window_of
+from matrel.session import stage
 
 # Fixed value: offset that separates the second fingerprint from the first.
 SECOND_HASH_OFFSET = 0x5BD1E995
@@ -18,7 +19,7 @@ def row_pointers(entries: DataFrame, n: int) -> DataFrame:
     """(r, row_nnz, begin_at, end_at) for every row, empty rows included."""
     lengths = entries.groupBy("r").agg(F.count(F.lit(1)).alias("row_nnz"))
     rows = all_rows(entries.sparkSession, n).join(lengths, "r", "left").na.fill(0, ["row_nnz"])
-    return running(rows, "r", n, {"begin_at": "row_nnz"}).select(
+    return running(stage(rows), "r", n, {"begin_at": "row_nnz"}).select(
         "r", "row_nnz", "begin_at", (F.col("begin_at") + F.col("row_nnz")).alias("end_at"))
 
 

@@ -131,6 +131,12 @@ def spread_join(left: DataFrame, left_key: str, left_identity: list[str],
     return lhs.join(rhs, on, how).drop("salt_l", "salt_r", "salt_l2", "salt_r2")
 
 
+def balanced(rows: DataFrame, group: str, shape: JoinShape, limits: Limits) -> bool:
+    """Whether no ``group`` of the left rows holds more than a quarter of one task's share."""
+    longest = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    return longest * 4 <= shape.left_rows / shape.partitions(limits)
+
+
 def lookup(left: DataFrame, left_key: str, left_identity: list[str], right: DataFrame,
            right_key: str, limits: Limits = Limits(), right_bound: int | None = None,
            how: str = "inner") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from matrel.functions.bits import lng
 from matrel.operators.coo import Matrix, between
-from matrel.operators.joins import JoinShape, Limits, join_shape, lookup, spread_join
+from matrel.operators.joins import JoinShape, Limits, balanced, join_shape, lookup, spread_join
 from matrel.operators.tiles import tile_products
 
 DENSE_ROUTE = 3
@@ -33,24 +33,20 @@ def resolve_mode(mode: str) -> str:
     return mode
 
 
-def row_spread(a: DataFrame, shape: JoinShape, limits: Limits) -> list[str]:
-    """How to spread A over the tasks of a broadcast join.
-
-    Whole rows, so that the sum needs no second shuffle, unless one row holds a
-    large share of a task's entries; then single entries.
-    """
-    longest = a.groupBy("r").count().agg(F.max("count")).first()[0] or 0
-    share = shape.left_rows / shape.partitions(limits)
-    return ["r"] if longest * 4 <= share else ["r", "k"]
-
-
 def joined_entries(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
                    shape: JoinShape | None = None) -> DataFrame:
-    """(r, k, c, p): one row per pair of A(i,k) and B(k,j)."""
+    """(r, k, c, p): one row per pair of A(i,k) and B(k,j).
+
+    For a broadcast join A is spread by whole rows, so that the sum needs no
+    second shuffle, unless one row holds a large share of a task's entries;
+    then it is spread by single entries.
+    """
     left = a.select("r", F.col("c").alias("k"), F.col("v").alias("va"))
     right = b.select(F.col("r").alias("kb"), "c", F.col("v").alias("vb"))
     shape = shape or join_shape(left, "k", right, "kb", limits)
-    by = row_spread(a, shape, limits) if limits.broadcasts(shape.right_rows, right) else None
+    by = None
+    if limits.broadcasts(shape.right_rows, right):
+        by = ["r"] if balanced(left, "r", shape, limits) else ["r", "k"]
     joined = spread_join(left, "k", ["r", "k"], right, "kb", ["c"], shape, limits, spread_by=by)
     return joined.select("r", "k", "c", (F.col("va") * F.col("vb")).alias("p"))
 

@@ -24,7 +24,7 @@ def running(df: DataFrame, order: str, extent: int, sums: dict[str, str] | None
     ``order`` is a LONG in [0, extent), unique inside each ``within`` group, so
     a block holds at most ``block`` rows however large its group is. ``sums``
     and ``maxima`` map new column names to value columns; the first row of a
-    group gets 0 and NULL.
+    group gets 0 and NULL. ``df`` is read twice, so a costly one should be staged.
     """
     sums, maxima = sums or {}, maxima or {}
     blocks = df.withColumn("_block", int_div(F.col(order), block))

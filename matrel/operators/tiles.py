@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrel.functions.bits import int_div, lng
-from matrel.operators.joins import Limits, join_shape, spread_join
+from matrel.operators.joins import Limits, balanced, join_shape, spread_join
 
 TILE_ROWS = 64
 TILE_INNER = 512
 TILE_COLUMNS = 1024
 OPEN_WORKSPACES = 128      # 64 x 1024 doubles each
 EXPANSION = 1 << 21        # products expanded at once
+FEW_PRODUCTS = 1 << 13     # below this, single additions beat a pass over the workspace
 MATMUL_FACTOR = 64         # products per cell-step at which a matrix product wins
 PAIRS_PER_CELL = 1 << 10
 
@@ -86,7 +87,11 @@ class Workspaces:
             inner = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
             at = starts[ak[source]] + inner
             cell = ax[source] * TILE_COLUMNS + bc[at]
-            values += np.bincount(cell, weights=av[source] * bv[at], minlength=size)
+            products = av[source] * bv[at]
+            if total < FEW_PRODUCTS:
+                np.add.at(values, cell, products)
+            else:
+                values += np.bincount(cell, weights=products, minlength=size)
             touched[cell] = True
             begin = end
 
@@ -145,8 +150,9 @@ def tile_products(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
     left_keys = a.select(int_div(F.col("r"), TILE_ROWS).alias("i"), int_div(F.col("c"), TILE_INNER).alias("k")).distinct()
     right_keys = b.select(int_div(F.col("r"), TILE_INNER).alias("kb"), int_div(F.col("c"), TILE_COLUMNS).alias("j")).distinct()
     shape = join_shape(left_keys, "k", right_keys, "kb", tile_limits)
-    pairs = spread_join(left, "k", ["i", "k"], right, "kb", ["j"], shape, tile_limits,
-                        spread_by=["i"])
+    # Whole row blocks per task keep few workspaces open; a long block is spread by tile.
+    by = ["i"] if small and balanced(left_keys, "i", shape, tile_limits) else ["i", "k"]
+    pairs = spread_join(left, "k", ["i", "k"], right, "kb", ["j"], shape, tile_limits, spread_by=by)
     # Spark sorts the pairs by output tile so that few workspaces are open at once.
     ordered = pairs.select("i", "j", "items_i", "items_kb").sortWithinPartitions("i", "j")
     return ordered.mapInArrow(add_pairs(keep_structural), "r long, c long, v double")
