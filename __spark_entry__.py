@@ -21,6 +21,14 @@ from matrel.session import stage  # noqa: E402
 from matrel.sources.matrix_market import read_matrix_market  # noqa: E402
 from matrel.sources.tables import Tables  # noqa: E402
 
+try:
+    import corpus_pipeline  # noqa: E402
+    from matrel.llm import queries as corpus  # noqa: E402
+except ImportError as error:
+    if error.name not in ("corpus_pipeline", "matrel.llm"):
+        raise
+    corpus_pipeline = corpus = None
+
 WIDTH = 256                      # column windows of the window queries
 PLANNED = ["part", "supp", "cust", "label", "mix", "trade"]
 SMALL_BUDGETS = {"products": 10_000, "runs": 700}
@@ -334,10 +342,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "verify_report": _on("sign", _verify_report),
         "verify_sample": _on("cust", _verify_sample),
     }
+    if corpus is not None:
+        q.update(corpus.queries())
+        q["pipeline"] = corpus_pipeline.run
     return q
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = matrix_sql()
+    if corpus is not None:
+        sql.update(corpus.oracle_sql())
+        if corpus_pipeline.ORACLE_SQL is not None:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
+
+
+def matrix_sql() -> dict[str, str]:
     o = oracle
     with_light = lambda name: f"WITH {o.matrix(name)}, {o.light()}"
     whole = light.LightOptions.whole_row()
