@@ -30,17 +30,25 @@ def batches_of(batch, *names):
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-class HashMemo(dict):
-    """Memo of a function of one key; ``trim`` empties it at the bound, so it never grows with the data."""
+class Memo(dict):
+    """Memo of a function of one key, in two generations of at most ``bound`` keys.
 
-    def __init__(self, function, bound: int = 200_000):
+    ``trim`` retires the young generation when it is full, so the memory never grows with the
+    data and frequent keys stay.
+    """
+
+    def __init__(self, function, bound: int = 400_000):
         super().__init__()
-        self.function, self.bound = function, bound
+        self.function, self.bound, self.old = function, bound, {}
 
     def __missing__(self, key):
-        value = self[key] = self.function(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.bound:
+            self.old = dict(self)
             self.clear()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matrel.llm import exact_dedup, sharding, url_filter
+from matrel.llm import bpe, exact_dedup, packing, sharding, url_filter
 from matrel.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": _documents(exact_dedup.exact_dedup),
+        "op2_bpe": _documents(bpe.round_trip),
+        "op4_packing": _documents(packing.pack_documents),
         "op9_sharding": _documents(sharding.interleave),
         "op10_url_filter": lambda spark, folder: url_filter.judge_urls(read_table(spark, folder, "pages")),
     }
