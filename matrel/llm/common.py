@@ -52,3 +52,22 @@ class Memo(dict):
         if len(self) > self.bound:
             self.old = dict(self)
             self.clear()
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot: int = 1000) -> DataFrame:
+    """Left join of ``groups`` (one row per key, null keys match nothing) that no hot key can slow down.
+
+    Keys whose ``size`` is at least 1/hot of ``total`` rows are at most ``hot`` keys: they are
+    broadcast, and their rows leave the shuffled join under keys of their own.
+    """
+    names, values = rows.columns, [c for c in groups.columns if c != key]
+    groups = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_g"))
+    is_hot = F.col(f"_g.{size}") * hot >= total
+    large = groups.filter(is_hot).withColumnsRenamed({"_g": "_g1", "_key": "_k1"})
+    rows = rows.join(F.broadcast(large), F.col(key) == F.col("_k1"), "left")
+    done = F.col("_k1").isNotNull() | F.col(key).isNull()
+    rows = rows.withColumn("_turn", F.when(done, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    small = groups.filter(~is_hot).select(F.col("_key").alias("_k2"), F.col("_g").alias("_g2"), F.lit(-1).cast("long").alias("_t2"))
+    rows = rows.join(small, (F.col(key) == F.col("_k2")) & (F.col("_turn") == F.col("_t2")), "left")
+    group = F.coalesce("_g1", "_g2")
+    return rows.select(*names, *[group[v].alias(v) for v in values])
