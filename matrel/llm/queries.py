@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matrel.llm import bpe, exact_dedup, near_dedup, packing, sharding, url_filter
+from matrel.llm import bpe, exact_dedup, hmm, near_dedup, packing, sharding, url_filter
 from matrel.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op2_bpe": _documents(bpe.round_trip),
         "op3_near_dedup": _documents(near_dedup.near_duplicates),
         "op4_packing": _documents(packing.pack_documents),
+        "op6_hmm_score": _documents(hmm.score_documents),
         "op9_sharding": _documents(sharding.interleave),
         "op10_url_filter": lambda spark, folder: url_filter.judge_urls(read_table(spark, folder, "pages")),
     }
