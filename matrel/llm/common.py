@@ -71,3 +71,25 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     rows = rows.join(small, (F.col(key) == F.col("_k2")) & (F.col("_turn") == F.col("_t2")), "left")
     group = F.coalesce("_g1", "_g2")
     return rows.select(*names, *[group[v].alias(v) for v in values])
+
+
+def text_key() -> Column:
+    """Tells texts of rows with one doc_id apart."""
+    return F.xxhash64(text_or_empty())
+
+
+def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """``docs`` with the lines at the listed places taken out; all columns stay, ``n_chars`` is counted anew.
+
+    ``removed`` holds ``doc_id, text_key, places`` (zero-based line numbers), once per key. A text
+    of no lines left is empty; a null text stays null.
+    """
+    removed = removed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("places").alias("_places"))
+    names = docs.columns
+    rows = docs.withColumn("_own", text_key())
+    rows = rows.join(removed, F.col("_own").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_places", i))
+    rows = rows.withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.concat_ws("\n", lines)))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return rows.select(*names)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matrel.llm import bpe, exact_dedup, hmm, near_dedup, packing, sharding, url_filter
+from matrel.llm import bpe, exact_dedup, hmm, line_dedup, near_dedup, packing, quality, sharding, url_filter
 from matrel.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +17,20 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: operator(read_table(spark, folder, "documents"))
 
 
+def _line_dedup(docs: DataFrame) -> DataFrame:
+    rows = line_dedup.repeated_lines(docs).drop("text_key")
+    return rows.withColumn("places", F.array_join(F.col("places").cast("array<string>"), ","))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": _documents(exact_dedup.exact_dedup),
         "op2_bpe": _documents(bpe.round_trip),
         "op3_near_dedup": _documents(near_dedup.near_duplicates),
         "op4_packing": _documents(packing.pack_documents),
+        "op5_quality_rules": _documents(quality.judged),
         "op6_hmm_score": _documents(hmm.score_documents),
+        "op8_line_dedup": _documents(_line_dedup),
         "op9_sharding": _documents(sharding.interleave),
         "op10_url_filter": lambda spark, folder: url_filter.judge_urls(read_table(spark, folder, "pages")),
     }
