@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrel.llm import bpe, exact_dedup, hmm, line_dedup, near_dedup, packing, quality, sharding, url_filter
+from matrel.llm import bpe, exact_dedup, hmm, line_dedup, near_dedup, packing, quality, secrets, sharding, url_filter
 from matrel.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op4_packing": _documents(packing.pack_documents),
         "op5_quality_rules": _documents(quality.judged),
         "op6_hmm_score": _documents(hmm.score_documents),
+        "op7_secret_scan": _documents(lambda docs: secrets.scan(docs).drop("text_key")),
         "op8_line_dedup": _documents(_line_dedup),
         "op9_sharding": _documents(sharding.interleave),
         "op10_url_filter": lambda spark, folder: url_filter.judge_urls(read_table(spark, folder, "pages")),
