@@ -6,10 +6,13 @@ coordinate k is the least value of the second one, shifted circularly by k. ``BA
 probability of (1 - 0.75 ** 5) ** 40 = 2e-5.
 
 Documents with equal shingle sets are one vertex from the start, so copies never meet in a
-bucket. Within a bucket the members are first compared with its smallest one alone, and the
-links found are joined to components. Pairs are then compared only where members of one bucket
-are still in different components: links inside a component cannot change the result, and no
-pair that could is left out. Every link is confirmed on the full sets.
+bucket. Within a bucket the members are first compared with its smallest one alone, then, where
+they are still in different components, with its most central one: the one with the smallest
+share of shingles that no other such document has. What is left is compared inside a join, unless
+the members are in one component (a link inside it cannot change the result) or the numbers of
+their shared shingles rule a link out: shingles held by one document alone are in no
+intersection. No pair that could change the result is left out, and every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matrel.llm.common import Memo, attach
@@ -141,6 +144,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
     return rows.filter(F.col("common") * 100 >= (na + nb - F.col("common")) * similar).select("a", "b")
 
 
+_MEMBER = ["node", "component", "size", "shared"]
+
+
+def _unsettled(hits: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    mixed = hits.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    return hits.join(mixed, "bucket", "left_semi")
+
+
+def _shared_sizes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, size, shared`` of the nodes: shingles, and those that another of the nodes has too."""
+    rows = sets.join(nodes, "node", "left_semi")
+    alone = rows.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return rows.join(alone, "node", "left").select(
+        "node", F.size("shingles").alias("size"), (F.size("shingles") - F.coalesce("alone", F.lit(0))).cast("int").alias("shared"))
+
+
+def _possible(similar: int) -> Column:
+    """Whether two members can be linked by their sizes and shared sizes."""
+    common = F.least("shared", "shared_2")
+    return common * 100 >= (F.col("size") + F.col("size_2") - common) * similar
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b"), F.col("component").alias("ca"), F.col("component_2").alias("cb"))
+
+
+def _late_links(hits: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """All links between members of one bucket in different components, found inside the join.
+
+    The pairs are not written out: sizes, the first bucket that both members share, and the full
+    sets are conditions of the join, so a row comes out for a link only.
+    """
+    own = hits.groupBy("node").agg(F.collect_set("bucket").alias("all"))
+    rows = stage(hits.select("bucket", *_MEMBER).join(own, "node").join(sets, "node"))
+    names = [*_MEMBER, "all", "shingles"]
+    others = rows.select(*[F.col(c).alias(f"{c}_2") for c in ("bucket", *names)])
+    once = F.element_at(F.array_intersect("all", "all_2"), 1) == F.col("bucket")
+    common = F.size(F.array_intersect("shingles", "shingles_2"))
+    linked = common * 100 >= (F.col("size") + F.col("size_2") - common) * similar
+    apart = F.col("component") < F.col("component_2")
+    return _ends(rows.join(others, (F.col("bucket") == F.col("bucket_2")) & apart & _possible(similar) & once & linked))
+
+
+def _merged(labels: DataFrame, hits: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels and hits after the links (a, b) of components (ca, cb) have joined them."""
+    moved = stage(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
+        F.col("node").alias("component"), F.col("component").alias("to")))
+    own = moved.select(F.col("component").alias("node"), "component")     # the least node of a component has no label yet
+    labels = labels.unionByName(own.join(labels, "node", "left_anti")).join(moved, "component", "left")
+    labels = stage(labels.select("node", F.coalesce("to", "component").alias("component")))
+    hits = hits.join(moved, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+    return labels, hits
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -163,23 +222,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR)
     sets = stage(_sets(texts.join(wanted, "doc_id", "left_semi"), words))
 
     star = hits.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    first = stage(components(confirmed(star, sets, similar)))
-    # members of one bucket that are still in different components
-    labelled = hits.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    labelled = stage(labelled.join(mixed, "bucket", "left_semi"))
-    x = labelled.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), (F.col("node") == F.col("lead")).alias("la"))
-    y = labelled.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("node") == F.col("lead")).alias("lb"))
-    rest = x.join(y, "bucket").filter("ca < cb AND NOT la AND NOT lb").select("a", "b").distinct()
-    late = confirmed(rest, sets, similar)
-    names = first.select("node", "component")
-    ends = late.join(names.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(
-        names.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    second = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    second = second.select(F.col("node").alias("component"), F.col("component").alias("final"))
-    labels = vertices.select("digest", "node", "copies").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labels = labels.join(second, "component", "left").select(
-        "digest", "copies", F.coalesce("final", "component").alias("component_id"))
+    labels = stage(components(confirmed(star, sets, similar)))
+    hits = stage(_unsettled(hits.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+    hits = stage(hits.join(_shared_sizes(sets, hits.select("node").distinct()), "node"))
+    possible = _possible(similar)
+    central = hits.groupBy("bucket").agg(F.max(F.struct(F.col("shared") / F.col("size"), F.struct("node", "component", "size", "shared").alias("m")))["m"].alias("m"))
+    central = central.select("bucket", *[F.col(f"m.{c}").alias(f"{c}_2") for c in _MEMBER])
+    pairs = hits.join(central, "bucket").filter((F.col("component") != F.col("component_2")) & possible)
+    pairs = stage(_ends(pairs).distinct())
+    found = confirmed(pairs.select("a", "b"), sets, similar).distinct().join(pairs, ["a", "b"])
+    labels, hits = _merged(labels, hits, found)
+    late = stage(_late_links(stage(_unsettled(hits)), sets, similar))
+    labels, _ = _merged(labels, hits, late)
+    labels = vertices.select("digest", "node", "copies").join(labels, "node", "left").select(
+        "digest", "copies", F.coalesce("component", "node").alias("component_id"))
     labels = stage(labels)
     total = signed.count()
     out = attach(signed.drop("buckets").withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))), labels, "digest", "copies", total)
