@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,24 +49,36 @@ def spelling(word: bytes) -> int:
 
 
 class Lexicon:
-    """Symbols and counts of the broadcast words, totals of the classes."""
+    """The broadcast words with their symbol, log10(count + 1) and log10 probability inside the class; class totals."""
 
     def __init__(self, symbols: dict[bytes, int], counts: dict[bytes, int], class_tokens: np.ndarray, class_words: np.ndarray):
-        self.symbols, self.counts = symbols, counts
         self.first = len(symbols) + 1                # symbols: end, own words, spelling classes
         self.size = self.first + SPELLINGS
         self.rest = np.log10(class_tokens + class_words + 1)
-
-    def entry(self, word: bytes) -> tuple[int, float, float, bool]:
-        """Symbol, log10(count + 1), log10 probability inside the class, whether the count is known here."""
-        symbol, count = self.symbols.get(word), self.counts.get(word)
-        if symbol is not None:
-            return symbol, float(np.log10(count + 1)), 0.0, True
-        kind = spelling(word)
-        if count is None:                            # the count comes by the join; its share is added there
-            return self.first + kind, 0.0, -float(self.rest[kind]), False
-        share = float(np.log10(count + 1))
-        return self.first + kind, share, share - float(self.rest[kind]), True
+        self.rows = {word: row for row, word in enumerate(counts)}
+        self.share = np.log10(np.fromiter(counts.values(), np.float64, len(counts)) + 1)
+        own = np.fromiter((symbols.get(word, 0) for word in counts), np.int64, len(counts))
+        kinds = np.fromiter((0 if symbols.get(word) else spelling(word) for word in counts), np.int64, len(counts))
+        self.symbol = np.where(own > 0, own, self.first + kinds).astype(np.uint16)
+        self.inside = np.where(own > 0, 0.0, self.share - self.rest[kinds])
+
+    def encode(self, words: list[bytes], kinds: Memo) -> tuple[np.ndarray, float, float, int, Counter]:
+        """Symbols, sums of both logarithms over the broadcast words, their number, and the other words.
+
+        The counts of the others come by the join, and so does their share of the probability
+        inside the class; only its denominator is taken here.
+        """
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        other = np.flatnonzero(rows < 0)
+        if not len(other):
+            return self.symbol[rows], float(self.share[rows].sum()), float(self.inside[rows].sum()), len(words), Counter()
+        here = rows[rows >= 0]
+        rare = [words[i] for i in other]
+        kind = np.fromiter(map(kinds.__getitem__, rare), np.int64, len(rare))
+        symbols = np.empty(len(words), np.uint16)
+        symbols[rows >= 0] = self.symbol[here]
+        symbols[other] = self.first + kind
+        return symbols, float(self.share[here].sum()), float(self.inside[here].sum() - self.rest[kind].sum()), len(here), Counter(rare)
 
 
 def _held_out(doc_id):
@@ -132,7 +145,7 @@ def _encoded(docs: DataFrame, lexicon) -> DataFrame:
     """Symbols of every document as 16-bit values, its known sums, and the words left to the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lexicon.value.entry)
+        encode, kinds = lexicon.value.encode, Memo(spelling, 200_000)
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
@@ -140,14 +153,12 @@ def _encoded(docs: DataFrame, lexicon) -> DataFrame:
                 rare_words, rare_counts, ends = [], [], [0]
                 for text in batch.column(2).cast(pa.binary()).to_pylist():
                     words = (text or b"").lower().split()
-                    entries = list(map(memo.__getitem__, words))
-                    memo.trim()
-                    symbols, shares, inside, known = zip(*entries) if entries else ((), (), (), ())
-                    rare = Counter(w for w, k in zip(words, known) if not k) if not all(known) else {}
+                    symbols, share, inside, known, rare = encode(words, kinds)
+                    kinds.trim()
                     rare_words += rare
-                    rare_counts += rare.values() if rare else ()
+                    rare_counts += rare.values()
                     ends.append(len(rare_words))
-                    values = (len(words), np.array(symbols + (END,), np.uint16).tobytes(), float(sum(shares)), float(sum(inside)), sum(known))
+                    values = (len(words), np.append(symbols, np.uint16(END)).tobytes(), share, inside, known)
                     for column, value in zip(out, values):
                         column.append(value)
                 types = [pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
@@ -165,7 +176,7 @@ class Model:
     """Start, transition and emission probabilities."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit.T, dtype=np.float64)   # symbol x state
+        self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit, dtype=np.float64)   # emit: state x symbol
 
     @classmethod
     def initial(cls, totals: np.ndarray, states: int = STATES, seed: int = SEED) -> Model:
@@ -183,35 +194,54 @@ class Model:
         start, move, emit = start + 0.1, move + 0.1, emit + 20 * prior[None, :]
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
-    def counts(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (start, moves, emissions) of windows in falling length; entries behind an end are ignored."""
-        n, width, k = len(windows), int(lengths[0]), len(self.start)
-        live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(width)]      # windows longer than t
-        seen = self.emit[windows[:, :width]]                                               # n x width x k
-        alpha = np.zeros((width, n, k))
-        scale = np.ones((width, n))
-        now = self.start * seen[:, 0]
-        for t in range(width):
-            m = live[t]
-            if t:
-                now = (alpha[t - 1, :m] @ self.move) * seen[:m, t]
-            total = now.sum(1)
-            alpha[t, :m] = now / total[:, None]
+    def _windows(self, parts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Parts in falling length as columns of a time x part table, with their order, lengths, and the parts alive at each time.
+
+        The last axis of every table runs over the parts, so each step is a few long vector
+        operations. Places behind an end hold the extra symbol ``V``.
+        """
+        lengths = np.array([len(p) for p in parts])
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        table = np.full((len(parts), width), self.emit.shape[1], dtype=np.int64)
+        for row, at in enumerate(order):
+            table[row, :lengths[row]] = parts[at]
+        alive = np.searchsorted(-lengths, -np.arange(width), side="left")        # parts longer than t
+        return np.ascontiguousarray(table.T[:lengths[0]]), order, lengths, alive
+
+    def _seen(self, table: np.ndarray) -> np.ndarray:
+        """Emission probabilities, time x state x part; 1 behind an end."""
+        padded = np.concatenate([self.emit, np.ones((len(self.emit), 1))], axis=1)
+        return np.stack([row[table] for row in padded], axis=1)
+
+    def counts(self, parts: list[np.ndarray], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts (start, moves, emissions) over parts of at most ``width`` symbols."""
+        table, _, lengths, alive = self._windows(parts, width)
+        steps, n, k, size = len(table), len(parts), len(self.start), self.emit.shape[1]
+        seen = self._seen(table)
+        alpha = np.zeros((steps, k, n))
+        scale = np.ones((steps, n))
+        forth = np.ascontiguousarray(self.move.T)
+        for t in range(steps):
+            m = alive[t]
+            now = (forth @ alpha[t - 1, :, :m] if t else self.start[:, None]) * seen[t, :, :m]
+            total = now.sum(0)
+            np.divide(now, total, out=alpha[t, :, :m])
             scale[t, :m] = total
-        move, beta = np.zeros((k, k)), np.ones((n, k))
-        for t in range(width - 1, -1, -1):
-            m = live[t]
-            if t + 1 < width and (later := live[t + 1]):
-                ahead = seen[:later, t + 1] * beta[:later] / scale[t + 1, :later, None]
-                move += alpha[t, :later].T @ ahead
-                beta[:later] = ahead @ self.move.T
-            alpha[t, :m] *= beta[:m]                        # now the state probabilities
+        move, beta = np.zeros((k, k)), np.ones((k, n))
+        for t in range(steps - 1, -1, -1):
+            m = alive[t]
+            if t + 1 < steps:
+                later = alive[t + 1]
+                ahead = seen[t + 1, :, :later] * beta[:, :later]
+                ahead /= scale[t + 1, :later]
+                move += alpha[t, :, :later] @ ahead.T
+                beta[:, :later] = self.move @ ahead
+            alpha[t, :, :m] *= beta[:, :m]                       # now the state probabilities
         move *= self.move
-        inside = np.arange(width)[None, :] < lengths[:, None]
-        symbols = windows[:, :width][inside]
-        states = alpha.transpose(1, 0, 2)[inside]
-        emit = np.stack([np.bincount(symbols, weights=states[:, s], minlength=len(self.emit)) for s in range(k)])
-        return alpha[0].sum(0), move, emit
+        flat = table.ravel()
+        emit = np.stack([np.bincount(flat, weights=alpha[:, s].ravel(), minlength=size + 1)[:size] for s in range(k)])
+        return alpha[0].sum(1), move, emit
 
     def log10(self, sequences: list[np.ndarray], segment: int = WINDOW) -> list[float]:
         """Exact log10 likelihoods. Segments of all sequences advance together, each from every
@@ -221,26 +251,24 @@ class Model:
         out = [0.0] * len(sequences)
         if not parts:
             return out
-        lengths = np.array([len(p) for p in parts])
-        order = np.argsort(-lengths, kind="stable")
-        windows = np.zeros((len(parts), segment), dtype=np.int64)
-        for row, at in enumerate(order):
-            windows[row, :lengths[at]] = parts[at]
-        lengths = lengths[order]
-        begins = np.array([i == 0 for s in sequences for i in range(0, len(s), segment)])[order]
-        through = np.repeat(np.eye(k)[None], len(parts), axis=0)              # part x from x to
+        table, order, lengths, alive = self._windows(parts, segment)
+        seen = self._seen(table)
+        first = np.array([i == 0 for s in sequences for i in range(0, len(s), segment)])[order]
+        through = np.repeat(np.eye(k)[:, :, None], len(parts), axis=2)          # to x from x part
         logs = np.zeros(len(parts))
-        for t in range(int(lengths[0])):
-            m = int(np.searchsorted(-lengths, -t, side="left"))
-            step = (through[:m].reshape(m * k, k) @ self.move).reshape(m, k, k)
+        forth = np.ascontiguousarray(self.move.T)
+        for t in range(len(table)):
+            m = alive[t]
+            step = (forth @ through[:, :, :m].reshape(k, k * m)).reshape(k, k, m)
             if t == 0:
-                step[begins] = self.start                                    # from wherever: the start
-            step *= self.emit[windows[:m, t]][:, None, :]
-            if t % 8 == 7 or t == lengths[0] - 1:
-                top = step.max(axis=(1, 2))
-                step /= top[:, None, None]
+                step[:, :, first] = self.start[:, None, None]                  # from wherever: the start
+            step *= seen[t, :, None, :m]
+            if t % 8 == 7 or t == len(table) - 1:
+                top = step.max(axis=(0, 1))
+                step /= top
                 logs[:m] += np.log10(top)
-            through[:m] = step
+            through[:, :, :m] = step
+        through = np.ascontiguousarray(through.transpose(2, 0, 1))
         place = np.empty(len(parts), dtype=np.int64)
         place[order] = np.arange(len(parts))
         part = 0
@@ -248,7 +276,7 @@ class Model:
             state, log = np.full(k, 1 / k), 0.0
             for _ in range(0, len(s), segment):
                 row = place[part]
-                state = state @ through[row]
+                state = through[row] @ state
                 total = state.sum()
                 state, log, part = state / total, log + np.log10(total) + logs[row], part + 1
             out[i] = float(log)
@@ -263,12 +291,7 @@ def _summed_counts(coded: DataFrame, model, width: int, symbols: int, states: in
         total = np.zeros(states + states * states + states * symbols)
 
         def add(parts: list[np.ndarray]) -> None:
-            lengths = np.array([len(p) for p in parts])
-            order = np.argsort(-lengths, kind="stable")
-            windows = np.zeros((len(parts), width), dtype=np.int64)
-            for row, at in enumerate(order):
-                windows[row, :lengths[at]] = parts[at]
-            total[:] += np.concatenate([c.ravel() for c in current.counts(windows, lengths[order])])
+            total[:] += np.concatenate([c.ravel() for c in current.counts(parts, width)])
 
         held: list[np.ndarray] = []
         for batch in batches:
