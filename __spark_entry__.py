@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from matrel import oracle  # noqa: E402
-from matrel.functions.bits import bank, unpack_route  # noqa: E402
 from matrel.functions.sketch import HLL16, HLL32  # noqa: E402
 from matrel.operators import batches, coo, csr, multiply as mul, profile, verify, windows  # noqa: E402
-from matrel.plans import cheap, detailed, light  # noqa: E402
-from matrel.report import compare_modes  # noqa: E402
+from matrel.plans import light  # noqa: E402
 from matrel.session import stage  # noqa: E402
 from matrel.sources.matrix_market import read_matrix_market  # noqa: E402
 from matrel.sources.tables import Tables  # noqa: E402
@@ -32,8 +30,8 @@ except ImportError as error:
 WIDTH = 256                      # column windows of the window queries
 PLANNED = ["part", "supp", "cust", "label", "mix", "trade"]
 SMALL_BUDGETS = {"products": 10_000, "runs": 700}
-SLICE_BUDGET = {"words_upper": 500}
-HEAVY = mul.HEAVY_PRODUCTS
+SAMPLE_ROWS = 512                # rows of the sampled verification
+HEAVY = 4096                     # products of a heavy row (fixed value)
 
 _open: dict[tuple[str, str], Tables] = {}
 
@@ -46,9 +44,9 @@ def tables(spark: SparkSession, folder: str) -> Tables:
     return _open[key]
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: the product of the order matrix with itself, form chosen by the row policy."""
-    return mul.multiply(tables(spark, "/root/testdata/sf0.001").matrix("part"))
+    return mul.multiply(tables(spark, folder).matrix("part"))
 
 
 def _on(name: str, build: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -70,8 +68,8 @@ def _over(names: list[str], build: Callable) -> Callable[[SparkSession, str], Da
     return run
 
 
-def _market(name: str, symmetry: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: read_matrix_market(spark, tables(spark, folder).market_text(name, symmetry)).entries
+def _market(name: str, symmetry: str, field: str = "real") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: read_matrix_market(spark, tables(spark, folder).market_text(name, symmetry, field)).entries
 
 
 def _raw_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,35 +85,6 @@ def _heavy(m) -> DataFrame:
     return mul.heavy_multiply(heavy, m.entries)
 
 
-def _fragments(m) -> DataFrame:
-    return windows.fragments(m, _routes(m).routes, width=WIDTH)
-
-
-def _forced(m) -> DataFrame:
-    """Logical rows per route under each execution mode."""
-    parts = stage(_fragments(m))
-    out = None
-    for mode in ("adaptive", "merge", "dense"):
-        forced = light.forced_routes(parts, mode)
-        rows = light.logical_modes(forced).groupBy("route").agg(F.count(F.lit(1)).alias("logical_rows"))
-        rows = rows.withColumn("mode", F.lit(mode))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def _shard_tasks(m) -> tuple[DataFrame, int]:
-    return windows.tasks(m, width=WIDTH), windows.task_extent(m.n, WIDTH)
-
-
-def _round_robin(m) -> DataFrame:
-    return windows.shard_rounds(*_shard_tasks(m))
-
-
-def _prefix(m) -> DataFrame:
-    rows, extent = _shard_tasks(m)
-    return windows.shard_prefix(rows, extent, 2).drop("turn")
-
-
 def _row_batches(m) -> DataFrame:
     rows = stage(profile.row_features(m).select("r", "products", "runs"))
     return batches.row_batches(rows, m.n, SMALL_BUDGETS, even=True)
@@ -126,38 +95,42 @@ def _row_ranges(m) -> DataFrame:
     return batches.row_batches(rows, m.n, {"products": 2_000_000, "runs": 30_000})
 
 
-def _capacity_slices(m) -> DataFrame:
-    words = stage(_fragments(m).groupBy(F.col("logical_row").alias("r")).agg(F.sum("words_upper").alias("words_upper")))
-    return batches.row_batches(words, m.n, SLICE_BUDGET)
-
-
-def _detailed(m) -> DataFrame:
-    return profile.detailed_features(m)
-
-
-def _costs(m) -> DataFrame:
-    return detailed.row_costs(_detailed(m), m.n)
-
-
-def _cycles(m) -> DataFrame:
-    return detailed.mode_cycles(stage(_costs(m)), m.n).drop("product_cv", "gain_cycles", "reason")
-
-
-def _mode_regret(spark: SparkSession, folder: str) -> DataFrame:
-    """Predicted cost of the modes per matrix: fastest mode and the regret of the adaptive one."""
-    cycles = _over(["cust", "supp", "label"], _cycles)(spark, folder)
-    names = {"row_adaptive": "adaptive_cycles", "merge_preferred_capacity_safe": "merge_cycles", "dense_only": "dense_cycles"}
-    long = cycles.select("matrix", F.explode(F.array(*[
-        F.struct(F.lit(mode).alias("mode"), F.col(column).alias("ms")) for mode, column in names.items()])).alias("x"))
-    return compare_modes(long.select("matrix", "x.mode", "x.ms", F.lit("TOTAL").alias("batch")))
-
-
 def _cross_mode(m) -> DataFrame:
-    """Row structures of the dense form, after checking them against the merge form."""
-    dense = stage(mul.multiply(m, mode="dense"))
-    if csr.differing_rows(mul.multiply(m, mode="merge"), dense).limit(1).count():
-        raise AssertionError("merge and dense products differ in structure")
-    return csr.fingerprints(dense)
+    """Row structures of the product, and whether the three forms agree on them."""
+    digests = [
+        csr.fingerprints(mul.multiply(m, mode=mode)).select("r", F.struct("row_nnz", "fp_xor", "fp_sum").alias("f"), F.lit(mode).alias("mode"))
+        for mode in ("merge", "dense", "adaptive")]
+    rows = digests[0].unionByName(digests[1]).unionByName(digests[2]).groupBy("r").agg(
+        F.min("f").alias("f"), ((F.count(F.lit(1)) == 3) & (F.min("f") == F.max("f"))).alias("agree"))
+    return rows.select("r", "f.*", "agree")
+
+
+def _damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """Broken invariants of a matrix with repeated cells, shifted rows and zeros."""
+    source = tables(spark, folder)
+    n = source.matrix("part").n
+    cells = source.table("lineitem").select(
+        (F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, n).otherwise(0)).alias("r"),
+        ((F.col("l_orderkey") * 7 + F.col("l_linenumber") % 2) % n).alias("c"), (F.col("l_quantity") - 25).alias("v"))
+    return csr.violations(cells, n)
+
+
+def _descending(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, cut at every 4096 orders, whose columns do not ascend in the order of their lines."""
+    source = tables(spark, folder)
+    n = source.matrix("part").n
+    items = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % n).alias("c"))))
+    packed = source.table("lineitem").groupBy(F.col("l_partkey").alias("r"), F.expr("l_orderkey div 4096").alias("w")).agg(items.alias("items"))
+    return csr.descending_steps(packed.select("r", "w", F.col("items.c").alias("columns"))).select("r", "w")
+
+
+def _verify_range(m) -> DataFrame:
+    """Verification of one row range and column window."""
+    rows, columns = (m.n // 4, m.n // 2), (WIDTH, 2 * WIDTH)
+    left = coo.Matrix(m.entries.filter(coo.between("r", *rows)), m.n)
+    right = coo.Matrix(m.entries.filter(coo.between("c", *columns)), m.n)
+    part = mul.multiply(m, mode="dense", rows=rows, columns=columns)
+    return verify.report(verify.verify(left, part, right), rows[1] - rows[0])
 
 
 def _csr_rows(m) -> DataFrame:
@@ -173,11 +146,12 @@ def _verify_cells(m) -> DataFrame:
 
 
 def _verify_report(m) -> DataFrame:
-    return verify.report(verify.verify(m, mul.multiply(m, mode="dense")))
+    return verify.report(verify.verify(m, mul.multiply(m, mode="dense")), m.n)
 
 
 def _verify_sample(m) -> DataFrame:
-    return verify.report(verify.verify(m, mul.multiply(m, mode="merge"), exact=False))
+    checked = verify.verify(m, mul.multiply(m, mode="merge"), sample_rows=SAMPLE_ROWS)
+    return verify.report(checked, m.n, SAMPLE_ROWS)
 
 
 def _violations(m) -> DataFrame:
@@ -185,11 +159,6 @@ def _violations(m) -> DataFrame:
     return csr.violations(cells, m.n)
 
 
-def _empty_shard_split(m) -> DataFrame:
-    rows, _ = _shard_tasks(m)
-    return windows.empty_shard_split(rows, profile.row_features(m).select("r", F.lit(3).alias("route")), m.n, min_tasks=8)
-
-
 def _island_summary(m) -> DataFrame:
     return batches.island_summary(batches.merge_islands(_routes(m).routes.withColumn("tasks", F.col("runs")), m.n))
 
@@ -199,13 +168,6 @@ def _sampled(m) -> DataFrame:
     return plan.samples.select("r", "bin", "products", "estimate", "ratio")
 
 
-def _ports(m) -> DataFrame:
-    """Result cells per output bank, the eight-way split of the columns."""
-    cells = mul.multiply(m, mode="merge")
-    return cells.groupBy(bank(F.col("c")).cast("int").alias("bank")).agg(
-        F.count(F.lit(1)).alias("items"), F.sum("v").alias("total"))
-
-
 def _row_range(m) -> DataFrame:
     return mul.multiply(m, mode="merge", rows=(m.n // 4, m.n // 2))
 
@@ -216,48 +178,28 @@ def _column_window(m) -> DataFrame:
 
 def _product_check(m) -> DataFrame:
     """Products from the row features against products of the join."""
-    counted = profile.row_features(m).agg(F.sum("products").alias("profiled_products"))
-    return counted.withColumn("joined_products", F.lit(mul.partial_products(m.entries, m.entries).count()).cast("long"))
+    none = F.lit(0).cast("long")
+    profiled = profile.row_features(m).select(F.col("products").alias("p"), none.alias("j"))
+    joined = mul.partial_products(m.entries, m.entries).select(none.alias("p"), F.lit(1).cast("long").alias("j"))
+    return profiled.unionByName(joined).agg(F.sum("p").alias("profiled_products"), F.sum("j").alias("joined_products"))
 
 
 def _features(m) -> DataFrame:
     return profile.row_features(m)
 
 
-def _in_fragments(m) -> DataFrame:
-    """Product cells inside the fragments of their row."""
-    cells = mul.multiply(m, mode="merge", keep_structural=True)
-    inside = windows.within_fragments(cells, stage(_fragments(m)), WIDTH)
-    return inside.groupBy("r").agg(F.count(F.lit(1)).alias("covered_cells"))
-
-
-def _quick(m) -> DataFrame:
-    return profile.quick_features(m)
-
-
 def _whole_row(m) -> DataFrame:
-    options = light.LightOptions.whole_row()
-    return light.choose_routes(m, options=options).routes.select("r", "route")
+    return _routes(m).routes.select("r", "route")
 
 
 def _estimates(kind) -> Callable:
     return lambda m: profile.output_estimates(m.entries, m, kind)
 
 
-def _aligned(m) -> DataFrame:
-    rows = profile.row_features(m).select("r", (F.col("runs") > 1).alias("eligible"))
-    return batches.aligned_batches(rows, m.n)
-
-
 def _output_bound(m) -> DataFrame:
     return windows.window_work(m, width=WIDTH).groupBy("r").agg(F.sum("out_upper").alias("out_upper"))
 
 
-def _route_words(m) -> DataFrame:
-    return _fragments(m).select("logical_row", "base", unpack_route(F.col("route_word")).alias("u")).select(
-        "logical_row", "base", "u.route", "u.products", "u.capacity_locked")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # products
@@ -265,8 +207,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spgemm_dense": _on("supp", lambda m: mul.multiply(m, mode="dense")),
         "spgemm_dense_sparse": _on("cust", lambda m: mul.multiply(m, mode="dense")),
         "spgemm_adaptive": _on("blend", lambda m: mul.multiply(m, mode="adaptive")),
-        "spgemm_auto": _on("blend", lambda m: mul.multiply(m)),
-        "spgemm_auto_by_work": _on("supp", lambda m: mul.multiply(m, calibrated=False)),
+        "spgemm_auto": _on("blend", lambda m: mul.multiply(m, calibrated=True)),
+        "spgemm_auto_by_work": _on("supp", lambda m: mul.multiply(m)),
         "spgemm_trade": _on("trade", lambda m: mul.multiply(m, mode="dense")),
         "spgemm_structural": _on("sign", lambda m: mul.multiply(m, mode="merge", keep_structural=True)),
         "spgemm_structural_dense": _on("sign", lambda m: mul.multiply(m, mode="dense", keep_structural=True)),
@@ -275,15 +217,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spgemm_heavy_rows": _on("blend", _heavy),
         "spgemm_row_range": _on("cust", _row_range),
         "spgemm_window": _on("cust", _column_window),
+        "spgemm_tiled": _on("cust", lambda m: mul.tiled_multiply(m, rows=-(-m.n // 3), columns=-(-m.n // 2), mode="merge")),
         "reference_product": _on("sign", mul.reference_product),
         "product_check": _on("part", _product_check),
-        "output_banks": _on("cust", _ports),
         # sources and coordinate operators
         "duplicate_sum": lambda s, d: coo.canonical(_raw_orders(s, d)),
         "symmetric_expand": _on("cust", lambda m: coo.canonical(coo.mirrored(m.entries.filter(F.col("r") >= F.col("c"))))),
         "skew_expand": _on("cust", lambda m: coo.canonical(coo.mirrored(m.entries.filter(F.col("r") > F.col("c")), -1))),
         "matrix_market_general": _market("cust", "general"),
         "matrix_market_symmetric": _market("cust", "symmetric"),
+        "matrix_market_hermitian": _market("cust", "hermitian"),
+        "matrix_market_pattern": _market("cust", "general", "pattern"),
         "matrix_market_skew": _market("cust", "skew-symmetric"),
         # profiles and sketches
         "row_features": _on("part", _features),
@@ -292,49 +236,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hll32_sketch": _on("cust", lambda m: profile.sketch_rows(m.entries, HLL32)),
         "hll16_estimate": _on("part", _estimates(HLL16)),
         "hll32_estimate": _on("cust", _estimates(HLL32)),
-        "bank_histogram": _on("part", lambda m: profile.bank_loads(m.entries)),
-        "detailed_features": _on("part", _detailed),
-        "detailed_features_sparse": _on("label", _detailed),
-        "quick_features": _on("cust", _quick),
         # routes and plans
         "row_routes_light": _on("mix", lambda m: _routes(m).routes),
         "row_routes_whole_row": _on("mix", _whole_row),
         "sampled_rows": _on("mix", _sampled),
         "plan_summary": _on("mix", lambda m: _routes(m).summary()),
         "policy_decision": _over(PLANNED, lambda m: _routes(m).summary().select("light_mode", "policy_mode", "calibrated_mode")),
-        "cheap_plan": _over(PLANNED, lambda m: cheap.cheap_decision(cheap.cheap_totals(_features(m), m.n)).drop(
-            "active_rows", "product_sum", "square_sum")),
-        "row_costs": _on("cust", _costs),
-        "mode_cycles": _on("cust", _cycles),
-        "mode_regret": _mode_regret,
-        "aligned_batches": _on("cust", _aligned),
-        # windows, shards, fragments and batches
+        # windows and batches
         "window_work": _on("part", lambda m: windows.window_work(m, width=WIDTH)),
         "window_summary": _on("part", lambda m: windows.window_summary(windows.window_work(m, width=WIDTH))),
         "output_upper_bound": _on("part", _output_bound),
-        "stripes": _on("supp", lambda m: windows.stripes(m.entries, WIDTH)),
-        "shard_work": _on("part", lambda m: windows.shard_work(m, width=WIDTH)),
-        "tasks": _on("cust", lambda m: windows.tasks(m, width=WIDTH)),
-        "round_robin_order": _on("cust", _round_robin),
-        "tasks_per_shard_prefix": _on("cust", _prefix),
-        "fragments": _on("mix", _fragments),
-        "fragment_audit": _on("mix", lambda m: windows.audit(_fragments(m))),
-        "route_words": _on("blend", _route_words),
-        "forced_modes": _on("blend", _forced),
-        "columns_in_fragments": _on("cust", _in_fragments),
         "row_batches": _on("cust", _row_batches),
         "row_ranges": _on("mix", _row_ranges),
-        "capacity_slices": _on("cust", _capacity_slices),
         "merge_islands": _on("label", lambda m: batches.merge_islands(
             _routes(m).routes.withColumn("tasks", F.col("runs")), m.n)),
         "merge_islands_mix": _on("mix", lambda m: batches.merge_islands(
             _routes(m).routes.withColumn("tasks", F.col("runs")), m.n)),
         "island_summary": _on("mix", _island_summary),
-        "empty_shard_split": _on("cust", _empty_shard_split),
-        "fragment_tail": _on("mix", lambda m: windows.fragment_tail(_fragments(m), 16)),
         # compressed rows, fingerprints and verification
         "csr_rowptr": _on("label", lambda m: csr.row_pointers(m.entries, m.n)),
         "csr_rows": _on("part", _csr_rows),
+        "csr_violations_damaged": _damaged,
+        "csr_descending": _descending,
+        "verify_range": _on("cust", _verify_range),
         "csr_violations": _on("sign", _violations),
         "row_fingerprint": _on("part", lambda m: csr.fingerprints(m.entries)),
         "cross_mode_structure": _on("sign", _cross_mode),
@@ -360,18 +284,13 @@ def oracle_sql() -> dict[str, str]:
 def matrix_sql() -> dict[str, str]:
     o = oracle
     with_light = lambda name: f"WITH {o.matrix(name)}, {o.light()}"
-    whole = light.LightOptions.whole_row()
     mirror = lambda op, sign: f"""WITH {o.matrix('cust')}, t AS (SELECT * FROM a WHERE r {op} c)
         SELECT r, c, sum(v) AS v FROM (SELECT r, c, v FROM t UNION ALL SELECT c, r, {sign}v FROM t WHERE r <> c) GROUP BY r, c"""
     cells = lambda name: f"cells AS (SELECT r, c, sum(p) AS v FROM ({o.PRODUCTS}) GROUP BY r, c HAVING sum(p) <> 0)"
     window = lambda name, terms="": f"WITH {o.matrix(name)}, {o.window_terms(WIDTH)}{terms}"
-    frag = lambda name: f"{with_light(name)}, {o.fragment_terms(WIDTH)}"
-    rounds = "rk AS (SELECT *, row_number() OVER (PARTITION BY r, w, shard ORDER BY task) - 1 AS turn FROM tk)"
     recursive = lambda name, terms, source, budgets, even: (
         f"WITH RECURSIVE {o.matrix(name)}, {terms}, {o.greedy(source, budgets, even)}")
     features = "r, runs, products, max_run, min_col, max_col, span, lower_bound, CAST(bin AS INTEGER) AS bin"
-    detailed_columns = ("r, runs, products, max_run, max_col, unique_columns, bank_replays, merge_materialized, "
-                        "merge_critical, merge_transactions")
     return {
         "spgemm_merge": o.product("part"),
         "spgemm_dense": o.product("supp"),
@@ -392,87 +311,40 @@ def matrix_sql() -> dict[str, str]:
             FROM ({o.PRODUCTS}) GROUP BY r, c""",
         "product_check": f"""WITH {o.matrix('part')}, {o.FEATURES}
             SELECT (SELECT CAST(sum(products) AS BIGINT) FROM f) AS profiled_products, (SELECT count(*) FROM ({o.PRODUCTS})) AS joined_products""",
-        "output_banks": f"""WITH {o.matrix('cust')}, {cells('cust')}
-            SELECT CAST(xor(xor(c, c >> 3), c >> 6) & 7 AS INTEGER) AS bank, count(*) AS items, sum(v) AS total FROM cells GROUP BY 1""",
         "duplicate_sum": f"WITH {o.matrix('sign')} SELECT r, c, v FROM a",
         "symmetric_expand": mirror(">=", ""),
         "skew_expand": mirror(">", "-"),
         "matrix_market_general": f"WITH {o.matrix('cust')} SELECT r, c, v FROM a",
         "matrix_market_symmetric": mirror(">=", ""),
+        "matrix_market_hermitian": mirror(">=", ""),
+        "matrix_market_pattern": f"WITH {o.matrix('cust')} SELECT r, c, 1.0e0 AS v FROM a",
+        "spgemm_tiled": o.product("cust"),
         "matrix_market_skew": mirror(">=", "-"),
         "row_features": f"WITH {o.matrix('part')}, {o.FEATURES} SELECT {features} FROM f",
         "row_features_sparse": f"WITH {o.matrix('label')}, {o.FEATURES} SELECT {features} FROM f",
-        "hll16_sketch": f"WITH {o.matrix('part')}, {o.sketches(HLL16)} SELECT r, register, rank FROM sk",
-        "hll32_sketch": f"WITH {o.matrix('cust')}, {o.sketches(HLL32)} SELECT r, register, rank FROM sk",
-        "hll16_estimate": f"WITH {o.matrix('part')}, {o.row_estimates(HLL16)} SELECT r, products, estimate FROM est",
-        "hll32_estimate": f"WITH {o.matrix('cust')}, {o.row_estimates(HLL32)} SELECT r, products, estimate FROM est",
-        "bank_histogram": f"""WITH {o.matrix('part')}
-            SELECT r, CAST(xor(xor(c, c >> 3), c >> 6) & 7 AS INTEGER) AS bank, count(*) AS load FROM a GROUP BY 1, 2""",
-        "detailed_features": f"WITH {o.matrix('part')}, {o.detailed()} SELECT {detailed_columns} FROM det",
-        "detailed_features_sparse": f"WITH {o.matrix('label')}, {o.detailed()} SELECT {detailed_columns} FROM det",
-        "quick_features": f"""WITH {o.matrix('cust')}, {o.detailed(HLL16)}
-            SELECT r, runs, products, max_run, unique_columns, merge_materialized, merge_transactions FROM det""",
+        "hll16_sketch": f"WITH {o.matrix('part')}, {o.sketches(o.HLL16)} SELECT r, register, rank FROM sk",
+        "hll32_sketch": f"WITH {o.matrix('cust')}, {o.sketches(o.HLL32)} SELECT r, register, rank FROM sk",
+        "hll16_estimate": f"WITH {o.matrix('part')}, {o.row_estimates(o.HLL16)} SELECT r, products, estimate FROM est",
+        "hll32_estimate": f"WITH {o.matrix('cust')}, {o.row_estimates(o.HLL32)} SELECT r, products, estimate FROM est",
         "row_routes_light": f"""{with_light('mix')} SELECT r, CAST(route AS INTEGER) AS route, runs, products, max_run, span, lower_bound,
             CAST(bin AS INTEGER) AS bin, eligible, ambiguous, CAST(first_route AS INTEGER) AS first_route FROM routes""",
-        "row_routes_whole_row": f"WITH {o.matrix('mix')}, {o.light(whole)} SELECT r, CAST(route AS INTEGER) AS route FROM routes",
+        "row_routes_whole_row": f"WITH {o.matrix('mix')}, {o.light()} SELECT r, CAST(route AS INTEGER) AS route FROM routes",
         "sampled_rows": f"{with_light('mix')} SELECT r, CAST(bin AS INTEGER) AS bin, products, estimate, ratio FROM samples",
         "plan_summary": o.plan_summary("mix"),
         "policy_decision": o.over_matrices(PLANNED, o.plan_summary, "light_mode, policy_mode, calibrated_mode"),
-        "cheap_plan": o.over_matrices(PLANNED, o.cheap, "* "),
-        "row_costs": f"""WITH {o.matrix('cust')}, {o.detailed()}, {o.costs()}
-            SELECT {detailed_columns}, (products + 7) // 8 AS groups, merge_cost, dense_cost, CAST(route AS INTEGER) AS route FROM cost""",
-        "mode_cycles": o.cycles("cust"),
-        "mode_regret": f"""WITH k AS ({o.over_matrices(['cust', 'supp', 'label'], o.cycles, 'merge_cycles, dense_cycles, adaptive_cycles')})
-            SELECT matrix, adaptive_cycles AS selected_ms, least(merge_cycles, dense_cycles, adaptive_cycles) AS oracle_ms,
-              CASE WHEN adaptive_cycles <= least(merge_cycles, dense_cycles) THEN 'row_adaptive'
-                   WHEN merge_cycles <= dense_cycles THEN 'merge_preferred_capacity_safe' ELSE 'dense_only' END AS oracle_mode,
-              100.0e0 * (adaptive_cycles - least(merge_cycles, dense_cycles, adaptive_cycles))
-                / least(merge_cycles, dense_cycles, adaptive_cycles) AS regret_pct FROM k""",
-        "aligned_batches": f"""WITH {o.matrix('cust')}, {o.FEATURES}, e AS (SELECT r, runs > 1 AS eligible FROM f), {o.aligned('e', 'x')}
-            SELECT hexes, octs, quads, pairs FROM x""",
         "window_work": f"{window('part')} SELECT r, w, runs, products, out_upper FROM ww",
         "window_summary": f"""{window('part')} SELECT w, CAST(sum(runs) AS BIGINT) AS tasks, CAST(sum(products) AS BIGINT) AS products,
-            CAST(sum(out_upper) AS BIGINT) AS output_upper, max(runs) AS max_row_runs, max(products) AS max_row_products,
-            greatest(1, CAST((sum(out_upper) + {windows.OUTPUT_ITEMS_PER_TILE - 1}) // {windows.OUTPUT_ITEMS_PER_TILE} AS BIGINT)) AS output_tiles
+            CAST(sum(out_upper) AS BIGINT) AS output_upper, max(runs) AS max_row_runs, max(products) AS max_row_products
             FROM ww GROUP BY w""",
         "output_upper_bound": f"{window('part')} SELECT r, CAST(sum(out_upper) AS BIGINT) AS out_upper FROM ww GROUP BY r",
-        "stripes": f"{window('supp')} SELECT k AS kb, w, stripe, length, shard, beats FROM st",
-        "shard_work": f"""{window('part')}, rf AS (SELECT c AS k, count(*) AS refs FROM a GROUP BY c)
-            SELECT shard, count(*) AS stripes, CAST(sum(beats) AS BIGINT) AS beats, CAST(sum(coalesce(refs, 0)) AS BIGINT) AS tasks,
-                   CAST(sum(greatest(length, coalesce(refs, 0) * length)) AS BIGINT) AS work FROM st LEFT JOIN rf ON st.k = rf.k GROUP BY shard""",
-        "tasks": f"{window('cust')} SELECT r, w, task, shard, scale, length FROM tk",
-        "round_robin_order": f"{window('cust', ', ' + rounds)} SELECT r, w, task, shard, scale, length, turn FROM rk",
-        "tasks_per_shard_prefix": f"{window('cust', ', ' + rounds)} SELECT r, w, task, shard, scale, length FROM rk WHERE turn < 2",
-        "fragments": f"""{frag('mix')} SELECT logical_row, base, span, CAST(route AS INTEGER) AS route, runs, products,
-            CAST(source_mask AS INTEGER) AS source_mask, capacity_locked, words_upper, route_word FROM fg""",
-        "fragment_audit": f"""{frag('mix')} SELECT count(*) AS fragments, CAST(sum(runs) AS BIGINT) AS tasks, max(runs) AS max_tasks,
-            max(products) AS max_products, max(words_upper) AS max_output_words, CAST(sum(words_upper) AS BIGINT) AS output_words,
-            count(CASE WHEN route <> 3 THEN 1 END) AS merge_fragments, count(CASE WHEN route = 3 THEN 1 END) AS dense_fragments,
-            count(CASE WHEN route = 3 AND span > 32768 THEN 1 END) AS wide_dense FROM fg""",
-        "route_words": f"{frag('blend')} SELECT logical_row, base, CAST(route AS INTEGER) AS route, products, capacity_locked FROM fg",
-        "forced_modes": f"""{frag('blend')}, fm AS (
-            SELECT 'adaptive' AS mode, logical_row, max(CASE WHEN route = 3 THEN 3 ELSE 2 END) AS route FROM fg WHERE runs > 0 AND route > 0 GROUP BY 2
-            UNION ALL SELECT 'merge', logical_row, max(CASE WHEN capacity_locked THEN 3 ELSE 2 END) FROM fg WHERE runs > 0 GROUP BY 2
-            UNION ALL SELECT 'dense', logical_row, 3 FROM fg WHERE runs > 0 GROUP BY 2)
-            SELECT mode, CAST(route AS INTEGER) AS route, count(*) AS logical_rows FROM fm GROUP BY 1, 2""",
-        "columns_in_fragments": f"""{frag('cust')}, pc AS (SELECT DISTINCT r, c FROM ({o.PRODUCTS}))
-            SELECT pc.r, count(*) AS covered_cells FROM pc JOIN fg ON fg.logical_row = pc.r AND pc.c >= base AND pc.c < base + span GROUP BY pc.r""",
         "row_batches": recursive("cust", o.FEATURES, "f", SMALL_BUDGETS, True),
         "row_ranges": recursive("mix", o.FEATURES, "f", {"products": 2_000_000, "runs": 30_000}, False),
-        "capacity_slices": recursive(
-            "cust", f"{o.light()}, {o.fragment_terms(WIDTH)}, ws AS (SELECT logical_row AS r, CAST(sum(words_upper) AS BIGINT) AS words_upper FROM fg GROUP BY 1)",
-            "ws", SLICE_BUDGET, False),
         "merge_islands": o.islands("label"),
         "merge_islands_mix": o.islands("mix"),
         "island_summary": f"""WITH x AS ({o.islands('mix')}) SELECT count(CASE WHEN selected THEN 1 END) AS batches,
             CAST(coalesce(sum(CASE WHEN selected THEN n_rows END), 0) AS BIGINT) AS selected_rows,
             CAST(coalesce(sum(CASE WHEN selected THEN products END), 0) AS BIGINT) AS selected_products,
             CAST(coalesce(sum(CASE WHEN NOT selected THEN n_rows END), 0) AS BIGINT) AS fallback_rows FROM x""",
-        "empty_shard_split": f"""{window('cust')}, e AS (SELECT r, w FROM tk GROUP BY r, w HAVING count(*) >= 8 AND count(DISTINCT shard) < 8)
-            SELECT w, CASE WHEN min(r) + 1 < {o.N} THEN min(r) + 1 ELSE min(r) END AS split_row FROM e GROUP BY w""",
-        "fragment_tail": f"""{frag('mix')} SELECT logical_row, base, span, CAST(route AS INTEGER) AS route, runs, products,
-            CAST(source_mask AS INTEGER) AS source_mask, capacity_locked, words_upper, route_word FROM fg
-            ORDER BY logical_row DESC, base DESC LIMIT 16""",
         "csr_rowptr": f"""WITH {o.matrix('label')}, rows_ AS ({o.ROWS}), l AS (SELECT r, count(*) AS n FROM a GROUP BY r),
             x AS (SELECT rows_.r, coalesce(n, 0) AS row_nnz FROM rows_ LEFT JOIN l ON rows_.r = l.r)
             SELECT r, row_nnz, CAST(sum(row_nnz) OVER (ORDER BY r) - row_nnz AS BIGINT) AS begin_at,
@@ -480,10 +352,21 @@ def matrix_sql() -> dict[str, str]:
         "csr_rows": f"""WITH {o.matrix('part')} SELECT r, c // {WIDTH} AS w, count(*) AS items, min(c) AS first_c, max(c) AS last_c,
             sum(v) AS total FROM a GROUP BY 1, 2""",
         "csr_violations": f"""WITH {o.matrix('sign')} SELECT r, c, 'stored zero' AS problem FROM ({o.PRODUCTS}) GROUP BY r, c HAVING sum(p) = 0""",
+        "csr_violations_damaged": """WITH n AS (SELECT max(p_partkey) + 1 AS n FROM part),
+            x AS (SELECT l_partkey + CASE WHEN l_linenumber = 7 THEN n ELSE 0 END AS r, (l_orderkey * 7 + l_linenumber % 2) % n AS c, l_quantity - 25 AS v FROM lineitem, n),
+            g AS (SELECT r, c, count(*) AS copies, max(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS zero FROM x GROUP BY r, c),
+            p AS (SELECT r, c, CASE WHEN r < 0 OR r >= n OR c < 0 OR c >= n THEN 'out of range' WHEN copies > 1 THEN 'duplicate'
+                  WHEN zero = 1 THEN 'stored zero' END AS problem FROM g, n) SELECT r, c, problem FROM p WHERE problem IS NOT NULL""",
+        "csr_descending": """WITH x AS (SELECT l_partkey AS r, l_orderkey // 4096 AS w, l_orderkey, l_linenumber,
+                (l_orderkey * 7 + l_linenumber) % (SELECT max(p_partkey) + 1 FROM part) AS c FROM lineitem),
+            y AS (SELECT r, w, c, lag(c) OVER (PARTITION BY r, w ORDER BY l_orderkey, l_linenumber, c) AS before FROM x)
+            SELECT DISTINCT r, w FROM y WHERE c <= before""",
+        "verify_range": f"""WITH {o.matrix('cust')}, {o.verify(f"r >= {o.N} // 4 AND r < {o.N} // 2 AND c >= {WIDTH} AND c < {2 * WIDTH}")}
+            {o.REPORT.format(checked=f'{o.N} // 2 - {o.N} // 4').replace('(SELECT n FROM d) AS total_rows', f'{o.N} // 2 - {o.N} // 4 AS total_rows')}""",
         "row_fingerprint": o.fingerprints("part"),
-        "cross_mode_structure": o.fingerprints("sign", "cells", cells("sign") + ", "),
+        "cross_mode_structure": f"""SELECT *, true AS agree FROM ({o.fingerprints("sign", "cells", cells("sign") + ", ")})""",
         "verify_cells": f"WITH {o.matrix('sign')}, {o.verify()} SELECT r, c, want, got, allowed, ok FROM cmp",
-        "verify_report": f"WITH {o.matrix('sign')}, {o.verify()} {o.REPORT}",
+        "verify_report": f"WITH {o.matrix('sign')}, {o.verify()} {o.REPORT.format(checked='(SELECT n FROM d)')}",
         "verify_sample": f"""WITH {o.matrix('cust')}, {o.verify(
-            f"r IN (SELECT range * ({o.N} - 1) // {verify.SAMPLE_ROWS - 1} FROM range({verify.SAMPLE_ROWS}))")} {o.REPORT}""",
+            f"r IN (SELECT range * ({o.N} - 1) // 511 FROM range(512))")} {o.REPORT.format(checked='least(512, (SELECT n FROM d))')}""",
     }

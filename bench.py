@@ -15,7 +15,7 @@ import time
 from matrel.functions.sketch import HLL16
 from matrel.operators import batches, csr, multiply as mul, profile, verify, windows
 from matrel.plans import light
-from matrel.session import local_session
+from matrel.session import local_session, release, stage
 from matrel.sources.tables import Tables
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -34,7 +34,7 @@ def main() -> None:
     part, supp, cust, blend, mix = (tables.matrix(x) for x in ("part", "supp", "cust", "blend", "mix"))
     seconds = {"load_matrices": round(time.perf_counter() - begin, 3)}
     no_broadcast = mul.Limits(broadcast_values=0)
-    rows = profile.stage(profile.row_features(mix).select("r", "products", "runs"))
+    rows = stage(profile.row_features(mix).select("r", "products", "runs"))
     runs = {
         "spgemm_merge_part": lambda: mul.multiply(part, mode="merge"),
         "spgemm_merge_part_shuffled": lambda: mul.multiply(part, mode="merge", limits=no_broadcast),
@@ -43,16 +43,17 @@ def main() -> None:
         "spgemm_merge_blend": lambda: mul.multiply(blend, mode="merge"),
         "spgemm_adaptive_blend": lambda: mul.multiply(blend, mode="adaptive"),
         "spgemm_auto_cust": lambda: mul.multiply(cust),
+        "spgemm_auto_supp": lambda: mul.multiply(supp),
+        "spgemm_auto_blend": lambda: mul.multiply(blend),
+        "spgemm_auto_part": lambda: mul.multiply(part),
         "row_features": lambda: profile.row_features(part),
         "row_routes_light": lambda: light.choose_routes(mix).routes,
-        "detailed_features": lambda: profile.detailed_features(part),
         "hll16_estimate": lambda: profile.output_estimates(part.entries, part, HLL16),
         "window_work": lambda: windows.window_work(part, width=4096),
-        "fragments": lambda: windows.fragments(part, light.choose_routes(part).routes, width=4096),
         "row_batches": lambda: batches.row_batches(rows, mix.n, {"products": 5_000_000, "runs": 60_000}, even=True),
         "csr_rowptr": lambda: csr.row_pointers(part.entries, part.n),
         "row_fingerprint": lambda: csr.fingerprints(part.entries),
-        "verify_cust": lambda: verify.report(verify.verify(cust, mul.multiply(cust, mode="merge"))),
+        "verify_cust": lambda: verify.report(verify.verify(cust, mul.multiply(cust, mode="merge")), cust.n),
     }
     for name, build in runs.items():
         consume(build())
@@ -62,6 +63,7 @@ def main() -> None:
             consume(build())
             times.append(time.perf_counter() - begin)
         seconds[name] = round(statistics.median(times), 3)
+    release(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(os.path.normpath(FOLDER)).removeprefix("sf"),

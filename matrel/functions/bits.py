@@ -10,12 +10,6 @@ HASH_OFFSET = 0x9E3779B9
 HASH_MULTIPLIERS = (0x85EBCA6B, 0xC2B2AE35)
 
 MASK32 = 0xFFFFFFFF
-BANKS = 8
-
-# Layout of the route word.
-ROUTE_MODE_BITS = 2
-ROUTE_LOCK_BIT = 1 << 31
-ROUTE_PRODUCTS_MAX = 0x1FFFFFFF
 
 
 def lng(value: int) -> Column:
@@ -55,28 +49,6 @@ def floor_log2(x: Column) -> Column:
     return bit_length(F.greatest(x, lng(1))) - 1
 
 
-def bank(c: Column) -> Column:
-    """XOR-fold a column index onto eight banks."""
-    folded = c.bitwiseXOR(F.shiftrightunsigned(c, 3)).bitwiseXOR(F.shiftrightunsigned(c, 6))
-    return folded.bitwiseAND(lng(BANKS - 1))
-
-
-def pack_route(route: Column, products: Column, locked: Column) -> Column:
-    """Route in bits 0-1, bounded product count above, lock in bit 31."""
-    bounded = F.least(products, lng(ROUTE_PRODUCTS_MAX))
-    lock = F.when(locked, lng(ROUTE_LOCK_BIT)).otherwise(lng(0))
-    return route.cast("long").bitwiseOR(F.shiftleft(bounded, ROUTE_MODE_BITS)).bitwiseOR(lock)
-
-
-def unpack_route(word: Column) -> Column:
-    """struct(route, products, capacity_locked); the lock is masked out of products."""
-    return F.struct(
-        word.bitwiseAND(lng(3)).cast("int").alias("route"),
-        F.shiftright(word.bitwiseAND(lng(ROUTE_LOCK_BIT - 1)), ROUTE_MODE_BITS).alias("products"),
-        (word.bitwiseAND(lng(ROUTE_LOCK_BIT)) != 0).alias("capacity_locked"),
-    )
-
-
 def int_div(x: Column, divisor: Column | int) -> Column:
     """Integer division that stays in LONG arithmetic."""
     return F.call_function("div", x, lng(divisor) if isinstance(divisor, int) else divisor)

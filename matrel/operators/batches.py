@@ -128,43 +128,3 @@ def island_summary(islands: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(chosen, F.col("products"))), lng(0)).alias("selected_products"),
         F.coalesce(F.sum(F.when(~chosen, F.col("n_rows"))), lng(0)).alias("fallback_rows"),
     )
-
-
-GROUP_ROWS = 16
-# Group sizes with the most columns that still allow them.
-GROUP_SIZES = {"hexes": (16, 8192), "octs": (8, 16384), "quads": (4, 32768), "pairs": (2, None)}
-
-
-def member_bit(test, size: int = GROUP_ROWS):
-    """The row's bit in the mask of its aligned group when ``test`` holds; masks are sums."""
-    return F.when(test, F.call_function("shiftleft", F.lit(1), (F.col("r") % size).cast("int"))).otherwise(0)
-
-
-def with_group_counts(masks: DataFrame, mask: str, n: int, prefix: str = "") -> DataFrame:
-    """Add the number of full aligned groups of each size in a 16-row ``mask``, largest first."""
-    table = masks.withColumn("_free", F.col(mask).cast("long"))
-    for name, (size, columns) in GROUP_SIZES.items():
-        if columns is not None and n > columns:
-            table = table.withColumn(prefix + name, F.lit(0))
-            continue
-        groups = [((1 << size) - 1) << shift for shift in range(0, GROUP_ROWS, size)]
-        taken = [F.col("_free").bitwiseAND(lng(group)) == group for group in groups]
-        table = (
-            table.withColumn(prefix + name, sum((F.when(hit, 1).otherwise(0) for hit in taken), F.lit(0)))
-            .withColumn("_rest", F.col("_free") - sum(
-                (F.when(hit, lng(group)).otherwise(lng(0)) for hit, group in zip(taken, groups)), lng(0)))
-            .drop("_free").withColumnRenamed("_rest", "_free")
-        )
-    return table.drop("_free")
-
-
-def aligned_batches(rows: DataFrame, n: int) -> DataFrame:
-    """Aligned full groups of eligible rows: (hexes, octs, quads, pairs), largest first.
-
-    ``rows`` has (r, eligible). A group of 16, 8, 4 or 2 rows counts when it
-    starts at a multiple of its size and every row is eligible; widths 16, 8
-    and 4 need at most 8192, 16384 and 32768 columns.
-    """
-    masks = rows.groupBy(int_div(F.col("r"), GROUP_ROWS)).agg(F.sum(member_bit(F.col("eligible"))).alias("mask"))
-    counted = with_group_counts(masks, "mask", n)
-    return counted.agg(*[F.coalesce(F.sum(name), lng(0)).alias(name) for name in GROUP_SIZES])

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrel.functions.bits import with_hash32
 from matrel.operators.coo import all_rows
 from matrel.operators.ordered import BLOCK, running
 from matrel.operators.windows import window_of
 from matrel.session import stage
 
-# Fixed value: offset that separates the second fingerprint from the first.
-SECOND_HASH_OFFSET = 0x5BD1E995
-
 
 def row_pointers(entries: DataFrame, n: int) -> DataFrame:
     """(r, row_nnz, begin_at, end_at) for every row, empty rows included."""
@@ -36,14 +32,14 @@ def packed_rows(entries: DataFrame, width: int = BLOCK) -> DataFrame:
 
 
 def fingerprints(entries: DataFrame) -> DataFrame:
-    """(r, row_nnz, fp_xor, fp_sum): two independent digests of a row's column set.
+    """(r, row_nnz, fp_xor, fp_sum): two digests of a row's column set, from separate bits of one hash.
 
     Columns are unique in a row, so the set determines the row's structure;
     both digests combine on the map side.
     """
-    hashed = with_hash32(entries.select("r", "c"), F.col("c"), "h1")
-    hashed = with_hash32(hashed, F.col("c") + SECOND_HASH_OFFSET, "h2")
-    return hashed.groupBy("r").agg(
+    digest = F.md5(F.col("c").cast("string"))
+    bits = lambda first, digits: F.conv(F.substring(digest, first, digits), 16, 10).cast("long")
+    return entries.select("r", bits(1, 15).alias("h1"), bits(17, 10).alias("h2")).groupBy("r").agg(
         F.count(F.lit(1)).alias("row_nnz"), F.bit_xor("h1").alias("fp_xor"), F.sum("h2").alias("fp_sum"))
 
 

@@ -42,11 +42,14 @@ class JoinShape:
     pairs: float
     hot_keys: int
     degrees: DataFrame
+    longest: int | None = None       # most pairs of one left row's group, where known
 
     def partitions(self, limits: Limits) -> int:
         spark = self.degrees.sparkSession
         wanted = math.ceil(self.pairs / limits.pairs_per_task)
-        return max(spark.sparkContext.defaultParallelism, min(MAX_PARTITIONS, wanted))
+        if wanted > MAX_PARTITIONS:
+            raise ValueError(f"{self.pairs:.3g} pairs need {wanted} tasks; raise Limits.pairs_per_task or restrict the rows")
+        return max(spark.sparkContext.defaultParallelism, wanted)
 
 
 def join_shape(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
@@ -77,9 +80,7 @@ def cuts_of(shape: JoinShape, limits: Limits) -> DataFrame:
     edge = float(math.isqrt(limits.pairs_per_cell))
     left, right = F.col("left_rows").cast("double"), F.col("right_rows").cast("double")
     other = lambda side: F.lit(float(limits.pairs_per_cell)) / F.least(side, F.lit(edge))
-    cut = lambda rows, opposite: F.least(
-        lng(MAX_CUT), F.greatest(lng(1), F.ceil(rows / other(opposite)).cast("long"))
-    )
+    cut = lambda rows, opposite: F.greatest(lng(1), F.ceil(rows / other(opposite)).cast("long"))
     pairs = left * right
     return shape.degrees.filter(pairs > limits.pairs_per_cell).select(
         F.col("k").alias("hot_k"), cut(left, right).alias("cut_l"), cut(right, left).alias("cut_r")
@@ -119,22 +120,32 @@ def spread_join(left: DataFrame, left_key: str, left_identity: list[str],
             left = left.repartition(parts, *spread_by)
         return left.join(F.broadcast(right), on, how)
     if shape.hot_keys == 0:
-        return left.repartition(parts, left_key).join(right.repartition(parts, right_key), on, how)
+        # The hint keeps Spark from broadcasting a side for its small compressed size.
+        right = right.repartition(parts, right_key).hint("shuffle_hash")
+        return left.repartition(parts, left_key).join(right, on, how)
     cuts = stage(cuts_of(shape, limits))
+    if cuts.filter((F.col("cut_l") > MAX_CUT) | (F.col("cut_r") > MAX_CUT)).limit(1).count():
+        raise ValueError("one key needs more salts than MAX_CUT; raise Limits.pairs_per_cell")
     if limits.broadcasts(shape.hot_keys, cuts):
         cuts = F.broadcast(cuts)
     lhs = _salted(left, left_key, left_identity, cuts, "cut_l", "cut_r", ("salt_l", "salt_r"))
     rhs = _salted(right, right_key, right_identity, cuts, "cut_r", "cut_l", ("salt_r2", "salt_l2"))
     lhs = lhs.repartition(parts, left_key, "salt_l", "salt_r")
-    rhs = rhs.repartition(parts, right_key, "salt_l2", "salt_r2")
+    rhs = rhs.repartition(parts, right_key, "salt_l2", "salt_r2").hint("shuffle_hash")
     on = on & (F.col("salt_l") == F.col("salt_l2")) & (F.col("salt_r") == F.col("salt_r2"))
     return lhs.join(rhs, on, how).drop("salt_l", "salt_r", "salt_l2", "salt_r2")
 
 
-def balanced(rows: DataFrame, group: str, shape: JoinShape, limits: Limits) -> bool:
-    """Whether no ``group`` of the left rows holds more than a quarter of one task's share."""
-    longest = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    return longest * 4 <= shape.left_rows / shape.partitions(limits)
+def balanced(rows: DataFrame, group: str, key: str, shape: JoinShape, limits: Limits) -> bool:
+    """Whether no ``group`` of the left rows makes more than a quarter of one task's share of the pairs."""
+    if shape.longest is not None:
+        return shape.longest * 4 <= shape.pairs / shape.partitions(limits)
+    met = shape.degrees.filter("right_rows > 0").select(F.col("k").alias("met_k"), "right_rows")
+    if limits.broadcasts(shape.right_rows, met):
+        met = F.broadcast(met)             # no more keys than counted rows
+    made = rows.join(met, F.col(key) == F.col("met_k")).groupBy(group).agg(F.sum("right_rows").alias("made"))
+    longest = made.agg(F.max("made")).first()[0] or 0
+    return longest * 4 <= shape.pairs / shape.partitions(limits)
 
 
 def lookup(left: DataFrame, left_key: str, left_identity: list[str], right: DataFrame,

@@ -9,15 +9,20 @@ One logical operator with three physical forms that return the same rows:
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrel.functions.bits import lng
 from matrel.operators.coo import Matrix, between
 from matrel.operators.joins import JoinShape, Limits, balanced, join_shape, lookup, spread_join
+from matrel.operators.profile import row_features
 from matrel.operators.tiles import tile_products
+from matrel.session import stage
 
-DENSE_ROUTE = 3
+DIRECT_ROUTE, DENSE_ROUTE = 1, 3
+_FAR = 1 << 62
 HEAVY_PRODUCTS = 4096      # fixed value: default threshold of heavy rows
 MODES = ("merge", "dense", "adaptive", "auto")
 MODE_ALIASES = {
@@ -46,7 +51,7 @@ def joined_entries(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
     shape = shape or join_shape(left, "k", right, "kb", limits)
     by = None
     if limits.broadcasts(shape.right_rows, right):
-        by = ["r"] if balanced(left, "r", shape, limits) else ["r", "k"]
+        by = ["r"] if balanced(left, "r", "k", shape, limits) else ["r", "k"]
     joined = spread_join(left, "k", ["r", "k"], right, "kb", ["c"], shape, limits, spread_by=by)
     return joined.select("r", "k", "c", (F.col("va") * F.col("vb")).alias("p"))
 
@@ -57,15 +62,27 @@ def partial_products(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
     return joined_entries(a, b, limits, shape).select("r", "c", "p")
 
 
-def summed(products: DataFrame, keep_structural: bool, value: str = "p") -> DataFrame:
-    """Two-key sum; exact zeros are dropped unless the structure is kept."""
+def summed(products: DataFrame, keep_structural: bool, value: str = "p", parts: int = 0) -> DataFrame:
+    """Two-key sum; exact zeros are dropped unless the structure is kept.
+
+    The exchange of an aggregate has the session's number of partitions, which
+    adaptive execution can lower but not raise. Where the products call for more
+    ``parts``, they are dealt by cell first.
+    """
+    if parts > int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        products = products.repartition(parts, "r", "c")
     cells = products.groupBy("r", "c").agg(F.sum(value).alias("v"))
     return cells if keep_structural else cells.filter(F.col("v") != 0)
 
 
 def merge_multiply(a: DataFrame, b: DataFrame, keep_structural: bool = False,
                    limits: Limits = Limits(), shape: JoinShape | None = None) -> DataFrame:
-    return summed(partial_products(a, b, limits, shape), keep_structural)
+    shape = shape or join_shape(a, "c", b, "r", limits)
+    right = b.select("r", "c", "v")
+    whole_rows = limits.broadcasts(shape.right_rows, right) and balanced(a, "r", "c", shape, limits)
+    parts = 0 if whole_rows else shape.partitions(limits)
+    shape = replace(shape, longest=0 if whole_rows else _FAR)       # decided above, not counted again
+    return summed(partial_products(a, b, limits, shape), keep_structural, parts=parts)
 
 
 def dense_multiply(a: DataFrame, b: DataFrame, keep_structural: bool = False,
@@ -74,12 +91,12 @@ def dense_multiply(a: DataFrame, b: DataFrame, keep_structural: bool = False,
 
 
 def heavy_multiply(a: DataFrame, b: DataFrame, keep_structural: bool = False,
-                   limits: Limits = Limits(), ways: int = 8) -> DataFrame:
+                   limits: Limits = Limits(), ways: int = 8, shape: JoinShape | None = None) -> DataFrame:
     """Two-stage sum: cells are first summed per contraction residue, then joined up.
 
     The residue splits the sum of a single very hot cell over ``ways`` groups.
     """
-    joined = joined_entries(a, b, limits)
+    joined = joined_entries(a, b, limits, shape)
     parts = joined.groupBy("r", "c", F.pmod("k", lng(ways)).alias("way")).agg(F.sum("p").alias("p"))
     return summed(parts, keep_structural)
 
@@ -102,32 +119,73 @@ def keep_rows(a: DataFrame, rows: DataFrame, limits: Limits = Limits(), how: str
     return lookup(a, "r", ["c"], keys, "kept_r", limits, how=how)
 
 
-def split_rows(a: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
-    """Entries of DENSE rows and of all other rows."""
-    dense = routes.filter(F.col("route") == DENSE_ROUTE)
-    return keep_rows(a, dense, limits), keep_rows(a, dense, limits, "left_anti")
+def _classes(routes: DataFrame, limits: Limits) -> DataFrame:
+    """Routes with the ``form`` of each row: dense, direct, heavy or merge.
+
+    A row is heavy when it makes more than a quarter of one task's share of products: dealing
+    whole rows to tasks would leave one task behind.
+    """
+    threshold = max(HEAVY_PRODUCTS, limits.pairs_per_task // 4)
+    form = (
+        F.when(F.col("route") == DENSE_ROUTE, "dense").when(F.col("route") == DIRECT_ROUTE, "direct")
+        .when(F.col("products") >= threshold, "heavy").otherwise("merge")
+    )
+    return routes.filter("products > 0").withColumn("form", form)
 
 
-def adaptive_multiply(a: DataFrame, b: DataFrame, routes: DataFrame, keep_structural: bool = False,
+def adaptive_multiply(a: DataFrame, b: DataFrame, routes: DataFrame, n: int, keep_structural: bool = False,
                       limits: Limits = Limits()) -> DataFrame:
-    """Rows routed DENSE take the tile form, the rest the merge form."""
-    dense_a, merge_a = split_rows(a, routes, limits)
-    dense = dense_multiply(dense_a, b, keep_structural, limits)
-    merge = merge_multiply(merge_a, b, keep_structural, limits)
-    return merge.unionByName(dense)
+    """Every row in the form its route names; ``routes`` has (r, route) and, from the planner, (runs, products).
+
+    DENSE rows take the tile form. DIRECT rows are scaled rows of B and skip the sum. Heavy
+    rows are summed in two stages, the rest in one. The routes already hold the size of each
+    class, so the join needs no counting of its own where B is small enough to broadcast.
+    """
+    if "products" not in routes.columns:
+        features = row_features(Matrix(a, n), Matrix(b, n), limits).select("r", "runs", "products")
+        routes = stage(routes.select("r", "route").join(features, "r"))
+    classes = _classes(routes, limits)
+    sizes = {x["form"]: x for x in classes.groupBy("form").agg(
+        F.sum("runs").alias("runs"), F.sum("products").alias("products"), F.max("products").alias("longest")).collect()}
+    right_rows = b.count()
+    forms = classes.select(F.col("r").alias("routed_r"), "form")
+    marked = lookup(a, "r", ["c"], forms, "routed_r", limits, n)
+    parts = []
+    for form, size in sorted(sizes.items()):
+        rows = marked.filter(F.col("form") == form).select("r", "c", "v")
+        if form == "dense":
+            parts.append(dense_multiply(rows, b, keep_structural, limits))
+            continue
+        shape = None
+        if limits.broadcasts(right_rows, b.select("r", "c", "v")):
+            shape = JoinShape(size["runs"], right_rows, float(size["products"]), 0, b, size["longest"])
+        if form == "merge":
+            parts.append(merge_multiply(rows, b, keep_structural, limits, shape))
+        elif form == "heavy":
+            parts.append(heavy_multiply(rows, b, keep_structural, limits, shape=shape))
+        else:
+            single = partial_products(rows, b, limits, shape).withColumnRenamed("p", "v")
+            parts.append(single if keep_structural else single.filter(F.col("v") != 0))
+    if not parts:
+        return merge_multiply(a.limit(0), b, keep_structural, limits)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def multiply(a: Matrix, b: Matrix | None = None, mode: str = "auto", keep_structural: bool = False,
              rows: tuple[int | None, int | None] = (None, None),
              columns: tuple[int | None, int | None] = (None, None),
-             routes: DataFrame | None = None, calibrated: bool = True,
+             routes: DataFrame | None = None, calibrated: bool = False,
              limits: Limits = Limits()) -> DataFrame:
     """C = A x B (B defaults to A) as (r, c, v).
 
     ``rows`` and ``columns`` restrict the output to half-open ranges; both
     filters reach the scans of A and B. ``routes`` overrides the row routes of
-    ``adaptive``; ``auto`` takes the mode the row policy names, or with
-    ``calibrated=False`` the mode the routed work itself suggests.
+    ``adaptive``; ``auto`` takes the mode that the routed work suggests on Spark, or with
+    ``calibrated=True`` the one that the validated rule names. The entries of a matrix must be unique
+    (``canonical`` makes them so); this is not checked.
     """
     mode = resolve_mode(mode)
     b = b or a
@@ -143,7 +201,22 @@ def multiply(a: Matrix, b: Matrix | None = None, mode: str = "auto", keep_struct
         return merge_multiply(left, right, keep_structural, limits)
     if mode == "dense":
         return dense_multiply(left, right, keep_structural, limits)
-    return adaptive_multiply(left, right, routes, keep_structural, limits)
+    return adaptive_multiply(left, right, routes, a.n, keep_structural, limits)
+
+
+def tiled_multiply(a: Matrix, b: Matrix | None = None, rows: int = 1 << 20, columns: int = 1 << 20, **options) -> DataFrame:
+    """The product as the union of row ranges x column windows, for products too large to run in one piece.
+
+    Each tile is a product of its own; ``options`` go to ``multiply``.
+    """
+    b = b or a
+    tiles = [
+        multiply(a, b, rows=(r, min(r + rows, a.n)), columns=(c, min(c + columns, b.n)), **options)
+        for r in range(0, a.n, rows) for c in range(0, b.n, columns)]
+    out = tiles[0]
+    for tile in tiles[1:]:
+        out = out.unionByName(tile)
+    return out
 
 
 def reference_product(a: Matrix, b: Matrix | None = None, limits: Limits = Limits()) -> DataFrame:

@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrel.functions import sketch
-from matrel.functions.bits import BANKS, bank, ceil_div, floor_log2, int_div, lng
-from matrel.functions.sketch import HLL16, HLL32, SketchKind
+from matrel.functions.bits import floor_log2, int_div, lng
+from matrel.functions.sketch import SketchKind
 from matrel.operators.coo import Matrix, all_rows
 from matrel.operators.joins import Limits, lookup
-from matrel.operators.ordered import rank_within
-from matrel.session import stage
 
-# Width of the merge tree, limits of the wide merge, and bins.
-MERGE_WIDTH = 16
-WIDE_MERGE_MAX_RUN = 2048
+# Bins of products and of reuse.
 PRODUCT_BINS = 8
 REUSE_BINS = 6
 REUSE_EDGES = (0.5, 1.0, 2.0, 4.0, 8.0)
@@ -79,101 +75,3 @@ def output_estimates(entries: DataFrame, b: Matrix, kind: SketchKind, limits: Li
     merged = joined.groupBy("r").agg(F.sum("run").alias("products"), *sketch.merge(kind))
     upper = F.least(F.col("products"), lng(b.n))
     return merged.select("r", "products", sketch.estimate(upper, kind).alias("estimate"))
-
-
-def bank_loads(entries: DataFrame) -> DataFrame:
-    """Entries per bank of every row: (r, bank, load)."""
-    return entries.groupBy("r", bank(F.col("c")).cast("int").alias("bank")).agg(
-        F.count(F.lit(1)).alias("load")
-    )
-
-
-def detailed_features(a: Matrix, kind: SketchKind = HLL32, width: int = MERGE_WIDTH,
-                      limits: Limits = Limits()) -> DataFrame:
-    """Features of the cost model: unique columns, bank replays and merge-tree totals.
-
-    The merge tree unions the sketches of ``width`` neighbouring runs per node
-    until one node is left; each level is one grouped aggregation, and there
-    are log_width(longest row) levels.
-    """
-    spark = a.entries.sparkSession
-    banked = sketch.with_rank(
-        a.entries.select(F.col("r").alias("bk"), "c", bank(F.col("c")).alias("bank")), F.col("c"), kind)
-    load_names = [f"load{i}" for i in range(BANKS)]
-    leaves = banked.groupBy("bk").agg(
-        F.count(F.lit(1)).alias("run"), F.max("c").alias("last_c"),
-        *sketch.build(kind),
-        *[F.count(F.when(F.col("bank") == i, 1)).alias(name) for i, name in enumerate(load_names)],
-    )
-    placed = rank_within(a.entries.select("r", "c"), "c", a.n, ("r",))
-    # Runs of empty B rows are part of the tree: they stay, with an empty sketch.
-    joined = stage(
-        lookup(placed.withColumnRenamed("c", "k"), "k", ["r"], leaves, "bk", limits, a.n, "left")
-        .drop("bk").na.fill(0)
-    )
-    totals = joined.groupBy("r").agg(
-        F.count(F.lit(1)).alias("runs"), F.sum("run").alias("products"),
-        F.max("run").alias("max_run"), F.max("last_c").alias("max_col"),
-        *sketch.merge(kind), *[F.sum(name).alias(name) for name in load_names],
-    )
-    hottest = F.greatest(*[F.col(name) for name in load_names])
-    unique = sketch.estimate(F.least(F.col("products"), lng(a.n)), kind)
-    rows = totals.select(
-        "r", "runs", "products", "max_run", "max_col", unique.alias("unique_columns"),
-        F.greatest(hottest - ceil_div(F.col("products"), BANKS), lng(0)).alias("bank_replays"),
-    )
-    tree = merge_tree(joined, a.n, kind, width)
-    names = ("runs", "products", "max_run", "max_col", "unique_columns", "bank_replays",
-             "merge_materialized", "merge_critical", "merge_transactions")
-    return (
-        all_rows(spark, a.n).join(rows, "r", "left").join(tree, "r", "left")
-        .select("r", *[F.coalesce(F.col(x), lng(0)).alias(x) for x in names])
-    )
-
-
-def merge_tree(leaves: DataFrame, n: int, kind: SketchKind, width: int) -> DataFrame:
-    """(r, merge_materialized, merge_critical, merge_transactions) of the merge tree.
-
-    ``leaves`` has (r, pos, run, sketch). With ``width`` 2 an odd last node
-    passes through with its own estimate, as in a pairwise reduction.
-    """
-    longest = leaves.agg(F.max("pos")).first()[0]
-    if not longest:
-        return leaves.sparkSession.createDataFrame(
-            [], "r long, merge_materialized long, merge_critical long, merge_transactions long")
-    depth = 1
-    while width**depth <= longest:
-        depth += 1
-    levels = []
-    stage_rows = leaves.select(
-        "r", "pos", F.col("run").alias("upper"), F.col("run").alias("estimate"), *kind.columns)
-    for level in range(depth):
-        nodes = stage_rows.groupBy("r", int_div(F.col("pos"), width).alias("pos")).agg(
-            F.count(F.lit(1)).alias("members"), F.sum("upper").alias("upper"),
-            F.max("estimate").alias("estimate"), *sketch.merge(kind),
-        )
-        fresh = sketch.estimate(F.least(F.col("upper"), lng(n)), kind)
-        if width == 2:
-            fresh = F.when(F.col("members") == 1, F.col("estimate")).otherwise(fresh)
-        nodes = stage(nodes.withColumn("estimate", fresh))
-        # A row whose tree ended at an earlier level has a single node above it.
-        per_row = nodes.groupBy("r").agg(
-            F.sum("estimate").alias("materialized"), F.max("estimate").alias("critical"),
-            F.count(F.lit(1)).alias("transactions"), F.sum("members").alias("members"),
-        ).filter(F.col("members") > 1)
-        levels.append(per_row)
-        stage_rows = nodes.drop("members")
-    merged = levels[0]
-    for other in levels[1:]:
-        merged = merged.unionByName(other)
-    return merged.groupBy("r").agg(
-        F.sum("materialized").alias("merge_materialized"),
-        F.sum("critical").alias("merge_critical"),
-        F.sum("transactions").alias("merge_transactions"),
-    )
-
-
-def quick_features(a: Matrix, limits: Limits = Limits()) -> DataFrame:
-    """The cheaper first stage: 16-register sketches, no critical path, no banks."""
-    return detailed_features(a, HLL16, MERGE_WIDTH, limits).select(
-        "r", "runs", "products", "max_run", "unique_columns", "merge_materialized", "merge_transactions")

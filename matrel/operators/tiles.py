@@ -140,8 +140,8 @@ def tile_products(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
     """Partial sums (r, c, v) of A x B; one cell may appear once per task."""
     left = tiles(a, TILE_ROWS, TILE_INNER, "i", "k")
     right = tiles(b, TILE_INNER, TILE_COLUMNS, "kb", "j")
-    # Tiles are weighed by their entries (two values each), not by their number.
-    small = limits.broadcasts(2 * b.count(), right.select("kb"))
+    # Tiles are weighed by their entries, about 40 bytes each as structs, not by their number.
+    small = limits.broadcasts(5 * b.count(), right.select("kb"))
     tile_limits = Limits(
         broadcast_values=limits.broadcast_values if small else 0,
         pairs_per_cell=min(PAIRS_PER_CELL, limits.pairs_per_cell),
@@ -151,7 +151,7 @@ def tile_products(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
     right_keys = b.select(int_div(F.col("r"), TILE_INNER).alias("kb"), int_div(F.col("c"), TILE_COLUMNS).alias("j")).distinct()
     shape = join_shape(left_keys, "k", right_keys, "kb", tile_limits)
     # Whole row blocks per task keep few workspaces open; a long block is spread by tile.
-    by = ["i"] if small and balanced(left_keys, "i", shape, tile_limits) else ["i", "k"]
+    by = ["i"] if small and balanced(left_keys, "i", "k", shape, tile_limits) else ["i", "k"]
     pairs = spread_join(left, "k", ["i", "k"], right, "kb", ["j"], shape, tile_limits, spread_by=by)
     # Spark sorts the pairs by output tile so that few workspaces are open at once.
     ordered = pairs.select("i", "j", "items_i", "items_kb").sortWithinPartitions("i", "j")

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matrel.functions.bits import int_div
+from matrel.functions.bits import int_div, lng
 from matrel.operators.coo import Matrix
-from matrel.operators.joins import Limits
-from matrel.operators.multiply import product_count, reference_product
+from matrel.operators.joins import Limits, lookup
+from matrel.operators.multiply import reference_product
 
-# Tolerance floor and slope, unit roundoff, exact-check limits.
+# Tolerance floor and slope, unit roundoff.
 ABSOLUTE_TOLERANCE = 1.0e-4
 RELATIVE_TOLERANCE = 2.0e-4
 UNIT_ROUNDOFF = 2.0**-24
-EXACT_PRODUCTS = 10_000_000
-SAMPLE_ROWS = 512
 
 
 def tolerance(want: Column, abs_sum: Column, terms: Column) -> Column:
@@ -41,30 +39,30 @@ def compare(reference: DataFrame, product: DataFrame) -> DataFrame:
     return joined.withColumn("ok", finite & near & ~F.isnan("want"))
 
 
-def sampled_rows(spark, n: int, wanted: int = SAMPLE_ROWS) -> DataFrame:
+def sampled_rows(spark, n: int, wanted: int) -> DataFrame:
     """``wanted`` evenly spaced rows from 0 to n-1 (all rows when n is smaller)."""
-    if n <= wanted:
-        return spark.range(n).select(F.col("id").alias("r"))
+    if n <= wanted or wanted < 2:
+        return spark.range(n if wanted > 1 else min(n, 1)).select(F.col("id").alias("r"))
     return spark.range(wanted).select(int_div(F.col("id") * (n - 1), wanted - 1).alias("r")).distinct()
 
 
-def verify(a: Matrix, product: DataFrame, b: Matrix | None = None, exact: bool | None = None,
+def verify(a: Matrix, product: DataFrame, b: Matrix | None = None, sample_rows: int | None = None,
            limits: Limits = Limits()) -> DataFrame:
-    """Compare ``product`` with A x B: every row up to 1e7 products, else 512 spaced rows."""
-    if exact is None:
-        exact = a.n <= SAMPLE_ROWS or product_count(a, b) <= EXACT_PRODUCTS
+    """Compare every row of ``product`` with A x B; only with ``sample_rows`` that many spaced rows."""
     entries = a.entries
-    if not exact:
-        rows = F.broadcast(sampled_rows(entries.sparkSession, a.n))       # at most SAMPLE_ROWS rows
-        entries = entries.join(rows, "r", "left_semi")
-        product = product.join(rows, "r", "left_semi")
+    if sample_rows is not None:
+        rows = sampled_rows(entries.sparkSession, a.n, sample_rows).select(F.col("r").alias("kept_r"))
+        keep = lambda cells: lookup(cells, "r", ["c"], rows, "kept_r", limits, min(a.n, sample_rows), "left_semi")
+        entries, product = keep(entries), keep(product)
     return compare(reference_product(Matrix(entries, a.n), b or a, limits), product)
 
 
-def report(compared: DataFrame) -> DataFrame:
-    """One row: cells, mismatches, rows and the largest deviation."""
+def report(compared: DataFrame, total_rows: int, checked_rows: int | None = None) -> DataFrame:
+    """One row: cells, mismatches, rows, the largest deviation, and how many rows were checked."""
     return compared.agg(
         F.count(F.lit(1)).alias("cells"), F.count(F.when(~F.col("ok"), 1)).alias("mismatches"),
         F.count_distinct(F.when(~F.col("ok"), F.col("r"))).alias("bad_rows"),
         F.coalesce(F.max(F.abs(F.col("got") - F.col("want"))), F.lit(0.0)).alias("max_deviation"),
+        lng(total_rows if checked_rows is None else min(checked_rows, total_rows)).alias("checked_rows"),
+        lng(total_rows).alias("total_rows"),
     )

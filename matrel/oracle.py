@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from matrel.functions.bits import HASH_MULTIPLIERS, HASH_OFFSET
-from matrel.functions.sketch import EMPTY_REMAINDER_RANK, HLL16, HLL32, SketchKind
-from matrel.operators import batches, windows
-from matrel.operators.csr import SECOND_HASH_OFFSET
-from matrel.plans.detailed import CostModel
-from matrel.plans.light import LightOptions
+from typing import NamedTuple
+
+# Written out here, not taken from the engine, so a wrong constant shows (fixed values).
+HASH_OFFSET, HASH_MULTIPLIERS = 2654435769, (2246822507, 3266489909)
+EMPTY_REMAINDER_RANK = 31
+RUN_ITEMS = 256
+ISLAND_TASKS, ISLAND_ROWS, ISLAND_LEAST_ROWS, ISLAND_LEAST_PRODUCTS = (2, 180), 64, 4, 512
+
+
+class Sketch(NamedTuple):
+    registers: int
+    index_bits: int
+    alpha: float
+
+
+HLL16, HLL32 = Sketch(16, 4, 0.673), Sketch(32, 5, 0.697)
 
 MATRICES = {
     "part": ("(SELECT max(p_partkey) + 1 FROM part)", """
@@ -92,24 +102,24 @@ def hashed(source: str, column: str, prefix: str, extra: str = "r, c") -> str:
     return ", ".join(steps)
 
 
-def sketches(kind: SketchKind, name: str = "sk") -> str:
+def sketches(kind: Sketch, name: str = "sk") -> str:
     """Long sketches of the rows of ``a``: (r, register, rank)."""
     rest = f"(h >> {kind.index_bits})"
     return f"""{hashed('a', 'c', name + '_h')},
         {name} AS (SELECT r, CAST(h & {kind.registers - 1} AS INTEGER) AS register,
                    CAST(max(CASE WHEN {rest} = 0 THEN {EMPTY_REMAINDER_RANK}
-                        ELSE {kind.rank_bits + 1} - length(bin({rest})) END) AS INTEGER) AS rank
+                        ELSE {32 - kind.index_bits + 1} - length(bin({rest})) END) AS INTEGER) AS rank
                    FROM {name}_h GROUP BY 1, 2)"""
 
 
-def estimate(kind: SketchKind, upper: str, inverse: str = "inv", zeros: str = "zeros") -> str:
+def estimate(kind: Sketch, upper: str, inverse: str = "inv", zeros: str = "zeros") -> str:
     m = kind.registers
     raw = f"({kind.alpha * m * m!r}e0 / {inverse})"
     value = f"(CASE WHEN {raw} <= {2.5 * m!r}e0 AND {zeros} > 0 THEN {m}.0e0 * ln({m}.0e0 / {zeros}) ELSE {raw} END)"
     return f"(CASE WHEN {upper} = 0 THEN 0 ELSE greatest(1, least({upper}, CAST(floor({value} + 0.5e0) AS BIGINT))) END)"
 
 
-def union_estimates(kind: SketchKind, keys: str, source: str, name: str) -> str:
+def union_estimates(kind: Sketch, keys: str, source: str, name: str) -> str:
     """(keys, inv, zeros) of sketches unioned over ``source`` (keys, register, rank)."""
     m = kind.registers
     return f"""{name}_reg AS (SELECT {keys}, register, max(rank) AS rank FROM {source} WHERE rank > 0 GROUP BY {keys}, register),
@@ -117,7 +127,7 @@ def union_estimates(kind: SketchKind, keys: str, source: str, name: str) -> str:
                    FROM {name}_reg GROUP BY {keys})"""
 
 
-def row_estimates(kind: SketchKind, entries: str = "a") -> str:
+def row_estimates(kind: Sketch, entries: str = "a") -> str:
     """``est`` (r, products, estimate) for the rows of ``entries``."""
     return f"""{sketches(kind)},
         u_src AS (SELECT e.r, sk.register, sk.rank FROM {entries} e JOIN sk ON e.c = sk.r),
@@ -128,32 +138,27 @@ def row_estimates(kind: SketchKind, entries: str = "a") -> str:
                 FROM ep JOIN u ON ep.r = u.r)"""
 
 
-def light(o: LightOptions = LightOptions()) -> str:
+def light() -> str:
     """WITH terms through ``samples`` and ``routes``."""
-    legal = "true" if o.allow_segmented_dense else (
-        f"span <= {o.dense_capacity}" if o.row_local_dense else f"(SELECT n FROM d) <= {o.dense_capacity}")
     return f"""{FEATURES},
-        g AS (SELECT *, ({legal} AND runs >= {o.dense_min_runs} AND products >= {o.dense_min_products}) AS eligible FROM f),
-        m AS (SELECT *, eligible AND lower_bound < {o.dense_min_compression!r}e0 AS ambiguous FROM g),
-        gate AS (SELECT sum(CASE WHEN runs > 1 THEN products ELSE 0 END) / CAST(count(*) AS DOUBLE) >= {o.sample_min_avg_products} AS go FROM m),
+        g AS (SELECT *, (runs >= 17 AND products >= 512) AS eligible FROM f),
+        m AS (SELECT *, eligible AND lower_bound < 8.0e0 AS ambiguous FROM g),
+        gate AS (SELECT sum(CASE WHEN runs > 1 THEN products ELSE 0 END) / CAST(count(*) AS DOUBLE) >= 64 AS go FROM m),
         ranked AS (SELECT r, bin, row_number() OVER (PARTITION BY bin ORDER BY r) - 1 AS pos, count(*) OVER (PARTITION BY bin) AS size
                    FROM m WHERE ambiguous),
-        sizes AS (SELECT DISTINCT bin, size, least(greatest(1, CAST(ceil({o.sample_rate!r}e0 * size) AS BIGINT)), size) AS wish FROM ranked),
-        quota AS (SELECT *, least(wish, greatest(0, {o.max_sample_rows}
-                         - coalesce(sum(wish) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS wanted FROM sizes),
-        chosen AS (SELECT ranked.r, ranked.bin FROM ranked JOIN quota ON ranked.bin = quota.bin, gate WHERE go AND wanted > 0 AND pos IN (
-                   SELECT CAST(s.range * quota.size // quota.wanted AS BIGINT) FROM range(0, {o.max_sample_rows}) s WHERE s.range < quota.wanted)),
+        quota AS (SELECT *, least(greatest(1, CAST(ceil(0.03e0 * size) AS BIGINT)), size) AS wanted FROM ranked),
+        steps AS (SELECT *, (pos * wanted + size - 1) // size AS step FROM quota),
+        chosen AS (SELECT r, bin FROM steps, gate WHERE go AND step < wanted AND step * size // wanted = pos),
         picked AS (SELECT a.* FROM a JOIN chosen ON a.r = chosen.r),
         {row_estimates(HLL16, 'picked')},
         samples AS (SELECT chosen.r, bin, products, estimate, CAST(products AS DOUBLE) / greatest(1, estimate) AS ratio
                     FROM chosen JOIN est ON chosen.r = est.r),
         score AS (SELECT bin, median(ratio) AS bin_compression FROM samples GROUP BY bin),
         r1 AS (SELECT m.*, CASE WHEN products = 0 OR runs = 0 THEN 0 WHEN runs = 1 THEN 1
-                 WHEN eligible AND (lower_bound >= {o.dense_min_compression!r}e0 OR
-                      (coalesce(bin_compression, 0) >= {o.dense_min_compression * o.sampled_dense_margin!r}e0
-                       AND lower_bound >= {o.sampled_min_lower_bound!r}e0)) THEN 3 ELSE 2 END AS first_route
+                 WHEN eligible AND (lower_bound >= 8.0e0 OR
+                      (coalesce(bin_compression, 0) >= {8.0 * 1.20!r}e0 AND lower_bound >= 0.5e0)) THEN 3 ELSE 2 END AS first_route
                FROM m LEFT JOIN score ON m.bin = score.bin),
-        routes AS (SELECT *, CASE WHEN first_route = 3 AND products < {o.dense_single_row_products}
+        routes AS (SELECT *, CASE WHEN first_route = 3 AND products < 8192
                      AND count(CASE WHEN first_route = 3 THEN 1 END) OVER (PARTITION BY r // 2) < 2
                      THEN 2 ELSE first_route END AS route FROM r1)"""
 
@@ -186,165 +191,13 @@ def over_matrices(names: list[str], build, columns: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS matrix, {columns} FROM ({build(n)})" for n in names)
 
 
-def detailed(kind: SketchKind = HLL32, levels: int = 3, width: int = 16) -> str:
-    """WITH terms through ``det`` (cost-model features of every row)."""
-    tree = []
-    above = "leaf"
-    for level in range(1, levels + 1):
-        tree.append(f"""
-            m{level} AS (SELECT r, pos // {width} AS pos, count(*) AS members, CAST(sum(upper) AS BIGINT) AS upper FROM {above} GROUP BY 1, 2),
-            s{level} AS (SELECT r, pos // {width} AS pos, register, rank FROM {"leaf_reg" if level == 1 else f"t{level - 1}_reg"}),
-            {union_estimates(kind, 'r, pos', f's{level}', f't{level}')},
-            e{level} AS (SELECT m{level}.*, {estimate(kind, f'least(upper, (SELECT n FROM d))',
-                         f'coalesce(inv, {kind.registers}.0e0)', f'coalesce(zeros, {kind.registers})')} AS estimate
-                         FROM m{level} LEFT JOIN t{level} ON m{level}.r = t{level}.r AND m{level}.pos = t{level}.pos),
-            l{level} AS (SELECT r, sum(estimate) AS materialized, max(estimate) AS critical, count(*) AS transactions
-                         FROM e{level} GROUP BY r HAVING sum(members) > 1)""")
-        above = f"m{level}"
-    union = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(1, levels + 1))
-    loads = ", ".join(f"count(CASE WHEN xor(xor(c, c >> 3), c >> 6) & 7 = {i} THEN 1 END) AS b{i}" for i in range(8))
-    return f"""{sketches(kind)},
-        bs AS (SELECT r AS k, count(*) AS run, max(c) AS hi, {loads} FROM a GROUP BY r),
-        placed AS (SELECT r, c AS k, row_number() OVER (PARTITION BY r ORDER BY c) - 1 AS pos FROM a),
-        leaf AS (SELECT placed.r, pos, coalesce(run, 0) AS upper FROM placed LEFT JOIN bs ON placed.k = bs.k),
-        leaf_reg AS (SELECT placed.r, pos, register, rank FROM placed JOIN sk ON placed.k = sk.r),
-        {union_estimates(kind, 'r', 'leaf_reg', 'u')},
-        tot AS (SELECT placed.r, count(*) AS runs, CAST(coalesce(sum(run), 0) AS BIGINT) AS products, coalesce(max(run), 0) AS max_run,
-                coalesce(max(hi), 0) AS max_col,
-                CAST(greatest({', '.join(f'coalesce(sum(b{i}), 0)' for i in range(8))}) AS BIGINT) AS hottest
-                FROM placed LEFT JOIN bs ON placed.k = bs.k GROUP BY placed.r),
-        {','.join(tree)},
-        lv AS (SELECT r, CAST(sum(materialized) AS BIGINT) AS merge_materialized, CAST(sum(critical) AS BIGINT) AS merge_critical,
-               CAST(sum(transactions) AS BIGINT) AS merge_transactions FROM ({union}) GROUP BY r),
-        rows_ AS ({ROWS}),
-        det AS (SELECT rows_.r, coalesce(runs, 0) AS runs, coalesce(products, 0) AS products, coalesce(max_run, 0) AS max_run,
-                coalesce(max_col, 0) AS max_col,
-                coalesce({estimate(kind, 'least(coalesce(products, 0), (SELECT n FROM d))')}, 0) AS unique_columns,
-                coalesce(greatest(hottest - (products + 7) // 8, 0), 0) AS bank_replays,
-                coalesce(merge_materialized, 0) AS merge_materialized, coalesce(merge_critical, 0) AS merge_critical,
-                coalesce(merge_transactions, 0) AS merge_transactions
-                FROM rows_ LEFT JOIN tot ON rows_.r = tot.r LEFT JOIN u ON rows_.r = u.r LEFT JOIN lv ON rows_.r = lv.r)"""
-
-
-def costs(model: CostModel = CostModel()) -> str:
-    """``cost`` (features, merge_cost, dense_cost, route) on top of ``det``."""
-    x = lambda v: f"{v!r}e0" if "e" not in repr(v) else repr(v)
-    merge = f"""({x(model.merge_per_product)} * products + {x(model.merge_max_run)} * max_run + {x(model.merge_critical)} * merge_critical
-        + {x(model.merge_materialized)} * merge_materialized + {x(model.merge_final_copy)} * unique_columns
-        + {x(model.merge_transaction)} * merge_transactions)"""
-    dense = f"""({x(model.dense_row_setup)} * 1.0e0 + {x(model.dense_per_product)} * products
-        + {x(model.dense_round_ii)} * ((products + 7) // 8 + bank_replays) + {x(model.dense_bank_replay)} * bank_replays
-        + {x(model.dense_extract_per_nnz)} * unique_columns)"""
-    return f"""c0 AS (SELECT *, CASE WHEN runs > 1 THEN {merge} ELSE 0.0e0 END AS merge_cost,
-            CASE WHEN runs > 1 THEN {dense} ELSE 0.0e0 END AS dense_cost FROM det),
-        cost AS (SELECT *, CASE WHEN products = 0 OR runs = 0 THEN 0 WHEN runs = 1 THEN 1
-            WHEN (SELECT n FROM d) <= {model.dense_capacity} AND runs >= {model.dense_min_runs}
-                 AND dense_cost * {x(model.row_dense_margin)} < merge_cost THEN 3 ELSE 2 END AS route FROM c0)"""
-
-
-def aligned(source: str, name: str) -> str:
-    """``name`` (hexes, octs, quads, pairs) of ``source`` (r, eligible)."""
-    return f"""
-        {name}_g AS (SELECT r // 16 AS g16, r // 8 AS g8, r // 4 AS g4, r // 2 AS g2,
-            count(CASE WHEN eligible THEN 1 END) OVER (PARTITION BY r // 16) = 16 AND {N} <= 8192 AS f16,
-            count(CASE WHEN eligible THEN 1 END) OVER (PARTITION BY r // 8) = 8 AND {N} <= 16384 AS f8,
-            count(CASE WHEN eligible THEN 1 END) OVER (PARTITION BY r // 4) = 4 AND {N} <= 32768 AS f4,
-            count(CASE WHEN eligible THEN 1 END) OVER (PARTITION BY r // 2) = 2 AS f2 FROM {source}),
-        {name} AS (SELECT count(DISTINCT CASE WHEN f16 THEN g16 END) AS hexes,
-            count(DISTINCT CASE WHEN f8 AND NOT f16 THEN g8 END) AS octs,
-            count(DISTINCT CASE WHEN f4 AND NOT f16 AND NOT f8 THEN g4 END) AS quads,
-            count(DISTINCT CASE WHEN f2 AND NOT f16 AND NOT f8 AND NOT f4 THEN g2 END) AS pairs FROM {name}_g)"""
-
-
-def cycles(name: str, model: CostModel = CostModel()) -> str:
-    x = lambda v: f"{v!r}e0" if "e" not in repr(v) else repr(v)
-    names = ("products", "max_run", "merge_critical", "merge_materialized", "unique_columns", "merge_transactions", "grp", "bank_replays")
-    sums = ", ".join(
-        f"CAST(coalesce(sum(CASE WHEN route = {route} THEN {n} END), 0) AS BIGINT) AS {tag}_{n}"
-        for tag, route in (("m", 2), ("d", 3)) for n in names)
-    part = lambda n, *tags: "(" + " + ".join(f"{t}_{n}" for t in tags) + ")"
-    merge = lambda *t: f"""({x(model.merge_per_product)} * {part('products', *t)} + {x(model.merge_max_run)} * {part('max_run', *t)}
-        + {x(model.merge_critical)} * {part('merge_critical', *t)} + {x(model.merge_materialized)} * {part('merge_materialized', *t)}
-        + {x(model.merge_final_copy)} * {part('unique_columns', *t)} + {x(model.merge_transaction)} * {part('merge_transactions', *t)})"""
-    dense = lambda rows, *t: f"""({x(model.dense_row_setup)} * {rows} + {x(model.dense_per_product)} * {part('products', *t)}
-        + {x(model.dense_round_ii)} * ({part('grp', *t)} + {part('bank_replays', *t)}) + {x(model.dense_bank_replay)} * {part('bank_replays', *t)}
-        + {x(model.dense_extract_per_nnz)} * {part('unique_columns', *t)})"""
-    saved = lambda a: f"({x(model.credit(16))} * {a}.hexes + {x(model.credit(8))} * {a}.octs + {x(model.credit(4))} * {a}.quads + {x(model.credit(2))} * {a}.pairs)"
-    return f"""WITH {matrix(name)}, {detailed()}, {costs(model)},
-        multi AS (SELECT r, route >= 2 AS eligible FROM cost), mixed AS (SELECT r, route = 3 AS eligible FROM cost),
-        {aligned('multi', 'o')}, {aligned('mixed', 'x')},
-        s AS (SELECT {sums}, count(CASE WHEN route = 2 THEN 1 END) AS m_rows, count(CASE WHEN route = 3 THEN 1 END) AS d_rows,
-              count(CASE WHEN route = 0 THEN 1 END) AS empty_rows, count(CASE WHEN route = 1 THEN 1 END) AS direct_rows
-              FROM (SELECT *, (products + 7) // 8 AS grp FROM cost)),
-        k AS (SELECT s.*, {merge('m', 'd')} AS merge_cycles,
-              greatest(0.0e0, {dense('(m_rows + d_rows)', 'm', 'd')} - {saved('o')}) AS dense_cycles,
-              greatest(0.0e0, {merge('m')} + {dense('d_rows', 'd')} + {x(model.adaptive_row_control)} * (m_rows + d_rows) - {saved('x')}) AS adaptive_cycles,
-              o.hexes AS only_hexes, o.octs AS only_octs, o.quads AS only_quads, o.pairs AS only_pairs,
-              x.hexes AS mixed_hexes, x.octs AS mixed_octs, x.quads AS mixed_quads, x.pairs AS mixed_pairs FROM s, o, x)
-        SELECT empty_rows, direct_rows, m_rows AS merge_rows, d_rows AS dense_rows, m_products AS merge_products, d_products AS dense_products,
-               only_hexes, only_octs, only_quads, only_pairs, mixed_hexes, mixed_octs, mixed_quads, mixed_pairs,
-               merge_cycles, dense_cycles, adaptive_cycles,
-               CASE WHEN adaptive_cycles * {x(model.global_adaptive_margin)} < least(merge_cycles, dense_cycles) THEN 'ADAPTIVE'
-                    WHEN dense_cycles < merge_cycles THEN 'DENSE_ONLY' ELSE 'MERGE_ONLY' END AS mode FROM k"""
-
-
-def cheap(name: str) -> str:
-    return f"""WITH {matrix(name)}, {FEATURES},
-        z AS (SELECT *, runs > 0 AND products > 0 AS active, runs > 1 AND products > 0 AS multi,
-              runs > 1 AND products > 0 AND runs <= 16 AND max_run <= 2048 AS wide FROM f),
-        q AS (SELECT r // 4 AS g, count(CASE WHEN multi THEN 1 END) AS n4,
-              count(CASE WHEN multi AND r % 4 < 2 THEN 1 END) AS lo, count(CASE WHEN multi AND r % 4 > 1 THEN 1 END) AS hi FROM z GROUP BY 1),
-        qq AS (SELECT count(CASE WHEN n4 = 4 AND {N} <= 32768 THEN 1 END) AS quads,
-               CAST(coalesce(sum(CASE WHEN n4 = 4 AND {N} <= 32768 THEN 0 ELSE (CASE WHEN lo = 2 THEN 1 ELSE 0 END) + (CASE WHEN hi = 2 THEN 1 ELSE 0 END) END), 0) AS BIGINT) AS pairs FROM q),
-        t AS (SELECT count(CASE WHEN NOT active THEN 1 END) AS empty_rows, count(CASE WHEN active AND NOT multi THEN 1 END) AS direct_rows,
-              count(CASE WHEN multi THEN 1 END) AS multi_rows, CAST(coalesce(sum(CASE WHEN multi THEN products END), 0) AS BIGINT) AS multi_products,
-              count(CASE WHEN wide THEN 1 END) AS wide_rows, CAST(coalesce(sum(CASE WHEN wide THEN products END), 0) AS BIGINT) AS wide_products,
-              count(CASE WHEN active THEN 1 END) AS active_rows, CAST(coalesce(sum(CASE WHEN active THEN products END), 0) AS BIGINT) AS product_sum,
-              sum(CASE WHEN active THEN CAST(products AS DOUBLE) * products ELSE 0.0e0 END) AS square_sum FROM z),
-        u AS (SELECT t.*, qq.*, CASE WHEN active_rows = 0 OR product_sum = 0 THEN 0.0e0 ELSE
-              sqrt(greatest(0.0e0, square_sum / active_rows - (product_sum / CAST(active_rows AS DOUBLE)) * (product_sum / CAST(active_rows AS DOUBLE))))
-              / (product_sum / CAST(active_rows AS DOUBLE)) END AS product_cv FROM t, qq),
-        w AS (SELECT *, wide_products / CAST(nullif(multi_products, 0) AS DOUBLE) AS wide_f,
-              quads * 4.0e0 / nullif(multi_rows, 0) AS cover, CAST(multi_products AS DOUBLE) / nullif(multi_rows, 0) AS per_row FROM u),
-        y AS (SELECT *, CASE WHEN multi_rows = 0 THEN 1 WHEN empty_rows = 0 AND direct_rows = 0 AND product_cv <= 0.5e0 THEN 2
-              WHEN multi_products <= 4096 AND wide_f >= 0.9e0 AND quads = 0 THEN 3 WHEN multi_products <= 4096 THEN 4
-              WHEN wide_f <= 0.25e0 THEN 5 WHEN cover >= 0.875e0 THEN 6 WHEN cover >= 0.25e0 AND per_row <= 128 THEN 7
-              WHEN wide_f >= 0.9e0 OR (wide_f >= 0.35e0 AND multi_products >= 1048576) THEN 8 END AS rule FROM w)
-        SELECT empty_rows, direct_rows, multi_rows, multi_products, wide_rows, wide_products, quads, pairs, product_cv,
-               CASE WHEN rule IN (1, 3, 8) THEN 'MERGE_ONLY' WHEN rule IN (2, 4, 5, 6, 7) THEN 'DENSE_ONLY' END AS mode,
-               CASE rule WHEN 1 THEN 'cheap-no-reduction-work' WHEN 2 THEN 'cheap-regular-low-variance-dense-only'
-                 WHEN 3 THEN 'cheap-small-wide-no-quad-merge-only' WHEN 4 THEN 'cheap-small-work-dense-only'
-                 WHEN 5 THEN 'cheap-wide-ineligible-work-dense-only' WHEN 6 THEN 'cheap-quad-dominant-dense-only'
-                 WHEN 7 THEN 'cheap-short-quad-dense-only' WHEN 8 THEN 'cheap-wide-work-merge-only' END AS reason FROM y"""
-
-
 def window_terms(width: int) -> str:
-    """WITH terms: ``seg``, ``ww`` (row work per window), ``st`` (stripes), ``tk`` (tasks), ``fr`` (fragment work)."""
-    per = -(-width // windows.STRIPE_ITEMS)
+    """WITH terms ``seg`` (entries and runs of a row and window) and ``ww`` (row work per window)."""
     return f"""
-        seg AS (SELECT r AS k, c // {width} AS w, count(*) AS length, (count(*) + 255) // 256 AS stripes FROM a GROUP BY 1, 2),
-        ww AS (SELECT a.r, w, CAST(sum(stripes) AS BIGINT) AS runs, CAST(sum(length) AS BIGINT) AS products,
+        seg AS (SELECT r AS k, c // {width} AS w, count(*) AS length, (count(*) + {RUN_ITEMS - 1}) // {RUN_ITEMS} AS parts FROM a GROUP BY 1, 2),
+        ww AS (SELECT a.r, w, CAST(sum(parts) AS BIGINT) AS runs, CAST(sum(length) AS BIGINT) AS products,
                least(CAST(sum(length) AS BIGINT), least({width}, {N} - w * {width})) AS out_upper
-               FROM a JOIN seg ON a.c = seg.k GROUP BY a.r, w),
-        pl AS (SELECT r AS k, c // {width} AS w, (row_number() OVER (PARTITION BY r, c // {width} ORDER BY c) - 1) // 256 AS stripe FROM a),
-        st AS (SELECT k, w, stripe, count(*) AS length, (count(*) + 7) // 8 AS beats,
-               CAST(((xor(xor(k, k >> 3), k >> 6) & 7) + w + stripe) % 8 AS INTEGER) AS shard FROM pl GROUP BY k, w, stripe),
-        tk AS (SELECT a.r, w, a.c * {per} + stripe AS task, shard, a.v AS scale, length FROM a JOIN st ON a.c = st.k),
-        fr AS (SELECT r, w, count(*) AS runs, CAST(sum(length) AS BIGINT) AS products,
-               CAST(bit_or(1 << shard) AS INTEGER) AS source_mask FROM tk GROUP BY r, w),
-        lk AS (SELECT r, max(n) > {windows.LOCAL_MERGE_RUNS} AS row_locked FROM (SELECT r, w, shard, count(*) AS n FROM tk GROUP BY 1, 2, 3) GROUP BY r)"""
-
-
-def fragment_terms(width: int) -> str:
-    return f"""{window_terms(width)},
-        fg0 AS (SELECT routes.r AS logical_row, coalesce(w, 0) * {width} AS base,
-               least({width}, {N} - coalesce(w, 0) * {width}) AS span,
-               CASE WHEN coalesce(row_locked, false) AND route > 1 THEN 3 ELSE route END AS route,
-               coalesce(fr.runs, 0) AS runs, coalesce(fr.products, 0) AS products, coalesce(source_mask, 0) AS source_mask,
-               coalesce(row_locked, false) AS capacity_locked
-               FROM routes LEFT JOIN fr ON routes.r = fr.r LEFT JOIN lk ON routes.r = lk.r),
-        fg AS (SELECT *, (least(products, span) + 7) // 8 + CASE WHEN span > 32768 AND least(products, span) > 0 THEN 1 ELSE 0 END AS words_upper,
-               CAST(route AS BIGINT) | (least(products, 536870911) << 2) | (CASE WHEN capacity_locked THEN 2147483648 ELSE 0 END) AS route_word FROM fg0)"""
+               FROM a JOIN seg ON a.c = seg.k GROUP BY a.r, w)"""
 
 
 def greedy(source: str, budgets: dict[str, int], even: bool, prefix: str = "WITH RECURSIVE") -> str:
@@ -363,18 +216,18 @@ def greedy(source: str, budgets: dict[str, int], even: bool, prefix: str = "WITH
 
 def islands(name: str) -> str:
     return f"""WITH {matrix(name)}, {light()},
-        i0 AS (SELECT r, products, route = 2 AND runs BETWEEN {batches.ISLAND_MIN_TASKS} AND {batches.ISLAND_MAX_TASKS} AND products > 0 AS ok FROM routes),
+        i0 AS (SELECT r, products, route = 2 AND runs BETWEEN {ISLAND_TASKS[0]} AND {ISLAND_TASKS[1]} AND products > 0 AS ok FROM routes),
         i1 AS (SELECT *, coalesce(max(CASE WHEN NOT ok THEN r END) OVER (ORDER BY r), -1) + 1 AS island FROM i0),
-        i2 AS (SELECT r, products, island + (r - island) // {batches.ISLAND_MAX_ROWS} * {batches.ISLAND_MAX_ROWS} AS first_row FROM i1 WHERE ok)
+        i2 AS (SELECT r, products, island + (r - island) // {ISLAND_ROWS} * {ISLAND_ROWS} AS first_row FROM i1 WHERE ok)
         SELECT first_row, count(*) AS n_rows, CAST(sum(products) AS BIGINT) AS products,
-               count(*) >= {batches.ISLAND_MIN_ROWS} AND sum(products) >= {batches.ISLAND_MIN_PRODUCTS} AS selected FROM i2 GROUP BY first_row"""
+               count(*) >= {ISLAND_LEAST_ROWS} AND sum(products) >= {ISLAND_LEAST_PRODUCTS} AS selected FROM i2 GROUP BY first_row"""
 
 
 def fingerprints(name: str, source: str = "a", terms: str = "") -> str:
-    return f"""WITH {matrix(name)}, {terms}{hashed(source, 'c', 'x')}, {hashed(source, f'c + {SECOND_HASH_OFFSET}', 'y')},
-        fx AS (SELECT r, count(*) AS row_nnz, bit_xor(h) AS fp_xor FROM x GROUP BY r),
-        fy AS (SELECT r, CAST(sum(h) AS BIGINT) AS fp_sum FROM y GROUP BY r)
-        SELECT fx.r, row_nnz, fp_xor, fp_sum FROM fx JOIN fy ON fx.r = fy.r"""
+    return f"""WITH {matrix(name)}, {terms}
+        x AS (SELECT r, CAST('0x' || substr(md5(CAST(c AS VARCHAR)), 1, 15) AS BIGINT) AS h1,
+                     CAST('0x' || substr(md5(CAST(c AS VARCHAR)), 17, 10) AS BIGINT) AS h2 FROM {source})
+        SELECT r, count(*) AS row_nnz, bit_xor(h1) AS fp_xor, CAST(sum(h2) AS BIGINT) AS fp_sum FROM x GROUP BY r"""
 
 
 def verify(where: str = "true") -> str:
@@ -388,4 +241,5 @@ def verify(where: str = "true") -> str:
 
 
 REPORT = """SELECT count(*) AS cells, count(CASE WHEN NOT ok THEN 1 END) AS mismatches,
-    count(DISTINCT CASE WHEN NOT ok THEN r END) AS bad_rows, max(abs(got - want)) AS max_deviation FROM cmp"""
+    count(DISTINCT CASE WHEN NOT ok THEN r END) AS bad_rows, coalesce(max(abs(got - want)), 0.0e0) AS max_deviation,
+    {checked} AS checked_rows, (SELECT n FROM d) AS total_rows FROM cmp"""

@@ -1,9 +1,7 @@
-"""Matrix-level decisions on scalars: global policy and overhead veto."""
+"""The validated matrix-level rule, kept as a named option of ``auto``."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,25 +19,3 @@ def policy_decision(work: Column, merge_rows: Column, dense_rows: Column) -> Col
         & (merge_rows >= ADAPTIVE_MIN_MERGE_RATIO * dense_rows)
     )
     return F.when(region, "ADAPTIVE").otherwise("MERGE_ONLY")
-
-
-@dataclass(frozen=True)
-class CostDecision:
-    mode: str
-    merge_cycles: float
-    dense_cycles: float
-    adaptive_cycles: float
-    reason: str
-    gain_cycles: float
-
-    def best_only(self) -> str:
-        return "DENSE_ONLY" if self.dense_cycles < self.merge_cycles else "MERGE_ONLY"
-
-
-def after_overhead(decision: CostDecision, selector_ms: float, repetitions: int,
-                   transfer_ms: float = 0.03, kernel_mhz: float = 200.0) -> CostDecision:
-    """Drop ADAPTIVE when its predicted gain does not pay for choosing it."""
-    gain_ms = decision.gain_cycles / (kernel_mhz * 1000.0)
-    if decision.mode == "ADAPTIVE" and gain_ms * max(1, repetitions) <= selector_ms + transfer_ms:
-        return replace(decision, mode=decision.best_only(), reason="adaptive-gain-below-host-overhead")
-    return decision

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matrel.session import stage
+
 MODE_ORDER = ("row_adaptive", "merge_preferred_capacity_safe", "dense_only")
 RESULT_SCHEMA = "matrix string, mode string, batch string, rep int, ms double, output_nnz long"
 
@@ -81,6 +83,11 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").option("header", True).csv(path)
 
 
-def write_product(cells: DataFrame, path: str, ports: int = 4) -> None:
-    """Store a product as Parquet, ranged by row so that row filters skip files."""
-    cells.repartitionByRange(ports, "r", "c").sortWithinPartitions("r", "c").write.parquet(path)
+CELLS_PER_FILE = 1 << 23
+
+
+def write_product(cells: DataFrame, path: str) -> None:
+    """Store a product as Parquet, ranged by row so that row filters skip files; the product runs once."""
+    cells = stage(cells)
+    files = max(1, -(-cells.count() // CELLS_PER_FILE))
+    cells.repartitionByRange(files, "r", "c").sortWithinPartitions("r", "c").write.parquet(path)

@@ -10,7 +10,7 @@ from matrel.session import new_path, stage
 
 
 class Tables:
-    """The matrices of one data folder; each is staged once per instance."""
+    """The matrices of one data folder; each is staged once per instance, in the order of its rows."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -25,7 +25,7 @@ class Tables:
     def matrix(self, name: str) -> Matrix:
         if name not in self._matrices:
             entries, n = getattr(self, f"_{name}")()
-            self._matrices[name] = Matrix(stage(entries), n)
+            self._matrices[name] = Matrix(stage(entries.repartitionByRange("r").sortWithinPartitions("r", "c")), n)
         return self._matrices[name]
 
     def _entries(self, table: str, r, c, v) -> DataFrame:
@@ -96,15 +96,15 @@ class Tables:
         """Block diagonal of supp and cust."""
         return self._stacked("supp", "cust")
 
-    def market_text(self, name: str, symmetry: str = "general") -> str:
-        """Folder with a matrix as Matrix Market text; symmetric forms keep r >= c."""
+    def market_text(self, name: str, symmetry: str = "general", field: str = "real") -> str:
+        """Folder with a matrix as Matrix Market text; symmetric forms keep r >= c, ``pattern`` drops the values."""
         matrix = self.matrix(name)
         entries = matrix.entries if symmetry == "general" else matrix.entries.filter(F.col("r") >= F.col("c"))
         lines = entries.select(F.concat_ws(
             " ", (F.col("r") + 1).cast("string"), (F.col("c") + 1).cast("string"),
-            F.col("v").cast("string")).alias("value"))
+            F.when(F.lit(field != "pattern"), F.col("v").cast("string"))).alias("value"))
         head = self.spark.createDataFrame(
-            [(f"%%MatrixMarket matrix coordinate real {symmetry}\n% derived\n\n{matrix.n} {matrix.n} {entries.count()}",)],
+            [(f"%%MatrixMarket matrix coordinate {field} {symmetry}\n% derived\n\n{matrix.n} {matrix.n} {entries.count()}",)],
             "value string").coalesce(1)
         path = new_path(self.spark, "text")
         head.unionAll(lines).write.text(path)        # the header stays in the first part

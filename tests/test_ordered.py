@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matrel.operators.batches import aligned_batches, merge_islands, row_batches
+from matrel.operators.batches import merge_islands, row_batches
 from matrel.operators.ordered import rank_within, running
 
 
@@ -81,18 +81,3 @@ def test_islands_equal_the_sequential_rule(spark):
         want.append((i, j - i, products, j - i >= 4 and products >= 512))
         i = j
     assert got == want and max(w[1] for w in want) == 64
-
-
-@pytest.mark.parametrize("n", [100, 9000, 20000, 40000])
-def test_aligned_groups_equal_the_greedy_scan(spark, n):
-    rng = random.Random(n)
-    flags = [rng.random() < 0.93 for _ in range(300)]
-    df = spark.createDataFrame(list(enumerate(flags)), "r long, eligible boolean")
-    limits = {16: 8192, 8: 16384, 4: 32768, 2: n}
-    counts, r = {16: 0, 8: 0, 4: 0, 2: 0}, 0
-    while r < 300:
-        size = next((s for s in (16, 8, 4, 2) if n <= limits[s] and r % s == 0 and r + s <= 300 and all(flags[r:r + s])), None)
-        if size:
-            counts[size] += 1
-        r += size or 1
-    assert tuple(aligned_batches(df, n).first()) == tuple(counts.values())

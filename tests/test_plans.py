@@ -6,13 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matrel.functions.bits import bit_length, pack_route, unpack_route, with_hash32
+from matrel.functions.bits import bit_length, with_hash32
 from matrel.functions.sketch import HLL16, HLL32
 from matrel.operators import profile
 from matrel.operators.coo import Matrix
 from matrel.operators.joins import Limits
-from matrel.plans import cheap, detailed, light
-from matrel.plans.policy import CostDecision, after_overhead
+from matrel.plans import light
 
 MASK = 0xFFFFFFFF
 
@@ -62,14 +61,6 @@ def test_hash_and_bit_length(spark):
     assert all(r["b"] == r["x"].bit_length() for r in got)
 
 
-def test_route_word_round_trip(spark):
-    rows = [(0, 0, False), (2, 5, True), (3, 2**40, True), (1, 0x1FFFFFFF, False)]
-    df = spark.createDataFrame(rows, "route int, products long, lock boolean")
-    got = df.select("*", unpack_route(pack_route(F.col("route"), F.col("products"), F.col("lock"))).alias("u")).collect()
-    for r in got:
-        assert tuple(r["u"]) == (r["route"], min(r["products"], 0x1FFFFFFF), r["lock"])
-
-
 @pytest.mark.parametrize("kind", [HLL16, HLL32])
 @pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_values=0, pairs_per_cell=16)])
 def test_estimates(matrix_of, kind, limits):
@@ -88,50 +79,6 @@ def test_estimates(matrix_of, kind, limits):
             assert got[r] == (products, estimate_of(union, min(products, 40), kind))
 
 
-def tree_of(leaves, n, kind, width):
-    """(materialized, critical, transactions) by direct recursion over (sketch, upper, estimate)."""
-    materialized = critical = transactions = 0
-    while len(leaves) > 1:
-        nodes = []
-        for i in range(0, len(leaves), width):
-            group = leaves[i:i + width]
-            registers = [max(x) for x in zip(*(g[0] for g in group))]
-            upper = sum(g[1] for g in group)
-            passes = width == 2 and len(group) == 1
-            estimate = group[0][2] if passes else estimate_of(registers, min(upper, n), kind)
-            nodes.append((registers, upper, estimate))
-        materialized += sum(x[2] for x in nodes)
-        critical += max(x[2] for x in nodes)
-        transactions += len(nodes)
-        leaves = nodes
-    return materialized, critical, transactions
-
-
-@pytest.mark.parametrize("width", [16, 4, 2])
-def test_detailed_features(matrix_of, width):
-    rng = random.Random(5)
-    cells = {(rng.choice([0, 1, 2, 3, 3, 3, rng.randrange(60)]), rng.randrange(60)) for _ in range(320)}
-    m = matrix_of([(r, c, 1) for r, c in cells], 60)
-    by_row = {}
-    for r, c in sorted(cells):
-        by_row.setdefault(r, []).append(c)
-    got = {r["r"]: r for r in profile.detailed_features(m, HLL32, width).collect()}
-    assert len(got) == 60
-    for r in range(60):
-        runs = [by_row.get(k, []) for k in by_row.get(r, [])]
-        leaves = [(sketch_of(x, HLL32), len(x), len(x)) for x in runs]
-        tree = tree_of(leaves, 60, HLL32, width)
-        row = got[r]
-        assert (row["merge_materialized"], row["merge_critical"], row["merge_transactions"]) == tree
-        loads = [0] * 8
-        for x in runs:
-            for c in x:
-                loads[(c ^ (c >> 3) ^ (c >> 6)) & 7] += 1
-        products = sum(map(len, runs))
-        assert row["products"] == products and row["runs"] == len(runs)
-        assert row["bank_replays"] == max(0, max(loads) - -(-products // 8))
-
-
 def test_sampling_decides_the_hub(hub):
     plan = light.choose_routes(hub)
     row = plan.summary().first()
@@ -163,51 +110,60 @@ def test_lone_dense_rows_are_demoted(spark):
     assert [r for r, route in sorted(routes.items()) if route == 3] == [0, 1, 4]
 
 
-def test_tuning_ignores_bad_values():
-    o = light.LightOptions.tuned(compression=200, min_products=1, sample_rate=0.5)
-    assert o == light.LightOptions()
+def test_tuning_rejects_bad_values():
+    for bad in ({"compression": 200}, {"min_products": 1}, {"sample_rate": 1.5}):
+        with pytest.raises(ValueError):
+            light.LightOptions.tuned(**bad)
     assert light.LightOptions.tuned(compression=4.0).dense_min_compression == 4.0
 
 
-def test_width_limits_dense_rows(hub):
-    options = light.LightOptions(dense_capacity=1000)
-    assert light.choose_routes(hub, options=options).summary().first()["dense_rows"] == 0
-    local = light.LightOptions(dense_capacity=1000, row_local_dense=True)
-    assert light.choose_routes(hub, options=local).summary().first()["dense_rows"] == 0
-    assert light.choose_routes(hub, options=light.LightOptions.whole_row()).summary().first()["dense_rows"] == 200
-
-
-def test_overhead_veto():
-    plan = CostDecision("ADAPTIVE", 200.0, 100.0, 50.0, "x", 50.0)
-    assert after_overhead(plan, selector_ms=1.0, repetitions=1).mode == "DENSE_ONLY"
-    assert after_overhead(plan, 0.0, 10**6).mode == "ADAPTIVE"
-
-
-def cheap_reason(spark, rows, n):
-    df = spark.createDataFrame(rows, "r long, runs long, products long, max_run long")
-    row = cheap.cheap_decision(cheap.cheap_totals(df, n)).first()
-    return row["mode"], row["reason"]
-
-
-@pytest.mark.parametrize("rows,n,want", [
-    ([(0, 0, 0, 0), (1, 1, 5, 5)], 2, ("MERGE_ONLY", "cheap-no-reduction-work")),
-    ([(i, 2, 10, 5) for i in range(4)], 4, ("DENSE_ONLY", "cheap-regular-low-variance-dense-only")),
-    ([(0, 2, 10, 5), (1, 0, 0, 0)], 2, ("MERGE_ONLY", "cheap-small-wide-no-quad-merge-only")),
-    ([(i, 2, 10, 5) for i in range(4)] + [(4, 0, 0, 0)], 5, ("DENSE_ONLY", "cheap-small-work-dense-only")),
-    ([(0, 99, 9000, 5), (1, 0, 0, 0)], 2, ("DENSE_ONLY", "cheap-wide-ineligible-work-dense-only")),
-    ([(i, 2, 9000, 5) for i in range(4)] + [(4, 0, 0, 0)], 5, ("DENSE_ONLY", "cheap-quad-dominant-dense-only")),
-    ([(0, 2, 9000, 5), (1, 0, 0, 0)], 2, ("MERGE_ONLY", "cheap-wide-work-merge-only")),
-    ([(0, 2, 5000, 5), (1, 99, 5000, 5), (2, 0, 0, 0)], 40000, (None, None)),
-])
-def test_cheap_rules(spark, rows, n, want):
-    assert cheap_reason(spark, rows, n) == want
-
-
-def test_mode_cycles_follow_row_costs(tables):
-    m = tables.matrix("cust")
-    costs = detailed.row_costs(profile.detailed_features(m), m.n)
-    total = costs.agg(F.sum("merge_cost").alias("m"), F.sum("dense_cost").alias("d")).first()
-    cycles = detailed.mode_cycles(costs, m.n).first()
-    credit = sum(cycles[f"only_{k}"] * detailed.CostModel().credit(s) for k, s in (("hexes", 16), ("octs", 8), ("quads", 4), ("pairs", 2)))
-    assert math.isclose(cycles["merge_cycles"], total["m"], rel_tol=1e-9)
-    assert math.isclose(cycles["dense_cycles"], max(0.0, total["d"] - credit), rel_tol=1e-9)
+def test_a_dense_block_routes_dense_in_a_wide_matrix(spark):
+    block = spark.range(100 * 100).select((F.col("id") / 100).cast("long").alias("r"), (F.col("id") % 100).alias("c"), F.lit(1.0).alias("v"))
+    plan = light.choose_routes(Matrix(block, 70_000))
+    row = plan.summary().first()
+    assert (row["dense_rows"], row["eligible_rows"], plan.mode()) == (100, 100, "dense")
+
+
+def test_every_bin_is_sampled_at_its_rate(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("r"), F.when(F.col("id") < 20_000, 3).when(F.col("id") < 29_990, 20).otherwise(40).alias("bin"))
+    got = {r["bin"]: r["n"] for r in light.sample_rows(rows, 30_000, light.LightOptions()).groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    assert got == {3: 600, 20: 300, 40: 1}
+    first = [r["r"] for r in light.sample_rows(rows.filter("bin = 40"), 30_000, light.LightOptions(sample_rate=0.3)).orderBy("r").collect()]
+    assert first == [29_990, 29_993, 29_996]        # s * 10 // 3 for s = 0, 1, 2
+
+
+def jobs_of(spark, run):
+    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    spark.sparkContext.setJobGroup("", "")
+    return len(tracker.getJobIdsForGroup(group))
+
+
+def test_few_jobs_build_the_adaptive_product(spark, tables):
+    from matrel import multiply
+
+    m = tables.matrix("blend")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # adaptive execution counts every stage as a job
+    try:
+        assert jobs_of(spark, lambda: multiply(m, mode="adaptive")) <= 16
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_joins_that_are_to_shuffle_broadcast_nothing(tables):
+    from matrel import multiply
+    from matrel.operators.joins import Limits
+
+    plan = multiply(tables.matrix("part"), mode="merge", limits=Limits(broadcast_values=0))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in text and "ShuffledHashJoin" in text
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(pairs_per_task=8192), Limits(broadcast_values=0, pairs_per_task=1 << 14)])
+def test_adaptive_takes_each_class_apart(hub, tables, limits):
+    from matrel import multiply
+
+    for m in (hub, tables.matrix("blend")):
+        merge, adaptive = multiply(m, mode="merge"), multiply(m, mode="adaptive", limits=limits)
+        assert adaptive.exceptAll(merge).count() == 0 and merge.exceptAll(adaptive).count() == 0

@@ -5,37 +5,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from matrel import multiply, report
-from matrel.operators import csr, verify, windows
-from matrel.plans import light
-
-
-def test_stripes_and_fragments(matrix_of, spark):
-    m = matrix_of([(0, c, 1) for c in range(600)] + [(1, 0, 1), (1, 2, 1), (2, 0, 1)], 700)
-    stripes = sorted(tuple(x) for x in windows.stripes(m.entries, 512).select("kb", "w", "stripe", "length", "beats").collect())
-    assert stripes == [(0, 0, 0, 256, 32), (0, 0, 1, 256, 32), (0, 1, 0, 88, 11), (1, 0, 0, 2, 1), (2, 0, 0, 1, 1)]
-    routes = spark.range(700).select(F.col("id").alias("r"), F.lit(2).alias("route"))
-    parts = {(x["logical_row"], x["base"]): x for x in windows.fragments(m, routes, width=512).collect()}
-    assert parts[(1, 0)]["runs"] == 3 and parts[(1, 0)]["products"] == 513       # B row 2 adds one run
-    assert parts[(1, 512)]["span"] == 188 and parts[(1, 512)]["runs"] == 1
-    assert parts[(600, 0)]["runs"] == 0 and parts[(600, 0)]["words_upper"] == 0
-    assert len({k for k, _ in parts}) == 700
-
-
-def test_capacity_lock_promotes_the_whole_row(matrix_of, spark, monkeypatch):
-    monkeypatch.setattr(windows, "LOCAL_MERGE_RUNS", 2)
-    cells = [(0, k, 1) for k in range(40)] + [(k, 0, 1) for k in range(1, 40)] + [(1, 600, 1)]
-    m = matrix_of(cells, 700)
-    routes = spark.range(700).select(F.col("id").alias("r"), F.lit(2).alias("route"))
-    rows = windows.fragments(m, routes, width=512).filter("logical_row = 0").collect()
-    assert len(rows) == 2 and all(x["route"] == 3 and x["capacity_locked"] for x in rows)
-    merge = light.forced_routes(windows.fragments(m, routes, width=512), "merge").filter("logical_row = 0").collect()
-    assert {x["route"] for x in merge} == {3}
-
-
-def test_wide_spans_may_end_in_two_partial_words(spark):
-    df = spark.createDataFrame([(5, 40000), (5, 100), (0, 40000), (90, 64)], "p long, s long")
-    got = [x[0] for x in df.select(windows.words_upper(F.col("p"), F.col("s"))).collect()]
-    assert got == [2, 1, 0, 8]
+from matrel.operators import csr, verify
 
 
 def test_row_pointers_and_packed_rows(matrix_of):
@@ -61,19 +31,13 @@ def test_violations(spark):
 def test_verification_finds_wrong_missing_and_extra_cells(matrix_of):
     m = matrix_of([(0, 1, 30.0), (1, 2, 40.0), (1, 1, 2.0), (2, 0, 7.0)], 3)
     good = multiply(m, mode="merge")
-    assert verify.report(verify.verify(m, good)).first()["mismatches"] == 0
+    assert verify.report(verify.verify(m, good), 3).first()["mismatches"] == 0
     wrong = good.withColumn("v", F.when((F.col("r") == 0) & (F.col("c") == 2), F.col("v") + 1).otherwise(F.col("v")))
     missing = good.filter("NOT (r = 0 AND c = 2)")
     extra = good.unionByName(good.sparkSession.createDataFrame([(2, 2, 1.0)], "r long, c long, v double"))
     nan = good.withColumn("v", F.when(F.col("r") == 0, float("nan")).otherwise(F.col("v")))
     for bad in (wrong, missing, extra, nan):
-        assert verify.report(verify.verify(m, bad)).first()["mismatches"] >= 1
-
-
-def test_sampled_rows_are_evenly_spaced(spark):
-    rows = sorted(x["r"] for x in verify.sampled_rows(spark, 100_000).collect())
-    assert len(rows) == 512 and rows[0] == 0 and rows[-1] == 99_999
-    assert rows == sorted({i * 99_999 // 511 for i in range(512)})
+        assert verify.report(verify.verify(m, bad), 3).first()["mismatches"] >= 1
 
 
 def test_fingerprints_tell_structures_apart(matrix_of):
@@ -106,8 +70,8 @@ def multiply_source(spark):
     return spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0), (2, 2, 3.0)], "r long, c long, v double")
 
 
-SAMPLED = ["spgemm_merge", "spgemm_dense", "spgemm_adaptive", "spgemm_auto", "plan_summary", "fragments", "row_batches",
-           "detailed_features", "hll16_estimate", "csr_rowptr", "verify_report", "matrix_market_skew"]
+SAMPLED = ["spgemm_merge", "spgemm_dense", "spgemm_adaptive", "spgemm_auto", "plan_summary", "row_batches",
+           "csr_violations_damaged", "verify_range", "hll16_estimate", "csr_rowptr", "verify_report", "matrix_market_skew"]
 
 
 @pytest.mark.parametrize("name", SAMPLED)
@@ -125,7 +89,8 @@ def test_queries_equal_their_sql(spark, name):
 def test_every_query_has_sql():
     import __spark_entry__ as entry
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    corpus = set(entry.corpus.queries()) | {"pipeline"} if entry.corpus else set()
+    assert set(entry.queries()) - corpus == set(entry.oracle_sql()) - corpus
 
 
 def test_command_line(spark, tables, tmp_path, capsys):
@@ -142,9 +107,45 @@ def test_command_line(spark, tables, tmp_path, capsys):
     assert "'mismatches': 0" in capsys.readouterr().out
 
 
-def test_empty_shard_split(spark):
-    tasks = [(3, 0, i, i % 7) for i in range(14)] + [(2, 0, i, i % 8) for i in range(16)] + [(9, 0, i, 0) for i in range(20)]
-    df = spark.createDataFrame(tasks, "r long, w long, task long, shard int")
-    routes = spark.range(10).select(F.col("id").alias("r"), F.when(F.col("id") == 3, 2).otherwise(3).alias("route"))
-    assert [tuple(x) for x in windows.empty_shard_split(df, routes, 10, 10).collect()] == [(0, 9)]
-    assert [tuple(x) for x in windows.empty_shard_split(df, routes, 10, 10, every_route=True).collect()] == [(0, 4)]
+def test_a_wrong_row_outside_any_sample_is_found(spark):
+    cells = spark.range(4000).select(F.col("id").alias("r"), ((F.col("id") * 7) % 4000).alias("c"), F.lit(2.0).alias("v"))
+    from matrel.operators.coo import Matrix
+
+    m = Matrix(cells, 4000)
+    wrong = multiply(m, mode="merge").withColumn("v", F.when(F.col("r") == 3, F.col("v") + 1000).otherwise(F.col("v")))
+    assert 3 not in {x["r"] for x in verify.sampled_rows(spark, 4000, 512).collect()}
+    full = verify.report(verify.verify(m, wrong), m.n).first()
+    assert (full["mismatches"], full["checked_rows"], full["total_rows"]) == (1, 4000, 4000)
+    part = verify.report(verify.verify(m, wrong, sample_rows=512), m.n, 512).first()
+    assert (part["mismatches"], part["checked_rows"], part["total_rows"]) == (0, 512, 4000)
+
+
+def test_sampled_rows_are_evenly_spaced(spark):
+    rows = sorted(x["r"] for x in verify.sampled_rows(spark, 100_000, 512).collect())
+    assert rows == sorted({i * 99_999 // 511 for i in range(512)})
+
+
+def test_fingerprints_tell_far_columns_apart(spark):
+    rows = [(0, 5), (1, 5 + 2**32), (2, 5 + 2**40)]
+    got = csr.fingerprints(spark.createDataFrame(rows, "r long, c long")).collect()
+    assert len({x["fp_xor"] for x in got}) == 3 and len({x["fp_sum"] for x in got}) == 3
+
+
+def test_tiles_unite_to_the_product(tables):
+    from matrel.operators.multiply import tiled_multiply
+
+    m = tables.matrix("cust")
+    whole, tiled = multiply(m, mode="merge"), tiled_multiply(m, rows=60, columns=90, mode="merge")
+    assert whole.exceptAll(tiled).count() == 0 and tiled.exceptAll(whole).count() == 0
+
+
+def test_released_files_are_gone(spark, monkeypatch, tmp_path):
+    import os
+
+    from matrel import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
+    session.stage(spark.range(3)).count()
+    assert os.listdir(tmp_path)
+    session.release(spark)
+    assert not os.listdir(tmp_path)
