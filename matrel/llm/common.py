@@ -84,12 +84,12 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     ``removed`` holds ``doc_id, text_key, places`` (zero-based line numbers), once per key. A text
     of no lines left is empty; a null text stays null.
     """
-    removed = removed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("places").alias("_places"))
+    removed = removed.select(F.col("doc_id").alias("__llm_id"), F.col("text_key").alias("__llm_key"), F.col("places").alias("__llm_places"))
     names = docs.columns
-    rows = docs.withColumn("_own", text_key())
-    rows = rows.join(removed, F.col("_own").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_places", i))
-    rows = rows.withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.concat_ws("\n", lines)))
+    rows = docs.withColumn("__llm_own", text_key())
+    rows = rows.join(removed, F.col("__llm_own").eqNullSafe(F.col("__llm_key")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")), "left")
+    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__llm_places", i))
+    rows = rows.withColumn("text", F.when(F.col("__llm_places").isNull(), F.col("text")).otherwise(F.concat_ws("\n", lines)))
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col("__llm_places").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return rows.select(*names)

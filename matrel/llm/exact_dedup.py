@@ -75,10 +75,10 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, hot: int = HOT) -> DataFram
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; one row of each repeated (doc_id, text)."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_d")).distinct()
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__llm_id"), F.col("text_sha256").alias("__llm_d")).distinct()
     digest = F.sha2(lower_ascii(text_or_empty()), 256)
-    rows = docs.withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_semi").drop("_digest")
+    rows = docs.withColumn("__llm_digest", digest).dropDuplicates(["doc_id", "__llm_digest"])
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_digest") == F.col("__llm_d")), "left_semi").drop("__llm_digest")
 
 
 SQL = """

@@ -245,5 +245,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR)
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: the smallest doc_id of each component."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__llm_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__llm_gone"), "left_anti")

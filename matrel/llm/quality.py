@@ -130,7 +130,7 @@ def judged(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The documents kept, without their boilerplate lines, with all columns of ``docs``."""
     verdicts = stage(judge(docs).select("doc_id", "text_key", "kept", "places").dropDuplicates(["doc_id", "text_key"]))
-    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = text_key().eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__llm_gone_id"), F.col("text_key").alias("__llm_gone_key"))
+    same = text_key().eqNullSafe(F.col("__llm_gone_key")) & F.col("doc_id").eqNullSafe(F.col("__llm_gone_id"))
     kept = docs.join(gone, same, "left_anti")
     return without_lines(kept, verdicts.filter("kept AND places IS NOT NULL"))

@@ -146,15 +146,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """All documents with every secret replaced by ``MARK``; all columns stay, ``n_chars`` is counted anew."""
-    found = scan(docs, labelled).filter("is_secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    found = scan(docs, labelled).filter("is_secret").groupBy(F.col("doc_id").alias("__llm_id"), F.col("text_key").alias("__llm_key"))
     # longest first, so a secret inside another one leaves nothing behind
-    secrets = stage(found.agg(F.collect_set("secret").alias("_secrets")).withColumn(
-        "_secrets", F.array_sort("_secrets", lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).otherwise(1)))))
+    secrets = stage(found.agg(F.collect_set("secret").alias("__llm_secrets")).withColumn(
+        "__llm_secrets", F.array_sort("__llm_secrets", lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).otherwise(1)))))
     names = docs.columns
-    rows = docs.withColumn("_own", text_key()).join(
-        secrets, F.col("_own").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.aggregate("_secrets", F.col("text"), lambda done, s: F.replace(done, s, F.lit(MARK)))
-    rows = rows.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(text))
+    rows = docs.withColumn("__llm_own", text_key()).join(
+        secrets, F.col("__llm_own").eqNullSafe(F.col("__llm_key")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")), "left")
+    text = F.aggregate("__llm_secrets", F.col("text"), lambda done, s: F.replace(done, s, F.lit(MARK)))
+    rows = rows.withColumn("text", F.when(F.col("__llm_secrets").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col("__llm_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return rows.select(*names)
