@@ -5,7 +5,8 @@ distance is at most ``DISTANCE``. A line is split into DISTANCE + 1 segments, so
 holds at least one of them unchanged, at nearly the same place. Segments are index entries under
 (length, segment number, text); a line probes the entries of every length from its own down to
 DISTANCE less, with the substrings that can be such a segment if all edits left of it and right
-of it fit the limit. Pairs that meet are verified by banded bit-parallel edit distance.
+of it fit the limit. Pairs that meet, and whose counts of characters allow a link, are verified by
+banded bit-parallel edit distance.
 
 Lines shorter than ``MIN_CHARS`` take no part. Of the lines of one class (linked over any number
 of steps) the first in the order of doc_id and place stays. A document that would lose more than
@@ -159,7 +160,7 @@ def _segment_rows(docs: DataFrame, limit: int, min_chars: int) -> DataFrame:
         for whole in batches:
             for begin in range(0, whole.num_rows, 128):
                 batch = whole.slice(begin, 128)
-                keys, ids, flags = [], [], []
+                keys, ids, counts, flags = [], [], [], []
                 for id_, line in _normal_lines(batch.column(0).cast(pa.binary()).to_pylist(), min_chars, seen):
                     n = len(line)
                     plan = plans.get(n)
@@ -167,20 +168,37 @@ def _segment_rows(docs: DataFrame, limit: int, min_chars: int) -> DataFrame:
                         entries = [(n, i, start, size, False) for i, (start, size) in enumerate(segments(n, limit))]
                         entries += [(*p, True) for p in probes(n, limit)]
                         # 4 bytes per character, so places are byte offsets
-                        plan = [(4 * at, 4 * (at + size), length * (limit + 1) + i, probe) for length, i, at, size, probe in entries]
+                        plan = ([(4 * at, 4 * (at + size), length * (limit + 1) + i) for length, i, at, size, _ in entries],
+                                np.array([e[4] for e in entries]))
                         if len(plans) < 20_000:
                             plans[n] = plan
                     wide = line.encode("utf-32-le")
-                    keys += [digest(wide[a:b], seed) for a, b, seed, _ in plan]
-                    flags += [p[3] for p in plan]
-                    ids += [id_] * len(plan)
+                    keys += [digest(wide[a:b], seed) for a, b, seed in plan[0]]
+                    flags.append(plan[1])
+                    counts.append(len(plan[1]))
+                    ids.append(id_)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(flags, pa.bool_())],
-                    names=["key", "id", "probe"])
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64), counts).view(np.int64)),
+                     pa.array(np.concatenate(flags) if flags else np.empty(0, bool))], names=["key", "id", "probe"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, id long, probe boolean")
 
 
+def parities(line: str) -> tuple[int, int]:
+    """Two signed 64-bit words: parities of the counts of characters and of character pairs, each in 64 classes.
+
+    An edit changes at most two counts of characters and four of pairs, so lines within a
+    distance of d differ in at most 2 d and 4 d bits.
+    """
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    out = []
+    for values in (codes, codes[:-1] * np.uint64(0x1000003) + codes[1:]):
+        classes = (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+        odd = np.bincount(classes.astype(np.int64), minlength=64) & 1
+        out.append(int(np.packbits(odd.astype(bool)).view(">i8")[0]))
+    return out[0], out[1]
+
+
 def _line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -194,6 +212,17 @@ def _line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, line string")
 
 
+def _with_parities(lines: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [parities(line) for line in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([w[0] for w in words], pa.int64()), pa.array([w[1] for w in words], pa.int64())],
+                names=["id", "line", "chars", "pairs"])
+
+    return lines.mapInArrow(run, "id long, line string, chars long, pairs long")
+
+
 def _verified(pairs: DataFrame, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,13 +246,19 @@ def line_links(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_CHAR
         F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("probe").alias("any_entry"), F.max("probe").alias("any_probe"))
     live = stage(met.filter("lo < hi AND any_probe AND NOT any_entry").select("key"))
     rows = stage(_kept_by(_segment_rows(docs, limit, min_chars), live, "key").distinct())
-    entries = rows.filter("NOT probe").select("key", F.col("id").alias("x"))
-    lookups = rows.filter("probe").select("key", F.col("id").alias("y"))
-    pairs = entries.join(lookups, "key").filter("x <> y")
+    wanted = stage(rows.select("id").distinct())
+    lines = _kept_by(_line_texts(docs, min_chars), wanted, "id").groupBy("id").agg(F.min("line").alias("line"))
+    lines = stage(_with_parities(lines))
+    rows = rows.join(lines.drop("line"), "id")
+    entries = rows.filter("NOT probe").select("key", F.col("id").alias("x"), F.col("chars").alias("cx"), F.col("pairs").alias("px"))
+    lookups = rows.filter("probe").select("key", F.col("id").alias("y"), F.col("chars").alias("cy"), F.col("pairs").alias("py"))
+    # parities rule out most pairs of long lines that share a segment and no more, inside the join
+    near = (F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) <= 2 * limit) & (F.bit_count(F.col("px").bitwiseXOR(F.col("py"))) <= 4 * limit)
+    lookups = lookups.withColumnRenamed("key", "key_2")
+    pairs = entries.join(lookups, (F.col("key") == F.col("key_2")) & (F.col("x") != F.col("y")) & near)
     pairs = stage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    lines = stage(_kept_by(_line_texts(docs, min_chars), wanted, "id").groupBy("id").agg(F.min("line").alias("line")))
-    with_texts = pairs.join(lines.withColumnsRenamed({"id": "a", "line": "la"}), "a").join(lines.withColumnsRenamed({"id": "b", "line": "lb"}), "b")
+    texts = lines.select("id", "line")
+    with_texts = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "la"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "lb"}), "b")
     return _verified(with_texts, limit)
 
 
