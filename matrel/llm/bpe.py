@@ -44,19 +44,16 @@ class MergeAutomaton:
         size = max(vocab.values()) + 1
         self.left, self.right, self.rank = [-1] * size, [-1] * size, [_NEVER] * size
         self.removed: dict[int, int] = {}
-        made = set()
+        products = {a + b for a, b in merges}
+        made = {i for token, i in vocab.items() if token not in products}      # the symbols to begin with
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if w in made or not self._open(u, v, rank):
+            if w in made or u not in made or v not in made or not self._open(u, v, rank):
                 continue                      # the arc is gone: this merge can never apply
             made.add(w)
             self.left[w], self.right[w], self.rank[w] = u, v, rank
             self.removed[u << self.bits | v] = rank
-        products = {a + b for a, b in merges}
-        self.spelled = {}
-        for token, i in vocab.items():
-            if i in made or token not in products:
-                self.spelled[token.replace(END_OF_WORD, _END)] = i
+        self.spelled = {token.replace(END_OF_WORD, _END): i for token, i in vocab.items() if i in made}
         for token in list(self.spelled):      # beginnings that are no labels themselves
             for n in range(1, len(token)):
                 self.spelled.setdefault(token[:n], -1)
