@@ -20,7 +20,7 @@ from matrel.llm.common import text_or_empty
 from matrel.session import stage
 
 SEED = "interleave-1"
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 SHARDS = 40
 
 
