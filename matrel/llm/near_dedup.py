@@ -247,3 +247,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: the smallest doc_id of each component."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__llm_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__llm_gone"), "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                     ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT both_.b, reach.c FROM reach JOIN both_ ON both_.a = reach.doc_id)
+SELECT reach.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, reach.doc_id = min(c) AS kept
+FROM reach LEFT JOIN n ON reach.doc_id = n.doc_id GROUP BY reach.doc_id
+"""

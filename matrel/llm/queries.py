@@ -38,4 +38,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op10_url_filter": url_filter.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_near_dedup": near_dedup.SQL, "op10_url_filter": url_filter.SQL}
