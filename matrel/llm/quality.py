@@ -1,8 +1,9 @@
 """Quality rules: base statistics of a text and cross-document line frequency.
 
 Lines are normalised (A-Z lowered, white space collapsed) and hashed. For each host, the column
-``source``, the documents that hold a line are counted; copies and near copies of a document
-count once, by the least line hash of the document, which they share. A line held by more than
+``source``, the documents that hold a line are counted. Copies and near copies of a document
+count once: documents of one near-dedup class, whose links are confirmed on full shingle sets,
+are one document of their host, for its lines and for its total. A line held by more than
 ``LINE_SHARE`` of the documents of its host, and by more than ``LINE_LEAST``, is boilerplate
 and taken out. A document that keeps less than ``KEEP_SHARE`` of its words is depleted and
 rejected, as is one that fails the base rules.
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrel.llm.common import attach, text_key, without_lines
+from matrel.llm.near_dedup import near_duplicates
 from matrel.session import stage
 
 LINE_SHARE = 0.02
@@ -54,7 +56,7 @@ def text_statistics(text: str) -> tuple[int, int, int, int, int]:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """Statistics of each document and its lines, as ``lines (place, hash, words)``, with its family."""
+    """Statistics of each document and its lines, as ``lines (place, hash, words)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -62,45 +64,53 @@ def _profile(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
-                stats, families = [], []
+                stats = []
                 places, hashes, counts, ends = [], [], [], [0]
                 for text in batch.column(3).to_pylist():
                     text = text or ""
                     stats.append(text_statistics(text))
-                    first = len(hashes)
                     for place, line in enumerate(text.encode().lower().split(b"\n")):
                         words = line.split()
                         if words:
                             places.append(place)
                             hashes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                             counts.append(len(words))
-                    own = np.array(hashes[first:], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    families.append(int(own.min().view(np.int64)) if len(own) else 0)
                     ends.append(len(hashes))
                 lines = pa.StructArray.from_arrays(
                     [pa.array(places, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(counts, pa.int64())],
                     names=["place", "hash", "words"])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), batch.column(2)] + [pa.array([s[i] for s in stats], pa.int64()) for i in range(5)]
-                    + [pa.array(families, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)],
-                    names=["doc_id", "host", "text_key", *names, "family", "lines"])
+                    + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)],
+                    names=["doc_id", "host", "text_key", *names, "lines"])
 
     rows = docs.select("doc_id", F.col("source").cast("string").alias("host"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, host string, text_key long, " + ", ".join(f"{n} long" for n in names)
-                           + ", family long, lines array<struct<place: int, hash: bigint, words: bigint>>")
+                           + ", lines array<struct<place: int, hash: bigint, words: bigint>>")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """``text_key, family, copies``: the near-dedup class of each text; texts without words are one class."""
+    texts = docs.select(text_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    family = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    return near_duplicates(texts).groupBy(F.col("doc_id").alias("text_key")).agg(
+        F.any_value(family).alias("family"), F.count(F.lit(1)).alias("copies"))
 
 
 def _rules(docs: DataFrame, line_share: float, line_least: int) -> tuple[DataFrame, DataFrame]:
     """Profiles with a row number, and per row the boilerplate: ``row, places, gone``."""
     rows = stage(_profile(docs).withColumn("row", F.monotonically_increasing_id()))
-    lines = rows.select("row", "host", "family", F.explode("lines").alias("line")).select(
-        "row", "host", "family", "line.place", "line.words", F.xxhash64(F.col("host").isNull(), "host", "line.hash").alias("line"))
-    held = lines.groupBy("host", "line", "family").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    families = attach(rows.select("row", "host", "text_key"), stage(_classes(docs)), "text_key", "copies", total).drop("text_key")
+    families = stage(families)
+    lines = rows.select("row", "host", F.explode("lines").alias("line")).select(
+        "row", "host", "line.place", "line.words", F.xxhash64(F.col("host").isNull(), "host", "line.hash").alias("line"))
+    held = lines.join(families.select("row", "family"), "row").groupBy("host", "line", "family").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n"))
-    hosts = rows.select("host", "family").distinct().groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("families"))
+    hosts = families.select("host", "family").distinct().groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("families"))
     frequent = held.filter(F.col("documents") > line_least).join(hosts, F.col("host").eqNullSafe(F.col("_host")))
     frequent = stage(frequent.filter(F.col("documents") > F.col("families") * line_share).select("line", "n", "documents"))
-    marked = attach(lines, frequent, "line", "n", rows.count()).filter("documents IS NOT NULL")
+    marked = attach(lines, frequent, "line", "n", total).filter("documents IS NOT NULL")
     gone = marked.groupBy("row").agg(F.collect_list("place").alias("places"), F.sum("words").alias("gone"))
     return rows, gone
 
@@ -113,7 +123,7 @@ def judge(docs: DataFrame, line_share: float = LINE_SHARE, line_least: int = LIN
     empty table gives an empty result. ``places`` are the numbers of the boilerplate lines.
     """
     rows, gone = _rules(docs, line_share, line_least)
-    rows = rows.drop("lines", "family", "host").join(gone, "row", "left")
+    rows = rows.drop("lines", "host").join(gone, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     removed = F.coalesce("gone", F.lit(0).cast("long"))
     depleted = F.col("n_words") - removed < F.col("n_words") * keep_share
