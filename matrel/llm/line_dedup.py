@@ -9,9 +9,11 @@ of it fit the limit. Pairs that meet, and whose counts of characters allow a lin
 banded bit-parallel edit distance.
 
 Lines shorter than ``MIN_CHARS`` take no part. Of the lines of one class (linked over any number
-of steps) the first in the order of doc_id and place stays. A document that would lose more than
-``COPY_SHARE`` of its words is a copy rather than a text with repeated lines; it is left whole,
-for the document dedup to judge.
+of steps) the first in the order of doc_id and place stays. A proven copy keeps the lines it has
+from the document it copies, for the document dedup to judge: without all other repeated lines, the
+two are linked at the near-dedup limit on their full shingle sets, and the other one is no such copy
+itself. Every other repeated line goes. With a ``copy_share`` a document that would lose more than
+that share of its words is left whole instead; queries and pipeline do not use it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from matrel.llm.common import attach, text_key, without_lines
 from matrel.llm.components import components
+from matrel.llm.near_dedup import confirmed, sets_of
 from matrel.session import stage
 
 DISTANCE = 2
@@ -262,12 +265,83 @@ def line_links(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_CHAR
     return _verified(with_texts, limit)
 
 
-def repeated_lines(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_CHARS, copy_share: float = COPY_SHARE) -> DataFrame:
+def _copied(marked: DataFrame) -> DataFrame:
+    """``row, leader, keeps``: the document that holds the first lines of most words of a row, and the places of these.
+
+    Of the repetitions of one line inside the row the first is listed. Rows with less than half
+    of what would be left from that document are not listed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, leaders, keeps = [], [], []
+            for row, again, left in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                seen, sums, own = set(), {}, {}
+                for x in sorted(again, key=lambda x: x["place"]):
+                    line = (x["leader"], x["at"])
+                    if x["leader"] != row and line not in seen:
+                        seen.add(line)
+                        sums[x["leader"]] = sums.get(x["leader"], 0) + x["words"]
+                        own.setdefault(x["leader"], []).append(x["place"])
+                if sums:
+                    best = max(sums, key=lambda k: (sums[k], -k))
+                    if sums[best] >= left:
+                        rows.append(row)
+                        leaders.append(best)
+                        keeps.append(own[best])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), pa.array(leaders, pa.int64()), pa.array(keeps, pa.list_(pa.int32()))], names=["row", "leader", "keeps"])
+
+    return marked.select("row", "again", "left").mapInArrow(run, "row long, leader long, keeps array<int>")
+
+
+def _left_sets(texts: DataFrame) -> DataFrame:
+    """``node, shingles`` of ``node, text, places``: the shingles of a text without the lines at these places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 128):
+                batch = whole.slice(begin, 128)
+                left = []
+                for text, gone in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                    gone = set(gone or ())
+                    left.append(b"\n".join(x for i, x in enumerate((text or b"").split(b"\n")) if i not in gone))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary())], names=["doc_id", "text"])
+
+    return sets_of(texts.select("node", "text", "places").mapInArrow(run, "doc_id long, text binary"))
+
+
+def _proven(docs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """``row, keeps``: proven copies, and the places of the lines they keep from the document they copy."""
+    # repeated rows of one doc_id and text are judged as the first of them
+    firsts = rows.groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
+    left = F.col("n_words") - F.coalesce("gone", F.lit(0).cast("long"))
+    found = marked.join(firsts.join(rows.select("row", "n_words"), "row"), "row").withColumn("left", left)
+    copied = stage(_copied(found))
+    copies = copied.select((F.col("row") * 2 + 1).alias("node"), "row", "keeps")
+    leaders = copied.select((F.col("leader") * 2).alias("node"), F.col("leader").alias("row"), F.lit(None).cast("array<int>").alias("keeps")).distinct()
+    wanted = copies.unionByName(leaders).join(marked.select("row", "places"), "row", "left").join(firsts, "row").select(
+        "node", "doc_id", "text_key", F.array_except("places", F.coalesce("keeps", F.array().cast("array<int>"))).alias("places"))
+    wanted = stage(wanted.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
+    same = F.col("text_key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(wanted.select("_id", "_key").distinct(), same, "left_semi").groupBy("doc_id", "text_key").agg(F.any_value("text").alias("text"))
+    sets = stage(_left_sets(wanted.join(texts, same)))
+    pairs = copied.select((F.col("leader") * 2).alias("a"), (F.col("row") * 2 + 1).alias("b"))
+    linked = stage(confirmed(pairs, sets))
+    a, b = F.expr("a div 2").alias("leader"), F.expr("(b - 1) div 2").alias("row")
+    linked = stage(linked.select(a, b))
+    firm = linked.join(linked.select(F.col("row").alias("leader")), "leader", "left_anti").select("row")
+    return copied.join(firm, "row").select("row", "keeps")
+
+
+def repeated_lines(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_CHARS, copy_share: float | None = COPY_SHARE) -> DataFrame:
     """One row per document: ``doc_id, n_lines, n_links, n_repeated, whole, places, text_key``.
 
     ``n_lines`` counts the eligible lines, ``n_links`` the links of their texts to different
     texts, ``n_repeated`` the lines that are not the first of their class; ``places`` lists
-    those to remove, and is null if there are none or the document is left whole. Null and
+    those to remove, and is null if there are none. ``whole`` tells a document that keeps repeated
+    lines: without a ``copy_share`` a proven copy, else a document left whole by its share. Null and
     empty texts have no lines. Null doc_ids come last in the order; repeated rows are told
     apart by their place in the table. Other columns are ignored; an empty table gives an
     empty result.
@@ -294,7 +368,10 @@ def repeated_lines(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_
     again = ~F.struct("row", "place").eqNullSafe(F.struct("first.row", "first.place"))
     marked = marked.groupBy("row").agg(
         F.sum("degree").alias("n_links"), F.count_if(again).alias("n_repeated"), F.sum(F.when(again, F.col("words"))).alias("gone"),
-        F.collect_list(F.when(again, F.col("place"))).alias("places"))
+        F.collect_list(F.when(again, F.col("place"))).alias("places"),
+        F.collect_list(F.when(again, F.struct("place", "words", F.col("first.row").alias("leader"), F.col("first.place").alias("at")))).alias("again"))
+    if copy_share is None:
+        return _without_copies(docs, rows, stage(marked))
     rows = rows.select("row", "doc_id", "text_key", "n_words", F.size("lines").cast("long").alias("n_lines")).join(marked, "row", "left")
     none = F.lit(0).cast("long")
     whole = F.coalesce(F.col("gone") > F.col("n_words") * copy_share, F.lit(False))
@@ -303,7 +380,25 @@ def repeated_lines(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_
         whole.alias("whole"), F.when(~whole & (F.col("n_repeated") > 0), F.array_sort("places")).alias("places"), "text_key")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def _without_copies(docs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """The result of ``repeated_lines`` with proven copies."""
+    marked = marked.join(stage(_proven(docs, rows, marked)), "row", "left")
+    places = F.array_sort(F.array_except("places", F.coalesce("keeps", F.array().cast("array<int>"))))
+    rows = rows.select("row", "doc_id", "text_key", F.size("lines").cast("long").alias("n_lines")).join(
+        marked.select("row", "n_links", "n_repeated", F.col("keeps").isNotNull().alias("whole"), places.alias("places")), "row", "left")
+    # a repeated row is a copy of the first one of its key, and is treated as that
+    again = stage(rows.groupBy("doc_id", "text_key").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    heads = again.join(rows.select(F.col("row").alias("head"), F.col("places").alias("head_places")), "head")
+    heads = heads.select(F.struct("doc_id", "text_key").alias("key"), "head", "head_places", "copies")
+    rows = attach(rows.withColumn("key", F.struct("doc_id", "text_key")), heads, "key", "copies", rows.count())
+    is_copy = F.col("head").isNotNull() & (F.col("row") != F.col("head"))
+    none, places = F.lit(0).cast("long"), F.when(is_copy, F.col("head_places")).otherwise(F.col("places"))
+    return rows.select(
+        "doc_id", "n_lines", F.coalesce("n_links", none).alias("n_links"), F.coalesce("n_repeated", none).alias("n_repeated"),
+        (is_copy | F.coalesce("whole", F.lit(False))).alias("whole"), F.when(F.size(places) > 0, places).alias("places"), "text_key")
+
+
+def dedup_lines(docs: DataFrame, copy_share: float | None = COPY_SHARE) -> DataFrame:
     """All documents without their repeated lines, with all columns of ``docs``."""
-    removed = repeated_lines(docs).filter("places IS NOT NULL").select("doc_id", "text_key", "places")
+    removed = repeated_lines(docs, copy_share=copy_share).filter("places IS NOT NULL").select("doc_id", "text_key", "places")
     return without_lines(docs, stage(removed.dropDuplicates(["doc_id", "text_key"])))

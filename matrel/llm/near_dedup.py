@@ -133,6 +133,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
+def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``node, shingles``: the full sets of ``doc_id, text``."""
+    return _sets(docs.select("doc_id", F.col("text").cast("string").alias("text")), words)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= similar * union of their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))

@@ -18,7 +18,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _line_dedup(docs: DataFrame) -> DataFrame:
-    rows = line_dedup.repeated_lines(docs).drop("text_key")
+    rows = line_dedup.repeated_lines(docs, copy_share=None).drop("text_key")
     return rows.withColumn("places", F.array_join(F.col("places").cast("array<string>"), ","))
 
 
