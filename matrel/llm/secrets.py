@@ -102,17 +102,19 @@ def label_findings(found: DataFrame) -> DataFrame:
 
 
 def train_forest(labelled: DataFrame, bound: int = LABELLED) -> RandomForestClassificationModel | float | None:
-    """A forest from findings with features and a ``label``; at most ``bound`` rows, chosen by hash, are used.
+    """A forest from findings with features and a ``label``; at most ``bound`` / 2 rows of each label, chosen by hash, are used.
 
-    With labels of one class only, that label; without labels, None.
+    Both labels weigh the same in sum. With labels of one class only, that label; without labels, None.
     """
-    rows = labelled.filter("label IS NOT NULL").orderBy(F.xxhash64("secret", "before", "after"), "secret", "doc_id", "text_key", "place").limit(bound)
-    rows = stage(rows.select(*_INPUTS, "label").coalesce(1))
-    kinds = [r["label"] for r in rows.select("label").distinct().collect()]
-    if len(kinds) < 2:
-        return kinds[0] if kinds else None
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="inputs", labelCol="label")
-    return forest.fit(_vectors(rows))
+    order = [F.xxhash64("secret", "before", "after"), "secret", "doc_id", "text_key", "place"]
+    sample = lambda label: stage(labelled.filter(F.col("label") == label).orderBy(*order).limit(bound // 2).select(*_INPUTS, "label").coalesce(1))
+    parts = {label: sample(label) for label in (0.0, 1.0)}
+    counts = {label: n for label, part in parts.items() if (n := part.count())}
+    if len(counts) < 2:
+        return next(iter(counts), None)
+    rows = [parts[label].withColumn("weight", F.lit(sum(counts.values()) / (2 * n))) for label, n in counts.items()]
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="inputs", labelCol="label", weightCol="weight")
+    return forest.fit(_vectors(rows[0].unionByName(rows[1]).coalesce(1)))
 
 
 _INPUTS = [f if f != "place" else "place_share" for f in FEATURES]
@@ -123,11 +125,15 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 
 def score_findings(rows: DataFrame, model: RandomForestClassificationModel | float | None) -> DataFrame:
-    """The findings with ``score``, the probability of a secret."""
+    """The findings with ``score``, the probability of a secret.
+
+    Without a forest each finding has its own label by the rules; where they are not sure, the
+    only label there is, or 0.
+    """
     if isinstance(model, RandomForestClassificationModel):
         scored = model.transform(_vectors(rows))
         return scored.withColumn("score", vector_to_array("probability")[1]).drop("inputs", "rawPrediction", "probability", "prediction")
-    return rows.withColumn("score", F.lit(float(model or 0.0)))
+    return label_findings(rows).withColumn("score", F.coalesce("label", F.lit(float(model or 0.0)))).drop("label")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
