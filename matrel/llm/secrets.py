@@ -1,7 +1,8 @@
 """Secret scan: candidates judged by a random forest, in DataFrame operations only.
 
-A candidate is a run of at least ``MIN_LENGTH`` characters of the alphabets that keys are written
-in, with a digit in it. The forest sees its length, the character classes and the transitions
+Candidates are runs of at least ``MIN_LENGTH`` characters of the alphabets that keys are written
+in, with a digit in them; values of ``MIN_VALUE`` and more visible characters assigned to a
+credential word, quoted or not (inside quotes with blanks too); and whole private key blocks. The forest sees its length, the character classes and the transitions
 between them, the share of it that dictionary words cover, its path (the document's source and
 the place in the text), and the neighbouring words. It is trained on labelled findings and
 removes false positives: numbers, addresses and identifiers that look like keys.
@@ -21,6 +22,15 @@ from matrel.session import stage
 MIN_LENGTH = 16
 RUN = "A-Za-z0-9_+/=-"
 CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z_+/=-]*[0-9])[{RUN}]{{{MIN_LENGTH},}}"
+MIN_VALUE = 6
+BLOCK_CHARS = 20_000            # more than the longest keys in use
+BLOCK = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----[\s\S]{{1,{BLOCK_CHARS}}}?-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----"
+WORDS = "(?:token|secret|passw|passphrase|pwd|api.?key|access|auth|bearer|credential|private)"
+NAMED = rf"""(?i:{WORDS})[\w.-]{{0,40}}["'`\]]{{0,2}}[ \t]{{0,4}}(?::=|=>|[=:])[ \t]{{0,4}}"""
+QUOTED = "|".join(rf"{q}[^{q}\r\n]{{{MIN_VALUE},400}}{q}" for q in "\"'`")
+BARE = rf"""[^\s"'`]\S{{{MIN_VALUE - 2},400}}[^\s,;)\]}}>"'`]"""
+#: A key block, or a credential word with its value.
+ASSIGNED = rf"{BLOCK}|{NAMED}(?:{QUOTED}|{BARE})"
 SPACE = r"[ \t\n\r\x0b\f]+"
 KEYWORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|access|auth|bearer|credential|private)"
 #: A word seen at least once in this many words is in the dictionary, which holds no more words than that.
@@ -49,19 +59,42 @@ def findings(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_key().alias("text_key"), text_or_empty().alias("t"))
     words = F.split("t", SPACE)
-    rows = rows.filter(F.col("t").rlike(CANDIDATE)).withColumn("words", words).withColumn("n_words", F.size("words"))
+    both = F.col("t").rlike(CANDIDATE) | F.col("t").rlike(ASSIGNED)
+    rows = rows.filter(both).withColumn("words", words).withColumn("n_words", F.size("words"))
     at = lambda i: F.try_element_at(F.col("words"), i)
     hits = F.filter(
         F.transform("words", lambda w, i: F.struct((i + 1).alias("place"), w.alias("word"))), lambda x: x["word"].rlike(CANDIDATE))
-    rows = rows.select("*", F.explode(hits).alias("hit"))
+    runs = F.flatten(F.transform(hits, lambda x: F.transform(
+        F.regexp_extract_all(x["word"], F.lit(CANDIDATE), F.lit(0)), lambda r: F.struct(x["place"].alias("place"), r.alias("secret")))))
+    rows = rows.select("*", F.explode(F.array_distinct(F.concat(runs, _assigned()))).alias("hit"))
     place = F.col("hit.place")
     before = F.array_join(F.slice("words", F.greatest(place - 3, F.lit(1)), F.least(place - 1, F.lit(3))), " ")
     rows = rows.select("doc_id", "text_key", "source", place.alias("place"), "n_words", before.alias("before"),
-                       F.col("hit.word").alias("word"), F.coalesce(at(place + 1), F.lit("")).alias("after"))
-    rows = rows.withColumn("secret", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
+                       at(place).alias("word"), F.coalesce(at(place + 1), F.lit("")).alias("after"), F.col("hit.secret").alias("secret"))
     return rows.distinct()
 
 
+def _assigned() -> Column:
+    """Key blocks and assigned values of ``t`` as ``array<struct<place, secret>>``, found before the text is split into words."""
+    found = F.regexp_extract_all("t", F.lit(ASSIGNED), F.lit(0))
+    between = F.split("t", ASSIGNED, -1)                     # the text before each match, and after the last one
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<begin: int, match: string>>").alias("hits"))
+    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("match"), F.length(gap).alias("gap")))
+    placed = F.aggregate(steps, start, lambda done, x: F.struct(
+        (done["end"] + x["gap"] + F.length(x["match"])).alias("end"),
+        F.concat(done["hits"], F.array(F.struct((done["end"] + x["gap"]).alias("begin"), x["match"].alias("match")))).alias("hits")),
+        lambda done: done["hits"])
+    value = lambda m: F.when(m.rlike(rf"\A{BLOCK}"), m).otherwise(F.regexp_replace(m, rf"\A{NAMED}", ""))
+
+    def finding(x: Column) -> Column:
+        raw = value(x["match"])
+        head = F.substring(F.col("t"), F.lit(1), x["begin"] + F.length(x["match"]) - F.length(raw))
+        bare = F.when(raw.rlike("\\A[\"'`]"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.struct(F.size(F.split(head, SPACE, -1)).alias("place"), bare.alias("secret"))
+
+    return F.transform(placed, finding)
+
+
 def _share(pattern: str) -> Column:
     return F.length(F.regexp_replace("secret", pattern, "")) / F.length("secret")
 
@@ -92,13 +125,20 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
 def label_findings(found: DataFrame) -> DataFrame:
     """Weak labels where a rule is sure: ``label`` 1.0 or 0.0, null elsewhere.
 
-    A quoted value assigned to a credential name is a secret unless it is a placeholder; numbers,
-    parts of addresses and links, and values of a handful of characters are not.
+    A private key block is a secret, and so is a quoted value assigned to a credential name unless
+    it is a placeholder; numbers, parts of addresses and links, and unquoted words of the dictionary
+    are not.
     """
+    block = F.col("secret").rlike(rf"\A{BLOCK}")
+    quoted = F.col("word").rlike("[\"'`]")
+    letters = F.regexp_replace("secret", "[^A-Za-z]", "")
+    spelled = ~quoted & F.col("secret").rlike(r"^[A-Z]?[a-z]+[.:!?]?$") & (F.round(F.col("coverage") * F.col("length")) == F.length(letters))
     placeholder = F.col("secret").rlike(r"(?i)(example|changeme|placeholder|your|xxxx|12345678|(.)\2{5})")
-    harmless = F.col("secret").rlike("^[0-9]+$") | F.col("word").rlike(r"@|://|www\.") | placeholder
     sure = F.concat_ws(" ", "before", "word").rlike(KEYWORDS + r"\S*\s*[=:]") & F.col("word").rlike("[\"']")
-    return found.withColumn("label", F.when(harmless, 0.0).when(sure, 1.0))
+    # a sign @ inside a quoted credential makes no address of it
+    address = F.col("word").contains("@") & (~sure | F.col("secret").rlike(r"^[\w.+-]+@[\w-]+(\.[\w-]+)+$"))
+    harmless = F.col("secret").rlike("^[0-9]+$") | address | F.col("word").rlike(r"://|www\.") | placeholder | spelled
+    return found.withColumn("label", F.when(block, 1.0).when(harmless, 0.0).when(sure, 1.0))
 
 
 def train_forest(labelled: DataFrame, bound: int = LABELLED) -> RandomForestClassificationModel | float | None:

@@ -31,3 +31,20 @@ def test_one_class_alone_decides_by_own_labels(spark):
     for label in (0.0, 1.0):
         model = secrets.train_forest(secrets.label_findings(found).filter(f"label = {label}"))
         assert {r["doc_id"]: r["score"] for r in secrets.score_findings(found, model).collect()} == {0: 1.0, 1: 0.0}
+
+
+def test_values_and_key_blocks_are_candidates(spark):
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIEowIBAAKCAQ\nabcdefgh\n-----END RSA PRIVATE KEY-----"
+    texts = {'my password = "h!ke$9" here': ("h!ke$9", 4), "pwd: s3c.ret~x#1, then": ("s3c.ret~x#1", 2),
+             "{'api_key': 'QwErTyUiOpAsDfGhJk'}": ("QwErTyUiOpAsDfGhJk", 2), 'secret="two words here" end': ("two words here", 1),
+             f"see\n{block}\nend": (block, 2), "no value here at all": None}
+    rows = secrets.findings(table(spark, list(texts))).collect()
+    assert {(r["doc_id"], r["secret"], r["place"]) for r in rows} == {(i, *w) for i, w in enumerate(texts.values()) if w}
+    assert len(rows) == 5
+    gone = secrets.redact(table(spark, list(texts) + ["number 4785380592391139 set"] * 5)).filter("doc_id IN (0, 2, 3, 4)").collect()
+    assert all(secrets.MARK in r["text"] and list(texts.values())[r["doc_id"]][0] not in r["text"] for r in gone) and len(gone) == 4
+
+
+def test_quoted_password_with_a_sign_is_labelled_a_secret(spark):
+    found = scanned(spark, ['password = "p@ss!w9" set', 'password = "jo@mail.example.org" set'])
+    assert {r["doc_id"]: r["label"] for r in secrets.label_findings(found).collect()} == {0: 1.0, 1: 0.0}
