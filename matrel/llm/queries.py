@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrel.llm import bpe, exact_dedup, hmm, line_dedup, near_dedup, packing, quality, secrets, sharding, url_filter
+from matrel.llm import bpe, exact_dedup, hard_negatives, hmm, line_dedup, near_dedup, packing, quality, secrets, sharding, url_filter
 from matrel.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,10 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": _documents(_line_dedup),
         "op9_sharding": _documents(sharding.interleave),
         "op10_url_filter": lambda spark, folder: url_filter.judge_urls(read_table(spark, folder, "pages")),
+        "op11_hard_negatives": lambda spark, folder: hard_negatives.mine(read_table(spark, folder, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_near_dedup": near_dedup.SQL, "op10_url_filter": url_filter.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_near_dedup": near_dedup.SQL, "op10_url_filter": url_filter.SQL,
+            "op11_hard_negatives": hard_negatives.SQL}
