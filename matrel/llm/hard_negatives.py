@@ -352,7 +352,8 @@ def hard_negatives(embeddings: DataFrame, is_anchor: Column, label: Column | Non
     asked = anchors.select("row", F.array(_windows(F.lit(0), *wide)).alias("windows"))
     found = stage(_ranked(search(blocks, asked, positives, same=True), positives))
     # per anchor one window for each positive; those of a negative positive score are empty
-    lo, hi = F.expr(f"(score * {low} + 99) div 100"), F.expr(f"(score * {high}) div 100")
+    whole = "score div 100 * {0} + (score % 100 * {0} + {1}) div 100"          # does not overflow
+    lo, hi = F.expr(whole.format(low, 99)), F.expr(whole.format(high, 0))
     windows = found.filter("score >= 0").select("anchor", F.col("rank").alias("window"), lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
     asked = windows.groupBy(F.col("anchor").alias("row")).agg(F.collect_list(_windows(F.col("window"), F.col("lo"), F.col("lo"), F.col("hi"))).alias("windows"))
     mined = _ranked(search(blocks, stage(asked), negatives, same=False), negatives)

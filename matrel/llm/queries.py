@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrel.llm import bpe, exact_dedup, hard_negatives, hmm, line_dedup, near_dedup, packing, quality, secrets, sharding, url_filter, warc
+from matrel.llm import bpe, exact_dedup, hard_negatives, hmm, line_dedup, near_dedup, packing, quality, runs, secrets, sharding, url_filter, warc
 from matrel.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op10_url_filter": lambda spark, folder: url_filter.judge_urls(read_table(spark, folder, "pages")),
         "op11_hard_negatives": lambda spark, folder: hard_negatives.mine(read_table(spark, folder, "embeddings")),
         "op12_warc": lambda spark, folder: warc.round_trip(read_table(spark, folder, "pages")),
+        "op13_periodic_runs": _documents(runs.digests),
     }
 
 
