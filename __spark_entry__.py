@@ -11,12 +11,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from matrel import oracle  # noqa: E402
+from matrel import execution, oracle  # noqa: E402
 from matrel.functions.sketch import HLL16, HLL32  # noqa: E402
 from matrel.operators import batches, coo, csr, multiply as mul, profile, verify, windows  # noqa: E402
 from matrel.plans import light  # noqa: E402
-from matrel.session import stage  # noqa: E402
-from matrel.sources.matrix_market import read_matrix_market  # noqa: E402
+from matrel.session import new_path, stage  # noqa: E402
+from matrel.sources.matrix_market import read_matrix_market, register, write_matrix_market  # noqa: E402
 from matrel.sources.tables import Tables  # noqa: E402
 
 try:
@@ -31,6 +31,7 @@ WIDTH = 256                      # column windows of the window queries
 PLANNED = ["part", "supp", "cust", "label", "mix", "trade"]
 SMALL_BUDGETS = {"products": 10_000, "runs": 700}
 SAMPLE_ROWS = 512                # rows of the sampled verification
+TILE_WORK = 20_000               # products of a tile of the resumable runs
 HEAVY = 4096                     # products of a heavy row (fixed value)
 
 _open: dict[tuple[str, str], Tables] = {}
@@ -72,6 +73,28 @@ def _market(name: str, symmetry: str, field: str = "real") -> Callable[[SparkSes
     return lambda spark, folder: read_matrix_market(spark, tables(spark, folder).market_text(name, symmetry, field)).entries
 
 
+def _mtx_range(spark: SparkSession, folder: str) -> DataFrame:
+    """A row range of a symmetric text through the mtx format, which takes the filter."""
+    source = tables(spark, folder)
+    register(spark)
+    n = source.matrix("cust").n
+    cells = spark.read.format("mtx").option("split_bytes", 1 << 16).load(source.market_text("cust", "symmetric"))
+    return cells.filter((F.col("r") >= n // 4) & (F.col("r") < n // 2))
+
+
+def _mtx_written(symmetry: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A matrix written as mtx parts and read back."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        m = tables(spark, folder).matrix("cust" if symmetry == "symmetric" else "part")
+        if symmetry == "symmetric":
+            m = coo.Matrix(coo.canonical(coo.mirrored(m.entries.filter(F.col("r") >= F.col("c")))), m.n)
+        path = new_path(spark, "mtx")
+        write_matrix_market(m, path, symmetry, compression="gzip" if symmetry == "symmetric" else "none")
+        return read_matrix_market(spark, path).entries
+
+    return run
+
+
 def _raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     n = tables(spark, folder).matrix("sign").n
     sign = F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(-1.0)
@@ -79,6 +102,35 @@ def _raw_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("r"), ((F.col("o_orderkey") * 5 + F.col("o_custkey")) % n).alias("c"), sign.alias("v"))
 
 
+def _resumed(m) -> DataFrame:
+    """A product in tiles of equal work, left after the third tile and continued by another run of the same folder."""
+    path = new_path(m.entries.sparkSession, "product")
+    execution.ProductRun(m, folder=path, products=TILE_WORK).run(most=3)
+    again = execution.ProductRun(m, folder=path, products=TILE_WORK)
+    again.run()
+    return again.result()
+
+
+def _manifest(m) -> DataFrame:
+    """The plan of that run, with the tiles that the first call has committed."""
+    work = execution.ProductRun(m, products=TILE_WORK)
+    work.run(most=2)
+    return work.manifest().select("begin_row", "end_row", "products", "longest", "committed")
+
+
+def _audited(m) -> DataFrame:
+    """Audit of a stored product after rows were lost, doubled, moved and altered."""
+    work = execution.ProductRun(m, products=TILE_WORK)
+    work.run()
+    cells = work.stored()
+    r = F.col("r")
+    kind = F.when(r % 97 == 3, 0).when(r % 101 == 5, 2).otherwise(1)
+    cells = cells.withColumn("times", F.explode(F.sequence(F.lit(1), kind))).filter("times > 0 AND times <= 2")
+    cells = cells.filter(r % 97 != 3).withColumn("r", F.when(r % 103 == 7, r + m.n).otherwise(r))
+    cells = cells.withColumn("v", F.when(F.col("r") % 107 == 11, F.col("v") + F.col("c") + 1).otherwise(F.col("v")))
+    return work.audit(cells.select("tile", "r", "c", "v")).select("r", "problem")
+
+
 def _heavy(m) -> DataFrame:
     """Products of the rows over the heavy threshold, by the two-stage sum."""
     heavy = stage(mul.keep_rows(m.entries, mul.heavy_rows(profile.row_features(m))))
@@ -217,7 +269,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spgemm_heavy_rows": _on("blend", _heavy),
         "spgemm_row_range": _on("cust", _row_range),
         "spgemm_window": _on("cust", _column_window),
-        "spgemm_tiled": _on("cust", lambda m: mul.tiled_multiply(m, rows=-(-m.n // 3), columns=-(-m.n // 2), mode="merge")),
+        "spgemm_tiled": _on("cust", lambda m: execution.tiled_multiply(m, rows=-(-m.n // 3), columns=-(-m.n // 2), mode="merge")),
+        "spgemm_resumed": _on("cust", _resumed),
+        "tile_manifest": _on("cust", _manifest),
+        "tile_audit": _on("cust", _audited),
         "reference_product": _on("sign", mul.reference_product),
         "product_check": _on("part", _product_check),
         # sources and coordinate operators
@@ -229,6 +284,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "matrix_market_hermitian": _market("cust", "hermitian"),
         "matrix_market_pattern": _market("cust", "general", "pattern"),
         "matrix_market_skew": _market("cust", "skew-symmetric"),
+        "mtx_range": _mtx_range,
+        "mtx_written": _mtx_written("general"),
+        "mtx_written_symmetric": _mtx_written("symmetric"),
         # profiles and sketches
         "row_features": _on("part", _features),
         "row_features_sparse": _on("label", _features),
@@ -241,7 +299,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "row_routes_whole_row": _on("mix", _whole_row),
         "sampled_rows": _on("mix", _sampled),
         "plan_summary": _on("mix", lambda m: _routes(m).summary()),
-        "policy_decision": _over(PLANNED, lambda m: _routes(m).summary().select("light_mode", "policy_mode", "calibrated_mode")),
+        "policy_decision": _over(PLANNED, lambda m: _routes(m).summary().select("light_mode", "policy_mode")),
         # windows and batches
         "window_work": _on("part", lambda m: windows.window_work(m, width=WIDTH)),
         "window_summary": _on("part", lambda m: windows.window_summary(windows.window_work(m, width=WIDTH))),
@@ -319,7 +377,20 @@ def matrix_sql() -> dict[str, str]:
         "matrix_market_hermitian": mirror(">=", ""),
         "matrix_market_pattern": f"WITH {o.matrix('cust')} SELECT r, c, 1.0e0 AS v FROM a",
         "spgemm_tiled": o.product("cust"),
+        "spgemm_resumed": o.product("cust"),
+        "tile_manifest": f"""WITH {o.matrix('cust')}, {o.FEATURES},
+            t AS (SELECT *, CAST(sum(products) OVER (ORDER BY r) - products AS BIGINT) // {TILE_WORK} AS tile FROM f)
+            SELECT min(r) AS begin_row, max(r) + 1 AS end_row, CAST(sum(products) AS BIGINT) AS products, max(products) AS longest,
+                   row_number() OVER (ORDER BY min(r)) <= 2 AS committed FROM t GROUP BY tile""",
+        "tile_audit": f"""WITH x AS ({o.product('cust')}), s AS (SELECT DISTINCT r FROM x), d AS (SELECT max(c_custkey) + 1 AS n FROM customer)
+            SELECT r, 'missing' AS problem FROM s WHERE r % 97 = 3 OR r % 103 = 7
+            UNION ALL SELECT r + n, 'foreign' FROM s, d WHERE r % 97 <> 3 AND r % 103 = 7
+            UNION ALL SELECT r, CASE WHEN r % 107 = 11 THEN 'altered' ELSE 'repeated' END FROM s
+                WHERE r % 97 <> 3 AND r % 103 <> 7 AND (r % 107 = 11 OR r % 101 = 5)""",
         "matrix_market_skew": mirror(">=", "-"),
+        "mtx_range": f"WITH s AS ({mirror('>=', '')}), d AS (SELECT max(c_custkey) + 1 AS n FROM customer) SELECT r, c, v FROM s, d WHERE r >= n // 4 AND r < n // 2",
+        "mtx_written": f"WITH {o.matrix('part')} SELECT r, c, v FROM a",
+        "mtx_written_symmetric": mirror(">=", ""),
         "row_features": f"WITH {o.matrix('part')}, {o.FEATURES} SELECT {features} FROM f",
         "row_features_sparse": f"WITH {o.matrix('label')}, {o.FEATURES} SELECT {features} FROM f",
         "hll16_sketch": f"WITH {o.matrix('part')}, {o.sketches(o.HLL16)} SELECT r, register, rank FROM sk",
@@ -331,7 +402,7 @@ def matrix_sql() -> dict[str, str]:
         "row_routes_whole_row": f"WITH {o.matrix('mix')}, {o.light()} SELECT r, CAST(route AS INTEGER) AS route FROM routes",
         "sampled_rows": f"{with_light('mix')} SELECT r, CAST(bin AS INTEGER) AS bin, products, estimate, ratio FROM samples",
         "plan_summary": o.plan_summary("mix"),
-        "policy_decision": o.over_matrices(PLANNED, o.plan_summary, "light_mode, policy_mode, calibrated_mode"),
+        "policy_decision": o.over_matrices(PLANNED, o.plan_summary, "light_mode, policy_mode"),
         "window_work": f"{window('part')} SELECT r, w, runs, products, out_upper FROM ww",
         "window_summary": f"""{window('part')} SELECT w, CAST(sum(runs) AS BIGINT) AS tasks, CAST(sum(products) AS BIGINT) AS products,
             CAST(sum(out_upper) AS BIGINT) AS output_upper, max(runs) AS max_row_runs, max(products) AS max_row_products

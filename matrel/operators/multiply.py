@@ -204,21 +204,6 @@ def multiply(a: Matrix, b: Matrix | None = None, mode: str = "auto", keep_struct
     return adaptive_multiply(left, right, routes, a.n, keep_structural, limits)
 
 
-def tiled_multiply(a: Matrix, b: Matrix | None = None, rows: int = 1 << 20, columns: int = 1 << 20, **options) -> DataFrame:
-    """The product as the union of row ranges x column windows, for products too large to run in one piece.
-
-    Each tile is a product of its own; ``options`` go to ``multiply``.
-    """
-    b = b or a
-    tiles = [
-        multiply(a, b, rows=(r, min(r + rows, a.n)), columns=(c, min(c + columns, b.n)), **options)
-        for r in range(0, a.n, rows) for c in range(0, b.n, columns)]
-    out = tiles[0]
-    for tile in tiles[1:]:
-        out = out.unionByName(tile)
-    return out
-
-
 def reference_product(a: Matrix, b: Matrix | None = None, limits: Limits = Limits()) -> DataFrame:
     """Structural product with the terms of the rounding bound: (r, c, v, abs_sum, terms)."""
     products = partial_products(a.entries, (b or a).entries, limits)

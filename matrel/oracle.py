@@ -177,14 +177,10 @@ SUMMARY = """
         WHEN dense_work_fraction >= 0.1e0 THEN 'ADAPTIVE' ELSE 'MERGE_ONLY' END AS light_mode,
         CASE WHEN dense_rows >= 8 AND dense_work_fraction BETWEEN 0.1e0 AND 0.6e0 AND merge_rows >= 16 * dense_rows
              THEN 'ADAPTIVE' ELSE 'MERGE_ONLY' END AS policy_mode FROM frac)"""
-GATED = """SELECT *, CASE WHEN light_mode = 'ADAPTIVE' AND (
-        (dense_work_fraction BETWEEN 0.1e0 AND 0.2e0 AND dense_rows >= 128 AND merge_rows >= 4 * dense_rows)
-        OR (ambiguous_rows = 0 AND sampled_rows = 0 AND dense_work_fraction BETWEEN 0.75e0 AND 0.9e0
-            AND dense_rows >= 1024 AND merge_rows >= 2 * dense_rows)) THEN 'ADAPTIVE' ELSE 'MERGE_ONLY' END AS calibrated_mode FROM summary"""
 
 
 def plan_summary(name: str) -> str:
-    return f"WITH {matrix(name)}, {light()}, {SUMMARY} {GATED}"
+    return f"WITH {matrix(name)}, {light()}, {SUMMARY} SELECT * FROM summary"
 
 
 def over_matrices(names: list[str], build, columns: str) -> str:

@@ -132,7 +132,7 @@ def test_fingerprints_tell_far_columns_apart(spark):
 
 
 def test_tiles_unite_to_the_product(tables):
-    from matrel.operators.multiply import tiled_multiply
+    from matrel.execution import tiled_multiply
 
     m = tables.matrix("cust")
     whole, tiled = multiply(m, mode="merge"), tiled_multiply(m, rows=60, columns=90, mode="merge")
