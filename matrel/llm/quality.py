@@ -1,12 +1,14 @@
 """Quality rules: base statistics of a text and cross-document line frequency.
 
 Lines are normalised (A-Z lowered, white space collapsed) and hashed. For each host, the column
-``source``, the documents that hold a line are counted. Copies and near copies of a document
-count once: documents of one near-dedup class, whose links are confirmed on full shingle sets,
-are one document of their host, for its lines and for its total. A line held by more than
-``LINE_SHARE`` of the documents of its host, and by more than ``LINE_LEAST``, is boilerplate
-and taken out. A document that keeps less than ``KEEP_SHARE`` of its words is depleted and
-rejected, as is one that fails the base rules.
+``source``, the documents that hold a line are counted; equal texts of a host are one document.
+A line held by more than ``LINE_SHARE`` of the documents of its host, and by more than
+``LINE_LEAST``, is boilerplate and taken out, and copies are no reason to take lines out: near
+copies too count once. They are looked for where they can matter: only among the documents with a line that
+passes the limits by the plain counts, as a line that fails them fails them with fewer documents as
+well. Of these documents, one near-dedup class, its links confirmed on full shingle sets, is one
+document of its host, for the lines and for the total; all others count as they are. A document that keeps less than
+``KEEP_SHARE`` of its words is depleted and rejected, as is one that fails the base rules.
 """
 
 from __future__ import annotations
@@ -89,28 +91,49 @@ def _profile(docs: DataFrame) -> DataFrame:
                            + ", lines array<struct<place: int, hash: bigint, words: bigint>>")
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """``text_key, family, copies``: the near-dedup class of each text; texts without words are one class."""
+def _classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``text_key, family, n`` of the listed texts: the near-dedup class of each, from one row per text."""
     texts = docs.select(text_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    family = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return near_duplicates(texts).groupBy(F.col("doc_id").alias("text_key")).agg(
-        F.any_value(family).alias("family"), F.count(F.lit(1)).alias("copies"))
+    wanted = keys.select(F.col("text_key").alias("doc_id")).distinct()
+    texts = stage(texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.any_value("text").alias("text")))
+    return near_duplicates(texts).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("family"))
+
+
+def _passing(lines: DataFrame, counts: DataFrame, texts: DataFrame, total: int, line_share: float, line_least: int) -> tuple[DataFrame, DataFrame]:
+    """Lines that may be boilerplate by plain counts, and ``host, text_key, n`` of the texts that hold one.
+
+    The documents of a host are at least the texts that hold no line above ``line_least``; a line
+    below the share of these is below that of all, whatever the near copies are.
+    """
+    marked = attach(lines, counts.drop("host"), "line", "n", total).filter("documents IS NOT NULL")
+    holders = marked.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("holders"))
+    least = texts.join(holders.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")), "left").select(
+        F.col("host").alias("_host"), (F.col("texts") - F.coalesce("holders", F.lit(0))).alias("outside"))
+    counts = counts.join(least, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("documents") > F.col("outside") * line_share)
+    counts = stage(counts.select("host", "line", "n", "documents"))
+    marked = attach(lines, counts.drop("host"), "line", "n", total).filter("documents IS NOT NULL")
+    return counts, stage(marked.groupBy("host", "text_key").agg(F.collect_set("line").alias("held"), F.count(F.lit(1)).alias("n")))
 
 
 def _rules(docs: DataFrame, line_share: float, line_least: int) -> tuple[DataFrame, DataFrame]:
     """Profiles with a row number, and per row the boilerplate: ``row, places, gone``."""
     rows = stage(_profile(docs).withColumn("row", F.monotonically_increasing_id()))
     total = rows.count()
-    families = attach(rows.select("row", "host", "text_key"), stage(_classes(docs)), "text_key", "copies", total).drop("text_key")
-    families = stage(families)
-    lines = rows.select("row", "host", F.explode("lines").alias("line")).select(
-        "row", "host", "line.place", "line.words", F.xxhash64(F.col("host").isNull(), "host", "line.hash").alias("line"))
-    held = lines.join(families.select("row", "family"), "row").groupBy("host", "line", "family").agg(F.count(F.lit(1)).alias("n"))
-    held = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n"))
-    hosts = families.select("host", "family").distinct().groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("families"))
-    frequent = held.filter(F.col("documents") > line_least).join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-    frequent = stage(frequent.filter(F.col("documents") > F.col("families") * line_share).select("line", "n", "documents"))
-    marked = attach(lines, frequent, "line", "n", total).filter("documents IS NOT NULL")
+    lines = rows.select("row", "host", "text_key", F.explode("lines").alias("line")).select(
+        "row", "host", "text_key", "line.place", "line.words", F.xxhash64(F.col("host").isNull(), "host", "line.hash").alias("line"))
+    texts = stage(rows.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts")))
+    held = lines.groupBy("host", "line", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n")).filter(F.col("documents") > line_least))
+    counts, holders = _passing(lines, counts, texts, total, line_share, line_least)
+    # near copies among the texts that hold such lines; a text may lie in several hosts
+    families = stage(holders.join(_classes(docs, holders), "text_key").select("host", "family", "held"))
+    inside = families.groupBy("host").agg(F.count(F.lit(1)).alias("inside"), F.count_distinct("family").alias("families"))
+    hosts = texts.join(inside.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")), "left").select(
+        F.col("host").alias("_host"), (F.col("texts") - F.coalesce("inside", F.lit(0)) + F.coalesce("families", F.lit(0))).alias("total"))
+    documents = families.select("family", F.explode("held").alias("line")).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("documents"))
+    frequent = counts.drop("documents").join(documents, "line").join(hosts, F.col("host").eqNullSafe(F.col("_host")))
+    frequent = frequent.filter((F.col("documents") > line_least) & (F.col("documents") > F.col("total") * line_share))
+    marked = attach(lines, stage(frequent.select("line", "n", "documents")), "line", "n", total).filter("documents IS NOT NULL")
     gone = marked.groupBy("row").agg(F.collect_list("place").alias("places"), F.sum("words").alias("gone"))
     return rows, gone
 

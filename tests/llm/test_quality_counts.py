@@ -40,3 +40,25 @@ def test_notice_of_short_pages_and_near_copies(spark):
     want = brute_removed(rows)
     assert got == want
     assert all(want[60 * h] for h in range(12)) and not any(want[i] for i in range(720, 820))
+
+
+def test_exact_copies_and_total_of_a_host(spark, monkeypatch):
+    """A host has as documents its different texts, near copies joined only among those that hold a candidate line."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+    page = "\n".join(prose(14) for _ in range(5))
+    rows = [(i, "a", page) for i in range(500)]                                # exact copies: one document
+    rows += [(500 + i, "a", f"{prose(40)}\nthe notice of this host is here") for i in range(12)]
+    rows += [(600 + i, "a", prose(60)) for i in range(400)]
+    rows += [(2000 + i, "b", page + f" {i}") for i in range(30)]               # near copies in another host
+    staged = []
+    plain = quality.near_duplicates
+    monkeypatch.setattr(quality, "near_duplicates", lambda texts: staged.append(texts.count()) or plain(texts))
+    got = {r["doc_id"]: sorted(r["places"] or []) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    # 12 notices among 1 + 12 + 400 documents: more than 2 % and more than 8
+    assert {i for i, places in got.items() if places} == set(range(500, 512)) and got[505] == [1]
+    # the 500 copies hold no candidate line; near copies and notices are compared, once per text
+    assert staged == [12 + 30]
+    # with 700 pages more the notice is below the share
+    more = rows + [(5000 + i, "a", prose(60)) for i in range(700)]
+    assert not any(r["places"] for r in quality.judge(spark.createDataFrame(more, "doc_id long, source string, text string")).collect())
