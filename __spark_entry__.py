@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from matrel import execution, oracle  # noqa: E402
+from matrel import execution, oracle, storage  # noqa: E402
 from matrel.functions.sketch import HLL16, HLL32  # noqa: E402
 from matrel.operators import batches, coo, csr, multiply as mul, profile, verify, windows  # noqa: E402
 from matrel.plans import light  # noqa: E402
@@ -131,6 +131,25 @@ def _audited(m) -> DataFrame:
     return work.audit(cells.select("tile", "r", "c", "v")).select("r", "problem")
 
 
+def _clustered(m) -> coo.Matrix:
+    """The matrix stored in Z-order, read back."""
+    spark = m.entries.sparkSession
+    path = new_path(spark, "clustered")
+    storage.write_clustered(m, path)
+    return storage.read_clustered(spark, path, m.n)
+
+
+def _clustered_range(m) -> DataFrame:
+    """A block of rows and columns of the stored matrix."""
+    stored = _clustered(m)
+    return stored.entries.filter(coo.between("r", m.n // 4, m.n // 2) & coo.between("c", WIDTH, 2 * WIDTH))
+
+
+def _bucketed(m) -> DataFrame:
+    """The product of factors stored on the contraction index."""
+    return storage.co_partitioned_multiply(storage.co_partition(m), m.entries.sparkSession)
+
+
 def _heavy(m) -> DataFrame:
     """Products of the rows over the heavy threshold, by the two-stage sum."""
     heavy = stage(mul.keep_rows(m.entries, mul.heavy_rows(profile.row_features(m))))
@@ -273,6 +292,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spgemm_resumed": _on("cust", _resumed),
         "tile_manifest": _on("cust", _manifest),
         "tile_audit": _on("cust", _audited),
+        "spgemm_co_partitioned": _on("cust", _bucketed),
+        "spgemm_window_clustered": _on("cust", lambda m: mul.multiply(m, _clustered(m), mode="merge", columns=(WIDTH, 2 * WIDTH))),
+        "clustered_range": _on("part", _clustered_range),
         "reference_product": _on("sign", mul.reference_product),
         "product_check": _on("part", _product_check),
         # sources and coordinate operators
@@ -378,6 +400,9 @@ def matrix_sql() -> dict[str, str]:
         "matrix_market_pattern": f"WITH {o.matrix('cust')} SELECT r, c, 1.0e0 AS v FROM a",
         "spgemm_tiled": o.product("cust"),
         "spgemm_resumed": o.product("cust"),
+        "spgemm_co_partitioned": o.product("cust"),
+        "spgemm_window_clustered": o.product("cust", where=f"WHERE b.c >= {WIDTH} AND b.c < {2 * WIDTH}"),
+        "clustered_range": f"WITH {o.matrix('part')} SELECT r, c, v FROM a WHERE r >= {o.N} // 4 AND r < {o.N} // 2 AND c >= {WIDTH} AND c < {2 * WIDTH}",
         "tile_manifest": f"""WITH {o.matrix('cust')}, {o.FEATURES},
             t AS (SELECT *, CAST(sum(products) OVER (ORDER BY r) - products AS BIGINT) // {TILE_WORK} AS tile FROM f)
             SELECT min(r) AS begin_row, max(r) + 1 AS end_row, CAST(sum(products) AS BIGINT) AS products, max(products) AS longest,
