@@ -20,6 +20,7 @@ from matrel.session import stage
 BROADCAST_VALUES = 4_000_000   # 8-byte values of a broadcast side: counted first, never more
 PAIRS_PER_CELL = 1 << 22       # a key with more pairs than this is cut
 PAIRS_PER_TASK = 1 << 25       # sizing of the join's partitions
+ROWS_PER_TASK = 1 << 22        # input rows of one side: bounds the hash table of a task
 MAX_CUT = 1 << 16              # bounds the copies made of one row
 MAX_PARTITIONS = 200_000
 
@@ -29,6 +30,7 @@ class Limits:
     broadcast_values: int = BROADCAST_VALUES
     pairs_per_cell: int = PAIRS_PER_CELL
     pairs_per_task: int = PAIRS_PER_TASK
+    rows_per_task: int = ROWS_PER_TASK
 
     def broadcasts(self, rows: int, df: DataFrame) -> bool:
         """Whether ``rows`` rows of ``df`` are few enough to send to every executor."""
@@ -43,14 +45,22 @@ class JoinShape:
     hot_keys: int
     degrees: DataFrame
     longest: int | None = None       # most pairs of one left row's group, where known
+    widest: int = 0                  # most right rows of one key
 
     def partitions(self, limits: Limits) -> int:
         spark = self.degrees.sparkSession
-        wanted = math.ceil(self.pairs / limits.pairs_per_task)
+        wanted = max(math.ceil(self.pairs / limits.pairs_per_task), -(-max(self.left_rows, self.right_rows) // limits.rows_per_task))
         if wanted > MAX_PARTITIONS:
-            raise ValueError(f"{self.pairs:.3g} pairs need {wanted} tasks; raise Limits.pairs_per_task or restrict the rows")
+            raise ValueError(f"{self.pairs:.3g} pairs of {self.left_rows} and {self.right_rows} rows need {wanted} tasks; raise Limits.pairs_per_task or restrict the rows")
         return max(spark.sparkContext.defaultParallelism, wanted)
 
+    def hint(self, limits: Limits) -> str:
+        """Either keeps Spark from broadcasting a side for its small compressed size.
+
+        A hash table cannot spill, so it is built only where no key alone outgrows a task.
+        """
+        return "shuffle_hash" if self.widest <= limits.rows_per_task else "merge"
+
 
 def join_shape(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
                limits: Limits = Limits()) -> JoinShape:
@@ -67,8 +77,9 @@ def join_shape(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
         F.coalesce(F.sum("right_rows"), lng(0)).alias("r"),
         F.coalesce(F.sum(pairs), F.lit(0.0)).alias("p"),
         F.count(F.when(pairs > limits.pairs_per_cell, 1)).alias("hot"),
+        F.coalesce(F.max("right_rows"), lng(0)).alias("widest"),
     ).first()
-    return JoinShape(row["l"], row["r"], row["p"], row["hot"], degrees)
+    return JoinShape(row["l"], row["r"], row["p"], row["hot"], degrees, widest=row["widest"])
 
 
 def cuts_of(shape: JoinShape, limits: Limits) -> DataFrame:
@@ -109,8 +120,8 @@ def spread_join(left: DataFrame, left_key: str, left_identity: list[str],
     * right side counted and small: broadcast it, and spread the left rows by
       ``spread_by`` over enough tasks for the pairs they produce;
     * otherwise shuffle both sides by key, hot keys cut into cells. The number
-      of partitions follows the pairs, not the input bytes, because the join
-      multiplies its input.
+      of partitions follows the pairs, because the join multiplies its input, and
+      the rows, because many rows may meet in few pairs.
     """
     shape = shape or join_shape(left, left_key, right, right_key, limits)
     parts = shape.partitions(limits)
@@ -120,8 +131,7 @@ def spread_join(left: DataFrame, left_key: str, left_identity: list[str],
             left = left.repartition(parts, *spread_by)
         return left.join(F.broadcast(right), on, how)
     if shape.hot_keys == 0:
-        # The hint keeps Spark from broadcasting a side for its small compressed size.
-        right = right.repartition(parts, right_key).hint("shuffle_hash")
+        right = right.repartition(parts, right_key).hint(shape.hint(limits))
         return left.repartition(parts, left_key).join(right, on, how)
     cuts = stage(cuts_of(shape, limits))
     if cuts.filter((F.col("cut_l") > MAX_CUT) | (F.col("cut_r") > MAX_CUT)).limit(1).count():
@@ -131,7 +141,7 @@ def spread_join(left: DataFrame, left_key: str, left_identity: list[str],
     lhs = _salted(left, left_key, left_identity, cuts, "cut_l", "cut_r", ("salt_l", "salt_r"))
     rhs = _salted(right, right_key, right_identity, cuts, "cut_r", "cut_l", ("salt_r2", "salt_l2"))
     lhs = lhs.repartition(parts, left_key, "salt_l", "salt_r")
-    rhs = rhs.repartition(parts, right_key, "salt_l2", "salt_r2").hint("shuffle_hash")
+    rhs = rhs.repartition(parts, right_key, "salt_l2", "salt_r2").hint(shape.hint(limits))
     on = on & (F.col("salt_l") == F.col("salt_l2")) & (F.col("salt_r") == F.col("salt_r2"))
     return lhs.join(rhs, on, how).drop("salt_l", "salt_r", "salt_l2", "salt_r2")
 

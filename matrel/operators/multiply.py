@@ -62,6 +62,13 @@ def partial_products(a: DataFrame, b: DataFrame, limits: Limits = Limits(),
     return joined_entries(a, b, limits, shape).select("r", "c", "p")
 
 
+def _dealt(products: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``products`` over ``parts`` tasks by the keys of a sum, if that is more than its exchange would have."""
+    if parts > int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        products = products.repartition(parts, *keys)
+    return products
+
+
 def summed(products: DataFrame, keep_structural: bool, value: str = "p", parts: int = 0) -> DataFrame:
     """Two-key sum; exact zeros are dropped unless the structure is kept.
 
@@ -69,9 +76,7 @@ def summed(products: DataFrame, keep_structural: bool, value: str = "p", parts:
     adaptive execution can lower but not raise. Where the products call for more
     ``parts``, they are dealt by cell first.
     """
-    if parts > int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        products = products.repartition(parts, "r", "c")
-    cells = products.groupBy("r", "c").agg(F.sum(value).alias("v"))
+    cells = _dealt(products, parts, "r", "c").groupBy("r", "c").agg(F.sum(value).alias("v"))
     return cells if keep_structural else cells.filter(F.col("v") != 0)
 
 
@@ -96,8 +101,9 @@ def heavy_multiply(a: DataFrame, b: DataFrame, keep_structural: bool = False,
 
     The residue splits the sum of a single very hot cell over ``ways`` groups.
     """
-    joined = joined_entries(a, b, limits, shape)
-    parts = joined.groupBy("r", "c", F.pmod("k", lng(ways)).alias("way")).agg(F.sum("p").alias("p"))
+    shape = shape or join_shape(a, "c", b, "r", limits)
+    joined = joined_entries(a, b, limits, shape).select("r", "c", F.pmod("k", lng(ways)).alias("way"), "p")
+    parts = _dealt(joined, shape.partitions(limits), "r", "c", "way").groupBy("r", "c", "way").agg(F.sum("p").alias("p"))
     return summed(parts, keep_structural)
 
 
@@ -190,11 +196,14 @@ def multiply(a: Matrix, b: Matrix | None = None, mode: str = "auto", keep_struct
     mode = resolve_mode(mode)
     b = b or a
     if mode in ("auto", "adaptive") and routes is None:
-        from matrel.plans.light import choose_routes
+        from matrel.plans.light import choose_form, choose_routes
 
-        plan = choose_routes(a, b, limits=limits)
-        routes = plan.routes
-        mode = plan.mode(calibrated) if mode == "auto" else mode
+        if calibrated:
+            plan = choose_routes(a, b, limits=limits)
+            suggested, routes = plan.mode(calibrated), plan.routes
+        else:
+            suggested, routes = choose_form(a, b, limits=limits)
+        mode = suggested if mode == "auto" else mode
     left = a.entries.filter(between("r", *rows))
     right = b.entries.filter(between("c", *columns))
     if mode == "merge":
@@ -206,7 +215,9 @@ def multiply(a: Matrix, b: Matrix | None = None, mode: str = "auto", keep_struct
 
 def reference_product(a: Matrix, b: Matrix | None = None, limits: Limits = Limits()) -> DataFrame:
     """Structural product with the terms of the rounding bound: (r, c, v, abs_sum, terms)."""
-    products = partial_products(a.entries, (b or a).entries, limits)
+    b = b or a
+    shape = join_shape(a.entries, "c", b.entries, "r", limits)
+    products = _dealt(partial_products(a.entries, b.entries, limits, shape), shape.partitions(limits), "r", "c")
     return products.groupBy("r", "c").agg(
         F.sum("p").alias("v"), F.sum(F.abs("p")).alias("abs_sum"), F.count(F.lit(1)).alias("terms")
     )

@@ -156,3 +156,34 @@ def test_single_item_rows(matrix_of):
 def test_empty_operands(matrix_of):
     for mode in ("merge", "dense"):
         assert mul.multiply(matrix_of([], 4), mode=mode).count() == 0
+
+
+def test_joins_are_sized_by_rows_as_well_as_pairs(spark):
+    """A large B that few keys of A meet: many rows, few pairs, and one key that no task could hold as a table."""
+    left = spark.createDataFrame([(0, 5, 1.0)], "r long, c long, v double")
+    right = spark.range(4000).select((F.col("id") % 40).alias("r"), F.col("id").alias("c"), F.lit(1.0).alias("v"))
+    limits = Limits(broadcast_values=0, rows_per_task=100)
+    shape = join_shape(left, "c", right, "r", limits)
+    assert shape.pairs == 100 and shape.widest == 100 and shape.partitions(limits) == 40 and shape.hint(limits) == "shuffle_hash"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(mul.partial_products(left, right, limits))
+    assert "ShuffledHashJoin" in text and text.count("hashpartitioning") == 2 and ", 40), REPARTITION_BY_NUM" in text
+    tight = Limits(broadcast_values=0, rows_per_task=99)
+    assert "SortMergeJoin" in plan(mul.partial_products(left, right, tight))
+    for build in (lambda: mul.heavy_multiply(left, right, limits=limits), lambda: mul.reference_product(mul.Matrix(left, 4000), mul.Matrix(right, 4000), limits)):
+        assert ", 40), REPARTITION_BY_NUM" in plan(build()).split("Join")[0]
+        assert build().count() == 100
+
+
+def test_form_by_cost(matrix_of, tables):
+    from matrel.plans.light import choose_form
+
+    assert choose_form(tables.matrix("supp"))[0] in ("dense", "merge")
+    dense = [(r, c, 1) for r in range(40) for c in range(40)]
+    sparse = [(r, (r * 7) % 40 + 40, 1) for r in range(40, 80)]
+    assert choose_form(matrix_of(dense, 40))[0] == "dense"
+    form, routes = choose_form(matrix_of(dense + sparse, 80))
+    assert form == "adaptive" and {x["route"] for x in routes.collect()} == {1, 3}
+    assert choose_form(matrix_of(sparse, 80))[0] == "merge"
+    mixed = matrix_of(dense + sparse, 80)
+    assert cells_of(mul.multiply(mixed)) == brute_product(dense + sparse, dense + sparse)
