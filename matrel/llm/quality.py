@@ -29,6 +29,7 @@ LINE_SHARE = 0.02
 LINE_LEAST = 8
 KEEP_SHARE = 0.5
 MIN_WORDS = 50
+BROADCAST_KEYS = 1_000_000      # 8-byte keys sent to all tasks; more are joined by a shuffle of the texts
 WHITE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 
@@ -92,9 +93,11 @@ def _profile(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``text_key, family, n`` of the listed texts: the near-dedup class of each, from one row per text."""
+    """``text_key, family`` of the listed texts: the near-dedup class of each, from one row per text."""
     texts = docs.select(text_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = keys.select(F.col("text_key").alias("doc_id")).distinct()
+    wanted = stage(keys.select(F.col("text_key").alias("doc_id")).distinct())
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
     texts = stage(texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.any_value("text").alias("text")))
     return near_duplicates(texts).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("family"))
 
