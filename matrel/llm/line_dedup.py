@@ -325,7 +325,10 @@ def _proven(docs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
     wanted = stage(wanted.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
     same = F.col("text_key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     texts = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted.select("_id", "_key").distinct(), same, "left_semi").groupBy("doc_id", "text_key").agg(F.any_value("text").alias("text"))
+    keys = stage(wanted.select("_id", "_key").distinct())
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    texts = texts.join(keys, same, "left_semi").groupBy("doc_id", "text_key").agg(F.any_value("text").alias("text"))
     sets = stage(_left_sets(wanted.join(texts, same)))
     pairs = copied.select((F.col("leader") * 2).alias("a"), (F.col("row") * 2 + 1).alias("b"))
     linked = stage(confirmed(pairs, sets))
