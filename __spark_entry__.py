@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from matrel import execution, oracle, storage  # noqa: E402
 from matrel.functions.sketch import HLL16, HLL32  # noqa: E402
-from matrel.operators import batches, coo, csr, multiply as mul, profile, verify, windows  # noqa: E402
+from matrel.operators import batches, coo, csr, multiply as mul, placement, profile, verify, windows  # noqa: E402
 from matrel.plans import light  # noqa: E402
 from matrel.session import new_path, stage  # noqa: E402
 from matrel.sources.matrix_market import read_matrix_market, register, write_matrix_market  # noqa: E402
@@ -31,6 +31,7 @@ WIDTH = 256                      # column windows of the window queries
 PLANNED = ["part", "supp", "cust", "label", "mix", "trade"]
 SMALL_BUDGETS = {"products": 10_000, "runs": 700}
 SAMPLE_ROWS = 512                # rows of the sampled verification
+PARTS = 16                       # tasks of the placed product
 TILE_WORK = 20_000               # products of a tile of the resumable runs
 HEAVY = 4096                     # products of a heavy row (fixed value)
 
@@ -150,6 +151,16 @@ def _bucketed(m) -> DataFrame:
     return storage.co_partitioned_multiply(storage.co_partition(m), m.entries.sparkSession)
 
 
+def _placed(m) -> DataFrame:
+    """The merge form with rows placed by their products."""
+    return placement.placed_multiply(m.entries, m.entries, stage(profile.row_features(m)), m.n, PARTS)
+
+
+def _shares(m) -> DataFrame:
+    """What each task of that product has to do."""
+    return placement.share_summary(placement.shares(profile.row_features(m), m.n, PARTS))
+
+
 def _heavy(m) -> DataFrame:
     """Products of the rows over the heavy threshold, by the two-stage sum."""
     heavy = stage(mul.keep_rows(m.entries, mul.heavy_rows(profile.row_features(m))))
@@ -292,6 +303,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spgemm_resumed": _on("cust", _resumed),
         "tile_manifest": _on("cust", _manifest),
         "tile_audit": _on("cust", _audited),
+        "spgemm_placed": _on("blend", _placed),
+        "work_shares": _on("blend", _shares),
         "spgemm_co_partitioned": _on("cust", _bucketed),
         "spgemm_window_clustered": _on("cust", lambda m: mul.multiply(m, _clustered(m), mode="merge", columns=(WIDTH, 2 * WIDTH))),
         "clustered_range": _on("part", _clustered_range),
@@ -400,6 +413,11 @@ def matrix_sql() -> dict[str, str]:
         "matrix_market_pattern": f"WITH {o.matrix('cust')} SELECT r, c, 1.0e0 AS v FROM a",
         "spgemm_tiled": o.product("cust"),
         "spgemm_resumed": o.product("cust"),
+        "spgemm_placed": o.product("blend"),
+        "work_shares": f"""WITH {o.matrix('blend')}, {o.FEATURES}, t AS (SELECT CAST(sum(products) AS BIGINT) AS total FROM f),
+            s AS (SELECT r, products, CAST(sum(products) OVER (ORDER BY r) - products AS BIGINT) // ((total + {PARTS - 1}) // {PARTS}) AS part
+                  FROM f, t WHERE products > 0)
+            SELECT part, min(r) AS first_row, max(r) AS last_row, count(*) AS rows, CAST(sum(products) AS BIGINT) AS products FROM s GROUP BY part""",
         "spgemm_co_partitioned": o.product("cust"),
         "spgemm_window_clustered": o.product("cust", where=f"WHERE b.c >= {WIDTH} AND b.c < {2 * WIDTH}"),
         "clustered_range": f"WITH {o.matrix('part')} SELECT r, c, v FROM a WHERE r >= {o.N} // 4 AND r < {o.N} // 2 AND c >= {WIDTH} AND c < {2 * WIDTH}",
