@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from matrel import execution, oracle, storage  # noqa: E402
 from matrel.functions.sketch import HLL16, HLL32  # noqa: E402
-from matrel.operators import batches, coo, csr, multiply as mul, placement, profile, verify, windows  # noqa: E402
+from matrel.operators import batches, coo, csr, exact, multiply as mul, placement, profile, verify, windows  # noqa: E402
 from matrel.plans import light  # noqa: E402
 from matrel.session import new_path, stage  # noqa: E402
 from matrel.sources.matrix_market import read_matrix_market, register, write_matrix_market  # noqa: E402
@@ -161,6 +161,25 @@ def _shares(m) -> DataFrame:
     return placement.share_summary(placement.shares(profile.row_features(m), m.n, PARTS))
 
 
+def _ratios(m) -> coo.Matrix:
+    """The matrix with values that no binary fraction holds."""
+    return coo.Matrix(m.entries.withColumn("v", F.col("v") / 7), m.n)
+
+
+def _exact(m) -> DataFrame:
+    """True sums of single-precision products, in units of 2**-52."""
+    sums = exact.exact_multiply(_ratios(m))
+    units = F.col("numerator").cast("decimal(38,0)") * F.pow(F.lit(2.0), F.col("exponent") + 52).cast("decimal(20,0)")
+    return sums.select("r", "c", units.cast("decimal(38,0)").cast("string").alias("units"))
+
+
+def _verify_single(m) -> DataFrame:
+    """Verification of the product in single precision, whose deviation is not zero."""
+    m = _ratios(m)
+    found = verify.report(verify.verify(coo.Matrix(exact.single(m.entries), m.n), exact.single_multiply(m)), m.n)
+    return found.select("cells", "mismatches", "bad_rows", (F.col("max_deviation") > 0).alias("deviates"), "checked_rows", "total_rows")
+
+
 def _heavy(m) -> DataFrame:
     """Products of the rows over the heavy threshold, by the two-stage sum."""
     heavy = stage(mul.keep_rows(m.entries, mul.heavy_rows(profile.row_features(m))))
@@ -303,6 +322,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spgemm_resumed": _on("cust", _resumed),
         "tile_manifest": _on("cust", _manifest),
         "tile_audit": _on("cust", _audited),
+        "spgemm_exact": _on("cust", _exact),
+        "verify_single": _on("cust", _verify_single),
         "spgemm_placed": _on("blend", _placed),
         "work_shares": _on("blend", _shares),
         "spgemm_co_partitioned": _on("cust", _bucketed),
@@ -413,6 +434,12 @@ def matrix_sql() -> dict[str, str]:
         "matrix_market_pattern": f"WITH {o.matrix('cust')} SELECT r, c, 1.0e0 AS v FROM a",
         "spgemm_tiled": o.product("cust"),
         "spgemm_resumed": o.product("cust"),
+        "spgemm_exact": f"""WITH {o.matrix('cust')}, x AS (SELECT r, c, CAST(CAST(v / 7 AS FLOAT) AS DOUBLE) AS v FROM a)
+            SELECT x.r, y.c, CAST(sum(CAST(x.v * y.v * 4503599627370496.0e0 AS HUGEINT)) AS VARCHAR) AS units FROM x JOIN x y ON x.c = y.r GROUP BY x.r, y.c""",
+        "verify_single": f"""WITH {o.matrix('cust')} SELECT count(*) AS cells, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS bad_rows,
+            max(dev) > 0 AS deviates, (SELECT n FROM d) AS checked_rows, (SELECT n FROM d) AS total_rows
+            FROM (SELECT a.r, b.c, abs(CAST(CAST(sum(CAST(CAST(a.v / 7 AS FLOAT) * CAST(b.v / 7 AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE)
+                  - sum(CAST(CAST(a.v / 7 AS FLOAT) AS DOUBLE) * CAST(CAST(b.v / 7 AS FLOAT) AS DOUBLE))) AS dev FROM a JOIN a b ON a.c = b.r GROUP BY a.r, b.c)""",
         "spgemm_placed": o.product("blend"),
         "work_shares": f"""WITH {o.matrix('blend')}, {o.FEATURES}, t AS (SELECT CAST(sum(products) AS BIGINT) AS total FROM f),
             s AS (SELECT r, products, CAST(sum(products) OVER (ORDER BY r) - products AS BIGINT) // ((total + {PARTS - 1}) // {PARTS}) AS part
