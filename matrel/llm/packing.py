@@ -14,7 +14,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,16 +119,17 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     id_type = docs.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if keep_ids else [])
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        # Arrow keeps ids as they are; pandas would turn a long column with nulls into doubles
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
         packer = SumOfSquares(capacity)
-        places = [packer.place(n) for n in rows["length"].tolist()]
-        rows["sequence_id"] = np.array([p[0] for p in places], dtype=np.int64) + (int(key[0]) << 32)
-        rows["offset"] = np.array([p[1] for p in places], dtype=np.int64)
-        return rows[[*columns, "sequence_id", "offset"]]
+        places = [packer.place(n) for n in rows.column("length").to_pylist()]
+        group = key[0].as_py() << 32
+        rows = rows.select(columns).append_column("sequence_id", pa.array([group + p[0] for p in places], pa.int64()))
+        return rows.append_column("offset", pa.array([p[1] for p in places], pa.int64()))
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long"
-    short = pieces.filter(F.col("length") < capacity).groupBy("g").applyInPandas(pack, schema)
+    short = pieces.filter(F.col("length") < capacity).groupBy("g").applyInArrow(pack, schema)
     full = pieces.filter(F.col("length") == capacity).select(
         *columns, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return short.unionByName(full)

@@ -150,3 +150,8 @@ def test_sum_of_squares_places_by_the_smallest_sum():
             assert not fits and offset == 0
             gaps[bin_] = 50 - size
         gaps = {b: g for b, g in gaps.items() if g}
+
+
+def test_packed_ids_are_exact_beside_nulls(spark):
+    docs = spark.createDataFrame([(9007199254740993, "a b"), (None, "c"), (7, "d")], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.pack_documents(docs).collect()} == {9007199254740993, None, 7}
