@@ -23,12 +23,13 @@ MIN_LENGTH = 16
 RUN = "A-Za-z0-9_+/=-"
 CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z_+/=-]*[0-9])[{RUN}]{{{MIN_LENGTH},}}"
 MIN_VALUE = 6
-BLOCK_CHARS = 20_000            # more than the longest keys in use
-BLOCK = rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----[\s\S]{{1,{BLOCK_CHARS}}}?-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----"
+#: A key block of any length: its body has no row of five dashes.
+MARKED = r"-----{} [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = MARKED.format("BEGIN") + r"[^-]*+(?:-(?!----)[^-]*+)*+" + MARKED.format("END")
 WORDS = "(?:token|secret|passw|passphrase|pwd|api.?key|access|auth|bearer|credential|private)"
 NAMED = rf"""(?i:{WORDS})[\w.-]{{0,40}}["'`\]]{{0,2}}[ \t]{{0,4}}(?::=|=>|[=:])[ \t]{{0,4}}"""
-QUOTED = "|".join(rf"{q}[^{q}\r\n]{{{MIN_VALUE},400}}{q}" for q in "\"'`")
-BARE = rf"""[^\s"'`]\S{{{MIN_VALUE - 2},400}}[^\s,;)\]}}>"'`]"""
+QUOTED = "|".join(rf"{q}[^{q}\r\n]{{{MIN_VALUE},}}+{q}" for q in "\"'`")
+BARE = rf"""[^\s"'`]\S{{{MIN_VALUE - 2},}}[^\s,;)\]}}>"'`]"""
 #: A key block, or a credential word with its value.
 ASSIGNED = rf"{BLOCK}|{NAMED}(?:{QUOTED}|{BARE})"
 SPACE = r"[ \t\n\r\x0b\f]+"
@@ -78,21 +79,22 @@ def _assigned() -> Column:
     """Key blocks and assigned values of ``t`` as ``array<struct<place, secret>>``, found before the text is split into words."""
     found = F.regexp_extract_all("t", F.lit(ASSIGNED), F.lit(0))
     between = F.split("t", ASSIGNED, -1)                     # the text before each match, and after the last one
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<begin: int, match: string>>").alias("hits"))
-    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("match"), F.length(gap).alias("gap")))
-    placed = F.aggregate(steps, start, lambda done, x: F.struct(
-        (done["end"] + x["gap"] + F.length(x["match"])).alias("end"),
-        F.concat(done["hits"], F.array(F.struct((done["end"] + x["gap"]).alias("begin"), x["match"].alias("match")))).alias("hits")),
-        lambda done: done["hits"])
+    blanks = lambda x: F.size(F.split(x, SPACE, -1)) - 1     # runs of white space; none lies across the ends of a match
     value = lambda m: F.when(m.rlike(rf"\A{BLOCK}"), m).otherwise(F.regexp_replace(m, rf"\A{NAMED}", ""))
-
-    def finding(x: Column) -> Column:
-        raw = value(x["match"])
-        head = F.substring(F.col("t"), F.lit(1), x["begin"] + F.length(x["match"]) - F.length(raw))
+    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(
+        m.alias("match"), value(m).alias("raw"), blanks(gap).alias("gap"), blanks(m).alias("inside")))
+    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("before"))
+    counted = F.aggregate(steps, start, lambda done, x: F.struct(
+        (done["seen"] + x["gap"] + x["inside"]).alias("seen"), F.concat(done["before"], F.array(done["seen"] + x["gap"])).alias("before")),
+        lambda done: done["before"])
+
+    def finding(x: Column, before: Column) -> Column:
+        raw = x["raw"]
+        name = F.substring(x["match"], F.lit(1), F.length(x["match"]) - F.length(raw))
         bare = F.when(raw.rlike("\\A[\"'`]"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-        return F.struct(F.size(F.split(head, SPACE, -1)).alias("place"), bare.alias("secret"))
+        return F.struct((before + blanks(name) + 1).alias("place"), bare.alias("secret"))
 
-    return F.transform(placed, finding)
+    return F.zip_with(steps, counted, finding)
 
 
 def _share(pattern: str) -> Column:

@@ -48,3 +48,17 @@ def test_values_and_key_blocks_are_candidates(spark):
 def test_quoted_password_with_a_sign_is_labelled_a_secret(spark):
     found = scanned(spark, ['password = "p@ss!w9" set', 'password = "jo@mail.example.org" set'])
     assert {r["doc_id"]: r["label"] for r in secrets.label_findings(found).collect()} == {0: 1.0, 1: 0.0}
+
+
+def test_long_values_and_blocks_are_found_whole(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
+    quoted, bare = letters(600), letters(5000) + "!" + letters(300)
+    block = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(letters(31) + "-" + letters(31) for _ in range(1600)) + "\n-----END PRIVATE KEY-----"
+    assert len(block) > 100_000
+    texts = [f'password = "{quoted}" end', f"see token={bare} end", f"a b\n{block}\nend", "-----BEGIN PRIVATE KEY-----\n" + "x-" * 20_000,
+             " ".join(f"pwd{i}=abc{i}def" for i in range(3000)), "  token = secret-one\n\n passwd: secret-two "]
+    rows = {(r["doc_id"], r["secret"], r["place"]) for r in secrets.findings(table(spark, texts)).collect()}
+    assert {(0, quoted, 3), (1, bare, 2), (2, block, 3), (5, "secret-one", 4), (5, "secret-two", 6)} <= rows
+    assert {(4, f"abc{i}def", i + 1) for i in range(3000)} <= rows
+    assert not {r for r in rows if r[0] == 3 and r[1].startswith("-----BEGIN")}
