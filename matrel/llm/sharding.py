@@ -1,9 +1,10 @@
 """Proportional stratified interleaving into shards of equal row counts.
 
 Rows are shuffled inside their source by a seeded hash, ranked, and placed at the fractional
-rank (rank - 1/2) / size of the source. Sorting all rows by that fraction interleaves the
+rank (rank - u) / size of the source, with a phase u between 0 and 1 of the source: without it
+all sources of one row would stand at one half. Sorting all rows by that fraction, ties by the hash of the row, interleaves the
 sources in proportion, so a cut of the order into equal runs gives every shard the mixture
-of the whole table, each source to within about one row.
+of the whole table, each source to within about one row, and many small sources by their sum.
 
 Ranks and places are counted without one task seeing a whole source: the hash (and then the
 fraction) is cut into equal slices, counts of slices are summed up, and rows are numbered
@@ -22,6 +23,7 @@ from matrel.session import stage
 SEED = "interleave-1"
 SLICE_ROWS = 2_000
 SHARDS = 40
+GOLDEN = (5**0.5 - 1) / 2
 
 
 def _before(counts: DataFrame, keys: list[str], slice_: str) -> DataFrame:
@@ -64,20 +66,27 @@ def interleave(docs: DataFrame, shards: int = SHARDS, by: str = "source", seed:
     rows = docs.select(
         "doc_id", F.col(by).cast("string").alias("_src"), (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    # 52 bits of a seeded digest: exact as a double, the same in every SQL engine
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = stage(rows.withColumn("h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")))
+    # 52 bits of a seeded digest, exact as a double; equal or null doc_ids are told apart by their texts
+    named = lambda *parts: F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
+    bits = lambda digest: F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    rows = stage(rows.withColumn("h", bits(named(F.col("doc_id"), F.col("text_crc32"), F.col("size")))))
     total = rows.count()
     slices = max(1, -(-total // slice_rows))
     sizes = rows.groupBy("_src").agg(F.count(F.lit(1)).alias("_size"))
     # slices in proportion to the source: its rows spread evenly over them
-    sizes = stage(sizes.withColumn("_cut", F.greatest(F.lit(1), F.ceil(F.col("_size") / slice_rows))))
-    rows = rows.alias("r").join(sizes.alias("s"), F.col("r._src").eqNullSafe(F.col("s._src"))).select("r.*", "_size", "_cut")
+    sizes = sizes.withColumn("_cut", F.greatest(F.lit(1), F.ceil(F.col("_size") / slice_rows)))
+    # phases of a golden-ratio sequence over the sources in the order of their hashes: any stretch of them is spread evenly
+    sizes = stage(sizes.withColumn("_hash", bits(named(F.lit("source"), F.col("_src")))))
+    source_slices = max(1, -(-sizes.count() // slice_rows))
+    sizes = sizes.withColumn("_slice", F.floor(F.col("_hash") / F.lit(2.0**52) * source_slices).cast("long"))
+    golden = (F.col("at") + 0.5) * F.lit(GOLDEN)
+    sizes = stage(_numbered(sizes, [], "_slice", [F.col("_hash"), F.col("_src")]).withColumn("_phase", golden - F.floor(golden)))
+    rows = rows.alias("r").join(sizes.alias("s"), F.col("r._src").eqNullSafe(F.col("s._src"))).select("r.*", "_size", "_cut", "_phase")
     rows = rows.withColumn("_slice", F.floor(F.col("h") / F.lit(2.0**52) * F.col("_cut")).cast("long"))
     ranked = _numbered(rows, ["_src"], "_slice", [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")])
-    ranked = ranked.withColumn("f", (F.col("at") + 0.5) / F.col("_size")).drop("at")
+    ranked = ranked.withColumn("f", (F.col("at") + F.col("_phase")) / F.col("_size")).drop("at")
     ranked = stage(ranked.withColumn("_part", F.floor(F.col("f") * slices).cast("long")))
-    placed = _numbered(ranked, [], "_part", [F.col(c) for c in ("f", "_src", "h", "doc_id", "text_crc32", "size")])
+    placed = _numbered(ranked, [], "_part", [F.col(c) for c in ("f", "h", "doc_id", "text_crc32", "size", "_src")])
     placed = placed.withColumn("shard", F.expr(f"(at * {shards}L) div {max(total, 1)}L").cast("int"))
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
     return placed.select(

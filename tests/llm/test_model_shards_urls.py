@@ -89,7 +89,7 @@ def test_scores_of_awkward_rows(spark):
     assert hmm.score_documents(nothing(spark), passes=1).count() == 0
 
 
-def check_shards(rows, docs, shards):
+def check_shards(rows, docs, shards, off=2):
     n = len(docs)
     assert len(rows) == n and {r["law"] for r in rows} == {"rows"} and {r["grown_shard"] for r in rows} == {None}
     sizes = Counter(r["shard"] for r in rows)
@@ -102,7 +102,7 @@ def check_shards(rows, docs, shards):
     mixture = Counter((r["shard"], r["source"]) for r in rows)
     for s in range(shards):
         for source, m in per_source.items():
-            assert abs(mixture[(s, source)] - m / shards) <= 2
+            assert abs(mixture[(s, source)] - m / shards) <= off
 
 
 @pytest.mark.parametrize("slice_rows", [20_000, 7])
@@ -115,6 +115,15 @@ def test_shards(spark, slice_rows):
         assert whole == {r["doc_id"]: (r["shard"], r["slot"]) for r in rows}
 
 
+def test_small_sources_spread_over_all_shards(spark):
+    rows = [(i, f"t{i}", "large") for i in range(1000)] + [(1000 + i, f"t{i}", f"small{i}") for i in range(1000)]
+    rows += [(None, f"n{i}", "null ids") for i in range(200)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    check_shards(got, rows, 40, off=3)
+    small = Counter(r["shard"] for r in got if r["source"].startswith("small"))
+    assert len(small) == 40 and max(small.values()) <= 28 and min(small.values()) >= 22
+
+
 def test_shards_of_awkward_rows(spark):
     rows = sharding.interleave(awkward(spark), shards=4).collect()
     check_shards(rows, [(r[0], r[1], r[3]) for r in awkward_rows()], 4)
