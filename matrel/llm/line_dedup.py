@@ -99,8 +99,12 @@ def within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
-def _normal(line: bytes) -> bytes:
-    return b" ".join(line.lower().split())
+def _normals(text: bytes | None) -> Iterator[bytes]:
+    """The normalised lines of a text, in order. A text without runs of blanks needs no look at its words."""
+    text = (text or b"").lower()
+    if any(x in text for x in (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")):
+        return (b" ".join(line.split()) for line in text.split(b"\n"))
+    return (line.strip(b" ") for line in text.split(b"\n"))
 
 
 def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -114,15 +118,14 @@ def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                 totals, places, ids, more, counts, ends = [], [], [], [], [], [0]
                 for text in batch.column(2).cast(pa.binary()).to_pylist():
                     total = 0
-                    for place, line in enumerate((text or b"").split(b"\n")):
-                        words = line.lower().split()
-                        total += len(words)
-                        normal = b" ".join(words)
+                    for place, normal in enumerate(_normals(text)):
+                        words = normal.count(b" ") + 1 if normal else 0
+                        total += words
                         if len(normal) >= min_chars and len(normal.decode()) >= min_chars:
                             places.append(place)
                             ids.append(xxhash.xxh3_64_intdigest(normal))
                             more.append(xxhash.xxh64_intdigest(normal))
-                            counts.append(len(words))
+                            counts.append(words)
                     totals.append(total)
                     ends.append(len(ids))
                 lines = pa.StructArray.from_arrays(
@@ -140,9 +143,8 @@ def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
 def _normal_lines(texts: list[bytes | None], min_chars: int, seen: set) -> Iterator[tuple[int, str]]:
     """Eligible lines not met in this task before, as (id, text)."""
     for text in texts:
-        for line in (text or b"").split(b"\n"):
-            if len(line) >= min_chars:
-                normal = _normal(line)
+        for normal in _normals(text):
+            if len(normal) >= min_chars:
                 id_ = xxhash.xxh3_64_intdigest(normal)
                 if id_ not in seen:
                     seen.add(id_)
@@ -153,6 +155,14 @@ def _normal_lines(texts: list[bytes | None], min_chars: int, seen: set) -> Itera
         seen.clear()
 
 
+def _segment_bytes(segment: str) -> bytes:
+    """The bytes that stand for a segment, whatever line it is from."""
+    try:
+        return segment.encode("latin-1")
+    except UnicodeEncodeError:
+        return segment.encode("utf-32-le")
+
+
 def _segment_rows(docs: DataFrame, limit: int, min_chars: int) -> DataFrame:
     """``key, id, probe``: index entries and lookups of the lines."""
 
@@ -170,13 +180,15 @@ def _segment_rows(docs: DataFrame, limit: int, min_chars: int) -> DataFrame:
                     if plan is None:
                         entries = [(n, i, start, size, False) for i, (start, size) in enumerate(segments(n, limit))]
                         entries += [(*p, True) for p in probes(n, limit)]
-                        # 4 bytes per character, so places are byte offsets
-                        plan = ([(4 * at, 4 * (at + size), length * (limit + 1) + i) for length, i, at, size, _ in entries],
+                        plan = ([(at, at + size, length * (limit + 1) + i) for length, i, at, size, _ in entries],
                                 np.array([e[4] for e in entries]))
                         if len(plans) < 20_000:
                             plans[n] = plan
-                    wide = line.encode("utf-32-le")
-                    keys += [digest(wide[a:b], seed) for a, b, seed in plan[0]]
+                    try:                                # one byte per character, so places are byte offsets
+                        narrow = line.encode("latin-1")
+                        keys += [digest(narrow[a:b], seed) for a, b, seed in plan[0]]
+                    except UnicodeEncodeError:
+                        keys += [digest(_segment_bytes(line[a:b]), seed) for a, b, seed in plan[0]]
                     flags.append(plan[1])
                     counts.append(len(plan[1]))
                     ids.append(id_)
