@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matrel.llm.common import Memo, attach
+from matrel.llm.common import Memo, attach, text_or_empty
 from matrel.llm.components import components
 from matrel.session import stage
 
@@ -249,9 +249,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: the smallest doc_id of each component."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__llm_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__llm_gone"), "left_anti")
+    """The documents that stay, with all their columns: the smallest doc_id of each component.
+
+    A document is a doc_id with a text. Rows that repeat both are one document and one of them
+    stays; different texts under one doc_id, or under none, are documents of their own (the
+    least by doc_id, nulls last, then by text hash stays of a group). Only tables with such rows
+    are numbered anew, which shuffles their rows twice.
+    """
+    text = text_or_empty()
+    key = [F.col("doc_id").alias("__llm_id"), F.xxhash64(text).alias("__llm_k1"), F.xxhash64(F.lit(1), text).alias("__llm_k2")]
+    keys = stage(docs.select(*key))
+    if keys.filter("__llm_id IS NULL").isEmpty() and keys.groupBy("__llm_id").count().filter("count > 1").isEmpty():
+        gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__llm_gone")).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col("__llm_gone"), "left_anti")
+    # ids that grow with the partition and the row keep the order of the sort
+    ordered = keys.distinct().orderBy(F.col("__llm_id").asc_nulls_last(), "__llm_k1", "__llm_k2")
+    nodes = stage(ordered.withColumn("__llm_node", F.monotonically_increasing_id()))
+    names = docs.columns
+    first = docs.groupBy(*key).agg(F.first(F.struct(*[F.col(f"`{n}`") for n in names])).alias("__llm_row"))      # repeated rows are combined before the shuffle
+    rows = first.withColumnsRenamed({n: f"{n}_1" for n in ("__llm_id", "__llm_k1", "__llm_k2")})
+    rows = rows.join(nodes, F.col("__llm_id_1").eqNullSafe(F.col("__llm_id")) & F.col("__llm_k1_1").eqNullSafe(F.col("__llm_k1"))
+                     & F.col("__llm_k2_1").eqNullSafe(F.col("__llm_k2")))
+    rows = stage(rows.select("__llm_node", "__llm_row"))
+    found = near_duplicates(rows.select(F.col("__llm_node").alias("doc_id"), F.col("__llm_row")["text"].alias("text")))
+    kept = found.filter("kept").select(F.col("doc_id").alias("__llm_kept"))
+    return rows.join(kept, F.col("__llm_node") == F.col("__llm_kept"), "left_semi").select(*[F.col("__llm_row")[n].alias(n) for n in names])
 
 
 SQL = r"""

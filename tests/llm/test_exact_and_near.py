@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matrel.llm import exact_dedup, near_dedup
 from matrel.llm.components import components
 
-from .helpers import SMALL, Forest, awkward, awkward_rows, lower, near_components, nothing
+from .helpers import PROSE, SMALL, Forest, awkward, awkward_rows, lower, near_components, nothing
 
 
 def expected_exact(rows):
@@ -88,6 +88,16 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert near_dedup.keep_one(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_keep_one_tells_texts_under_one_doc_id_apart(spark):
+    near, other = PROSE + " tail", " ".join(f"v{i}" for i in range(60))
+    rows = [(1, PROSE), (2, near), (2, other), (2, other), (3, PROSE), (None, near), (None, "alone here"), (None, "alone here"), (4, None), (4, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, node int")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
+    assert got == sorted([(1, PROSE), (2, other), (None, "alone here"), (4, ""), (5, "")], key=str)
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
