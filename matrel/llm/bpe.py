@@ -10,8 +10,11 @@ therefore, per label, its two parts and the rank of its merge, and one table of
 label that x was built from before x existed, from that state or from one it was copied from
 before the copy was made.
 
-The accepted label sequences are exactly the BPE tokenizations, one for each word. Encoding
-follows the arcs that spell the word; decoding emits the labels of the arcs.
+The accepted label sequences are exactly the BPE tokenizations, one for each word. The whole
+transition table, states by labels, would have as many entries as there are pairs of tokens, so
+the row of a state is kept as its difference from the row it was copied from, and the entries
+that words ask for are kept expanded. Encoding steps through that table, one state for each
+position of the word, without taking a step back; decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -75,39 +78,34 @@ class MergeAutomaton:
         return True
 
     def path(self, word: str) -> list[int]:
-        """Labels of the accepted path that spells the word (its end mark included)."""
-        arcs, bits, size = self.arcs, self.bits, len(word)
-        out: list[int] = []
-        ends = [0]
-        dead: set[tuple[int, int]] = set()
-        choices = [self._choices(word, 0)]
-        while ends[-1] < size:
-            options = choices[-1]
-            if options:
-                end, label = options.pop()
-                if (out and not arcs[out[-1] << bits | label]) or (dead and (end, label) in dead):
-                    continue
-                out.append(label)
-                ends.append(end)
-                choices.append(self._choices(word, end) if end < size else [])
-            else:
-                if not out:
-                    raise ValueError("the word has a symbol outside the vocabulary")
-                dead.add((ends.pop(), out.pop()))
-                choices.pop()
-        return out
-
-    def _choices(self, word: str, at: int) -> list[tuple[int, int]]:
-        """Labels that spell the word from ``at`` on, as (end, label); the longest comes last."""
-        found = []
-        get = self.spelled.get
-        for end in range(at + 1, len(word) + 1):
-            label = get(word[at:end])
-            if label is None:
-                break
-            if label >= 0:
-                found.append((end, label))
-        return found
+        """Labels of the accepted path that spells the word (its end mark included).
+
+        The positions are passed once, from left to right. Every beginning of a word is a word
+        itself and has one tokenization, so one arc at most reaches each position: its label is
+        the state there, and the table tells which labels leave it. Nothing is taken back, and
+        the walk ends with the arc that reaches the end.
+        """
+        spelled, arcs, bits, size = self.spelled.get, self.arcs, self.bits, len(word)
+        state, begin = [-1] * (size + 1), [0] * (size + 1)
+        at = 0
+        while size and state[size] < 0:
+            base = state[at] << bits
+            for end in range(at + 1, size + 1):
+                label = spelled(word[at:end])
+                if label is None:
+                    break
+                if label >= 0 and state[end] < 0 and (not at or arcs[base | label]):
+                    state[end], begin[end] = label, at
+            at += 1
+            while at < size and state[at] < 0:
+                at += 1
+            if at == size and state[size] < 0:
+                raise ValueError("the word has a symbol outside the vocabulary")
+        out = []
+        while size:
+            out.append(state[size])
+            size = begin[size]
+        return out[::-1]
 
 
 class WordTokenizer:

@@ -38,6 +38,23 @@ def test_automaton_matches_the_library():
         assert own.rendered(text) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), text
 
 
+def test_every_table_entry_is_asked_for_once_in_a_word():
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.WordTokenizer(bpe.default_path())
+    for word in ("ab" * 4000, "a" * 9000, "nationalisation" * 500, "zqxj" * 900, "thethathenthe" * 300):
+        assert own.encode(word) == library.encode(word, add_special_tokens=False).ids
+    automaton, asked = own.automaton, []
+
+    class Table(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return automaton._open(key >> automaton.bits, key & (1 << automaton.bits) - 1)
+
+    automaton.arcs = Table()
+    word = "q" * 500                                     # no long labels: a few entries for each position
+    automaton.path(word + "\n")
+    assert len(asked) <= 500 * max(map(len, automaton.spelled))
+
+
 def merged(word, merges):
     """Textbook merging: the lowest rank first, leftmost first."""
     parts, ranks = list(word), {m: i for i, m in enumerate(merges)}
