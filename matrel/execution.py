@@ -5,7 +5,7 @@ A run owns a folder of the shared file system:
 * ``plan``     - one row per tile with its row range, column window and work, written once;
 * ``tiles``    - the cells of a tile, one sub-folder per attempt;
 * ``digests``  - per output row of a tile its length and order-free digests, written beside the cells;
-* ``commits``  - an empty file ``<tile>.<attempt>`` per finished tile.
+* ``commits``  - an empty file ``<tile>.<attempt>`` per finished tile, or ``<tile>+<n>.<attempt>`` for n tiles from that one on.
 
 A tile counts only once its commit file exists, which is created after cells and digests are
 complete. A run that ends between tiles, or inside one, is continued by opening the same folder:
@@ -14,7 +14,8 @@ holds a digest of both factors, so a folder is not continued with other matrices
 
 Tiles are cut by work: a tile ends with the row at which the running sum of products passes the
 next multiple of the budget, so their number follows the work and not the size of the matrix. The
-degrees of the join keys are counted once for all tiles.
+degrees of the join keys are counted once for all tiles. Where many small tiles are left, neighbours are computed
+and committed by one job, since a job costs more than a small tile; a loss then takes at most one such group.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from matrel.functions.bits import int_div, lng
 from matrel.operators.coo import Matrix, between
 from matrel.operators.csr import fingerprints
-from matrel.operators.joins import JoinShape, Limits, join_shape
+from matrel.operators.joins import JoinShape, Limits, join_shape, lookup
 from matrel.operators.multiply import merge_multiply, multiply, resolve_mode
 from matrel.operators.ordered import running
 from matrel.operators.profile import row_features
@@ -36,6 +37,7 @@ from matrel.session import new_path, stage
 
 PRODUCTS_PER_TILE = 10**11
 MAX_TILES = 100_000            # tiles are listed by the driver
+GROUPS = 32                    # a run of more tiles is computed in about so many groups of neighbours
 _DIGEST = ["row_nnz", "fp_xor", "fp_sum", "fp_values"]
 
 
@@ -142,10 +144,17 @@ class ProductRun:
 
     def committed(self) -> dict[str, str]:
         """Attempt of each finished tile; of two attempts the first by name counts."""
+        return {tile: place.rpartition("/")[2] for tile, place in self._places().items()}
+
+    def _places(self) -> dict[str, str]:
+        """Sub-folder of each finished tile, its own or that of its group."""
         done: dict[str, str] = {}
+        at = {t.name: i for i, t in enumerate(self.tiles)}
         for name in self.folder.names("commits"):
-            tile, _, attempt = name.rpartition(".")
-            done.setdefault(tile, attempt)
+            first, _, attempt = name.rpartition(".")
+            tile, _, size = first.partition("+")
+            for one in self.tiles[at[tile]:at[tile] + int(size or 1)]:
+                done.setdefault(one.name, f"{first}/{attempt}")
         return done
 
     def _cells(self, tile: Tile) -> DataFrame:
@@ -173,19 +182,64 @@ class ProductRun:
         """Compute the tiles that are not committed, at most ``most``; their number."""
         done = self.committed()
         todo = [t for t in self.tiles if t.name not in done][:most]
-        for tile in todo:
-            self.compute(tile)
+        for group in self._groups(todo):
+            if len(group) == 1:
+                self.compute(group[0])
+            else:
+                self.compute_group(group)
         return len(todo)
 
+    def _groups(self, todo: list[Tile]) -> list[list[Tile]]:
+        """Neighbours of one window that together make no more products than the largest tile by default."""
+        size, groups = -(-len(todo) // GROUPS), []
+        for tile in todo:
+            last = groups[-1] if groups else []
+            fits = last and len(last) < size and last[-1].end == tile.begin and last[-1].first_column == tile.first_column
+            if fits and sum(t.products for t in last) + tile.products <= PRODUCTS_PER_TILE:
+                last.append(tile)
+            else:
+                groups.append([tile])
+        return groups
+
+    def compute_group(self, group: list[Tile]) -> None:
+        """Write neighbouring tiles of one window by one job and commit them together."""
+        first, last = group[0], group[-1]
+        name, attempt = f"{first.name}+{len(group)}", uuid.uuid4().hex
+        rows = self.spark.createDataFrame([(t.begin, t.end, t.name) for t in group], "begin long, end long, tile string").select(
+            F.explode(F.sequence("begin", F.col("end") - 1)).alias("tile_r"), "tile")
+        named = lambda df, identity: lookup(df, "r", identity, rows, "tile_r", self.limits, last.end - first.begin).drop("tile_r")
+        whole = Tile(first.begin, last.end, first.first_column, first.last_column,
+                     sum(t.products for t in group), max(t.longest for t in group))
+        place = f"{name}/{attempt}"
+        named(self._cells(whole), ["c"]).write.parquet(f"{self.folder.path}/tiles/{place}")
+        cells = self.spark.read.parquet(f"{self.folder.path}/tiles/{place}")
+        named(digests(cells), ["r"]).write.parquet(f"{self.folder.path}/digests/{place}")
+        self.folder.touch(f"commits/{name}.{attempt}")
+
     def _read(self, kind: str, partial: bool) -> DataFrame:
-        done = self.committed()
-        if not partial and any(t.name not in done for t in self.tiles):
+        places = self._places()
+        if not partial and any(t.name not in places for t in self.tiles):
             raise ValueError("the run is not complete; call run() or ask for the partial result")
-        paths = [f"{self.folder.path}/{kind}/{t.name}/{done[t.name]}" for t in self.tiles if t.name in done]
-        if not paths:
+        if not places:
             raise ValueError("no tile is committed yet")
-        tile = F.regexp_extract(F.col("_metadata.file_path"), f"/{kind}/([^/]+)/", 1)
-        return self.spark.read.parquet(*paths).withColumn("tile", tile)
+        named = F.regexp_extract(F.col("_metadata.file_path"), f"/{kind}/([^/]+)/", 1)
+        groups: dict[str, list[Tile]] = {}
+        for tile in self.tiles:
+            if tile.name in places:
+                groups.setdefault(places[tile.name], []).append(tile)
+        path = lambda place: f"{self.folder.path}/{kind}/{place}"
+        parts = []
+        if single := [path(p) for p in groups if "+" not in p]:
+            parts.append(self.spark.read.parquet(*single).withColumn("tile", named))
+        if whole := [p for p, tiles in groups.items() if "+" in p and f"+{len(tiles)}/" in p]:
+            parts.append(self.spark.read.parquet(*map(path, whole)))
+        for p, tiles in groups.items():            # another attempt has some tiles of the group
+            if "+" in p and p not in whole:
+                parts.append(self.spark.read.parquet(path(p)).filter(F.col("tile").isin([t.name for t in tiles])))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     def stored(self, partial: bool = False) -> DataFrame:
         """(r, c, v, tile) of the committed tiles."""

@@ -164,3 +164,37 @@ def test_empty_product(spark, matrix_of):
     run = ProductRun(m)
     run.run()
     assert run.audit().count() == 0
+
+
+def test_many_small_tiles_share_jobs(small, tmp_path, monkeypatch):
+    m, want = small
+    monkeypatch.setattr(execution, "GROUPS", 3)
+    folder = str(tmp_path / "run")
+    run = ProductRun(m, folder=folder, products=40)
+    computed, plain = [], ProductRun._cells
+    monkeypatch.setattr(ProductRun, "_cells", lambda self, tile: computed.append(tile.name) or plain(self, tile))
+    assert len(run.tiles) > 9 and run.run(most=4) == 4 and len(computed) <= 3
+    assert set(run.committed()) == {t.name for t in run.tiles[:4]}
+    again = ProductRun(m, folder=folder, products=40)
+    assert again.run() == len(again.tiles) - 4 and len(computed) <= 8 and again.run() == 0
+    again.compute(again.tiles[5])              # a second attempt of a tile inside a group
+    assert cells_of(again.result()) == want and again.result().count() == len(want)
+    assert {r["tile"] for r in again.stored().collect()} <= {t.name for t in again.tiles} and again.audit().count() == 0
+
+
+def test_a_group_lost_before_its_commit_is_never_read(small, tmp_path, monkeypatch):
+    m, want = small
+    monkeypatch.setattr(execution, "GROUPS", 2)
+    run = ProductRun(m, folder=str(tmp_path / "run"), products=40)
+    plain = execution.digests
+
+    def lost(cells):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(execution, "digests", lost)
+    with pytest.raises(RuntimeError):
+        run.run()
+    assert not run.committed()
+    monkeypatch.setattr(execution, "digests", plain)
+    run.run()
+    assert cells_of(run.result()) == want and run.audit().count() == 0
