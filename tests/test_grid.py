@@ -81,3 +81,34 @@ def test_rows_and_lists_longer_than_a_step(monkeypatch, direct):
             assert (r, c) not in found
             found[(r, c)] = v
     assert found == brute_product([(r, k, v) for (r, k), v in left.items()], [(k, c, v) for (k, c), v in right.items()])
+
+
+def test_window_work_by_the_grid(matrix_of):
+    from matrel.operators.windows import window_work
+
+    cells = some_cells(6, 80, 500)
+    m = matrix_of(cells, 80)
+    want = {tuple(x) for x in window_work(m, width=16).collect()}
+    got = window_work(m, width=16, limits=MANY)
+    assert got.schema == window_work(m, width=16).schema and {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_stay_bounded_as_tables_grow(spark):
+    from matrel.operators.joins import JoinShape
+
+    for size in (10**6, 10**8, 10**9):
+        shape = JoinShape(size, size, 30.0 * size, 0, spark.range(1))
+        cut = grid.grid_of(shape, Limits())
+        assert size / cut.columns <= grid.RIGHT_ENTRIES and size / cut.rows <= grid.LEFT_ENTRIES
+
+
+def test_stacked_matrices_are_not_staged_again(tables):
+    blend, supp, cust = (tables.matrix(x) for x in ("blend", "supp", "cust"))
+    assert set(blend.entries.inputFiles()) == set(supp.entries.inputFiles()) | set(cust.entries.inputFiles())
+    assert blend.n == supp.n + cust.n and blend.entries.count() == supp.entries.count() + cust.entries.count()
+
+
+def test_one_exchange_builds_a_matrix(tables):
+    plan = tables._part()[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
