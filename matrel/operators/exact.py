@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from matrel.functions.bits import lng
 from matrel.operators.coo import Matrix
 from matrel.operators.joins import JoinShape, Limits, join_shape
-from matrel.operators.multiply import _dealt, joined_entries, partial_products
+from matrel.operators.multiply import joined_entries, partial_products
 
 LIMB = 32                          # bits; a cell may sum up to 2**30 products
 _BASE = float(1 << LIMB)
@@ -88,12 +88,15 @@ def exact_multiply(a: Matrix, b: Matrix | None = None, keep_structural: bool = F
     shape = shape or join_shape(left, "c", right, "r", limits)
     parts = shape.partitions(limits)
     products = joined_entries(left, right, limits, shape)
+    if not limits.broadcasts(shape.right_rows, right.select("r", "c", "v")):
+        # products are dealt by cell, a third of the size of their limbs; both sums then find their rows in place
+        products = products.repartition(max(parts, int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "r", "c")
     if ways > 1:
         rows = _limbs(products.withColumn("way", F.pmod("k", lng(ways))), "r", "c", "way")
-        sums = _sums(_dealt(rows, parts, "r", "c", "way"), "r", "c", "way", "power")
+        sums = _sums(rows, "r", "c", "way", "power")
         sums = _sums(sums, "r", "c", "power")
     else:
-        sums = _sums(_dealt(_limbs(products, "r", "c"), parts, "r", "c"), "r", "c", "power")
+        sums = _sums(_limbs(products, "r", "c"), "r", "c", "power")
     cells = sums.groupBy("r", "c").agg(F.collect_list(F.struct("power", "l0", "l1", "l2", "odd")).alias("sums"))
     found = _rounded(cells)
     return found if keep_structural else found.filter((F.col("v") != 0) | F.isnan("v"))

@@ -92,3 +92,13 @@ def test_single_precision_exercises_the_bound(spark, tables):
     assert report["mismatches"] == 0 and report["max_deviation"] > 0 and report["cells"] > 100
     wrong = exact.single_multiply(m).withColumn("v", F.col("v") * 1.01)
     assert verify.report(verify.verify(rounded, wrong), m.n).first()["mismatches"] > 0
+
+
+def test_products_are_exchanged_before_their_limbs(matrix_of):
+    from matrel.operators.joins import Limits
+
+    m = matrix_of([(r, (r * 7 + k) % 30, r + k + 0.5) for r in range(30) for k in range(4)], 30)
+    found = exact.exact_multiply(m, limits=Limits(broadcast_values=0))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == 3 and text.count("Exchange") == 3
+    assert {tuple(x) for x in found.collect()} == {tuple(x) for x in exact.exact_multiply(m).collect()}
