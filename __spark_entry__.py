@@ -14,6 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from matrel import execution, oracle, storage  # noqa: E402
 from matrel.functions.sketch import HLL16, HLL32  # noqa: E402
 from matrel.operators import batches, coo, csr, exact, multiply as mul, placement, profile, verify, windows  # noqa: E402
+from matrel.operators.joins import Limits  # noqa: E402
 from matrel.plans import light  # noqa: E402
 from matrel.session import new_path, stage  # noqa: E402
 from matrel.sources.matrix_market import read_matrix_market, register, write_matrix_market  # noqa: E402
@@ -257,7 +258,7 @@ def _verify_sample(m) -> DataFrame:
 
 def _violations(m) -> DataFrame:
     cells = mul.multiply(m, mode="merge", keep_structural=True)
-    return csr.violations(cells, m.n)
+    return csr.violations(cells, m.n, -(-mul.product_count(m) // Limits().pairs_per_task))
 
 
 def _island_summary(m) -> DataFrame:

@@ -53,8 +53,13 @@ def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "r", "full_outer").filter(~same)
 
 
-def violations(entries: DataFrame, n: int) -> DataFrame:
-    """Broken invariants of a result: out-of-range indices, duplicates, stored zeros."""
+def violations(entries: DataFrame, n: int, parts: int = 0) -> DataFrame:
+    """Broken invariants of a result: out-of-range indices, duplicates, stored zeros.
+
+    Adaptive execution joins small partitions of an exchange up; ``parts`` keeps that many, so that a task groups a bounded number of cells.
+    """
+    if parts > 1:
+        entries = entries.repartition(max(parts, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "r", "c")
     cells = entries.groupBy("r", "c").agg(F.count(F.lit(1)).alias("copies"), F.max(F.col("v") == 0).alias("zero"))
     inside = F.col("r").between(0, n - 1) & F.col("c").between(0, n - 1)
     problem = (

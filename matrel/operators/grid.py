@@ -25,7 +25,7 @@ from matrel.operators.joins import JoinShape, Limits
 
 RIGHT_ENTRIES = 1 << 24        # of B held by a task
 LEFT_ENTRIES = 1 << 25         # of A sorted by a task
-TASK_SHARES = 8                # a task streams its products, so it takes this many of ``pairs_per_task``
+TASK_SHARES = 64               # a task streams its products, so it takes this many of ``pairs_per_task``
 MAX_CELLS = 1 << 13
 PIECE = 256                    # entries of one list
 BUFFER = 1 << 16               # A entries expanded together

@@ -19,7 +19,7 @@ from matrel.session import stage
 
 BROADCAST_VALUES = 4_000_000   # 8-byte values of a broadcast side: counted first, never more
 PAIRS_PER_CELL = 1 << 22       # a key with more pairs than this is cut
-PAIRS_PER_TASK = 1 << 25       # sizing of the join's partitions
+PAIRS_PER_TASK = 1 << 22       # sizing of the join's partitions
 ROWS_PER_TASK = 1 << 22        # input rows of one side: bounds the hash table of a task
 MAX_CUT = 1 << 16              # bounds the copies made of one row
 MAX_PARTITIONS = 200_000

@@ -33,7 +33,7 @@ from matrel.sources.matrix_market import file_system
 
 KEY_BITS = 31                      # of each index in a Z-order key
 GROUP_BYTES = 16 << 20             # of a row group
-CELLS_PER_FILE = 1 << 25
+CELLS_PER_FILE = 1 << 22           # sorted by one task
 CELLS_PER_BUCKET = 1 << 23
 _SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
 
