@@ -43,7 +43,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in corpus.queries()} == {f"op{i}" for i in range(1, 11)} and set(corpus.queries()) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in corpus.queries()} == {f"op{i}" for i in range(1, 14)} and set(corpus.queries()) | {"pipeline"} <= names
 
 
 @pytest.mark.parametrize("name", sorted(corpus.oracle_sql()))
