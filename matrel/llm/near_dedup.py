@@ -34,6 +34,7 @@ WORDS = 5
 SIMILAR = 75            # percent
 ROWS, BANDS = 5, 40
 BLOCK = 2048            # shingles whose coordinates are computed together
+WORD_HASHES = 1 << 16   # word hashes kept, in each of two generations: what a task holds besides its rows
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -60,7 +61,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.memo = Memo(xxhash.xxh3_64_intdigest)
+        self.memo = Memo(xxhash.xxh3_64_intdigest, WORD_HASHES)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").lower().split()          # bytes: A-Z and ASCII white space only

@@ -27,3 +27,13 @@ def test_only_proven_copies_keep_repeated_lines(spark):
     verdicts = line_dedup.repeated_lines(docs, copy_share=None)
     assert verdicts.count() == len(rows)
     assert {r["doc_id"] for r in verdicts.filter("whole").collect()} == {5, 6, 7, None}
+
+
+def test_word_hashes_of_a_task_stay_few():
+    from matrel.llm.near_dedup import WORD_HASHES, Shingler
+
+    shingler = Shingler()
+    for begin in range(0, 400_000, 1000):
+        shingler(" ".join(f"word{i}" for i in range(begin, begin + 1000)).encode())
+    assert len(shingler.memo) + len(shingler.memo.old) <= 2 * (WORD_HASHES + 1000) < 140_000
+    assert (shingler(b"a b c d e f") == Shingler()(b"a b c d e f")).all()
