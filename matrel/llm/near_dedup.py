@@ -178,21 +178,28 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b"), F.col("component").alias("ca"), F.col("component_2").alias("cb"))
 
 
+def _able(rows: DataFrame, similar: int) -> tuple[DataFrame, Column]:
+    """Rows of another member of the bucket beside those of each, and whether the two can be linked: for one bucket that both share."""
+    others = rows.select(*[F.col(c).alias(f"{c}_2") for c in rows.columns])
+    once = F.array_min(F.array_intersect("all", "all_2")) == F.col("bucket")
+    return others, (F.col("bucket") == F.col("bucket_2")) & (F.col("component") != F.col("component_2")) & _possible(similar) & once
+
+
 def _late_links(hits: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """All links between members of one bucket in different components, found inside the join.
 
     The pairs are not written out: sizes, the first bucket that both members share, and the full
-    sets are conditions of the join, so a row comes out for a link only.
+    sets are conditions of the join, so a row comes out for a link only. Sets are joined only to
+    members that some other member of the bucket can be linked with by all but the sets.
     """
     own = hits.groupBy("node").agg(F.collect_set("bucket").alias("all"))
-    rows = stage(hits.select("bucket", *_MEMBER).join(own, "node").join(sets, "node"))
-    names = [*_MEMBER, "all", "shingles"]
-    others = rows.select(*[F.col(c).alias(f"{c}_2") for c in ("bucket", *names)])
-    once = F.element_at(F.array_intersect("all", "all_2"), 1) == F.col("bucket")
+    light = hits.select("bucket", *_MEMBER).join(own, "node")
+    others, able = _able(light, similar)
+    rows = stage(stage(light.join(others, able, "left_semi")).join(sets, "node"))
+    others, able = _able(rows, similar)
     common = F.size(F.array_intersect("shingles", "shingles_2"))
     linked = common * 100 >= (F.col("size") + F.col("size_2") - common) * similar
-    apart = F.col("component") < F.col("component_2")
-    return _ends(rows.join(others, (F.col("bucket") == F.col("bucket_2")) & apart & _possible(similar) & once & linked))
+    return _ends(rows.join(others, able & (F.col("component") < F.col("component_2")) & linked))
 
 
 def _merged(labels: DataFrame, hits: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

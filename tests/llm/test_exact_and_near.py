@@ -105,3 +105,24 @@ def test_signatures_estimate_the_similarity():
     one = near_dedup.signature(a, rows=1, bands=400)
     two = near_dedup.signature(b, rows=1, bands=400)
     assert abs((one == two).mean() - 0.6) < 0.08
+
+
+def test_late_links_join_sets_to_members_that_can_be_linked_only(spark, monkeypatch):
+    staged, plain = [], near_dedup.stage
+
+    def counted(df):
+        df = plain(df)
+        if "shingles" in df.columns:
+            staged.append(df.count())
+        return df
+
+    monkeypatch.setattr(near_dedup, "stage", counted)
+    sets = {0: range(0, 100), 1: range(0, 80), 2: range(500, 540), 3: range(500, 900), 4: range(2000, 2003), 5: range(10, 95)}
+    # 0, 1 and 5 are of nearly one size; 2, 3 and 4 are too far from the others and from each other
+    hits = [(b, i, i, len(s), len(s)) for b, nodes in ((7, [0, 1, 2, 3, 4]), (3, [0, 1, 2, 5]), (9, [3, 4, 5])) for i in nodes for s in (sets[i],)]
+    hits = spark.createDataFrame(hits, "bucket long, node long, component long, size int, shared int")
+    rows = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "node long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in near_dedup._late_links(hits, rows, 75).collect()}
+    alike = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))
+    assert got == {(0, 1), (0, 5)} | ({(1, 5)} if alike(1, 5) else set())
+    assert staged == [3]             # bucket 3 holds all pairs that sizes allow; twelve rows had sets before
