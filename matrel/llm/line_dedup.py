@@ -23,18 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrel.llm.common import attach, text_key, without_lines
 from matrel.llm.components import components
-from matrel.llm.near_dedup import confirmed, sets_of
+from matrel.llm.near_dedup import Shingler, confirmed, list_array, mix64
 from matrel.session import stage
 
 DISTANCE = 2
 MIN_CHARS = 20
 COPY_SHARE = 0.5
 BROADCAST_KEYS = 1_000_000      # 8-byte keys sent to all tasks; more are joined by a shuffle
+TEXT_BLOCK = 1 << 18            # characters whose segments are hashed together
+_BASE = 0x9E3779B97F4A7C15      # odd, so that it has an inverse
 _WORD = (1 << 64) - 1
 
 
@@ -155,48 +158,118 @@ def _normal_lines(texts: list[bytes | None], min_chars: int, seen: set) -> Itera
         seen.clear()
 
 
-def _segment_bytes(segment: str) -> bytes:
-    """The bytes that stand for a segment, whatever line it is from."""
-    try:
-        return segment.encode("latin-1")
-    except UnicodeEncodeError:
-        return segment.encode("utf-32-le")
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of the segment hashes, from 0 on, and their inverses modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(count, base, np.uint64)
+        steps[:1] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
 
+class Segmenter:
+    """Keys of the index entries and lookups of lines: polynomial hashes of substrings, from sums over the whole text.
 
-def _segment_rows(docs: DataFrame, limit: int, min_chars: int) -> DataFrame:
-    """``key, id, probe``: index entries and lookups of the lines."""
+    Equal substrings of any two lines have equal hashes, whatever their places; a chance collision
+    only makes a pair that the verification drops.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.plans: dict[int, np.ndarray] = {}
+        self.codes = mix64(np.arange(1, 1 + (1 << 16), dtype=np.uint64))
+        self.powers = _powers(TEXT_BLOCK + 1)
+
+    def _plan(self, n: int) -> np.ndarray:
+        """Starts, ends and hashed seeds of the lookups of a line of ``n`` characters, and which of them are its index entries."""
+        plan = self.plans.get(n)
+        if plan is None:
+            lookups = probes(n, self.limit)
+            entries = {(n, i, start, size) for i, (start, size) in enumerate(segments(n, self.limit))}
+            seeds = mix64(np.array([length * (self.limit + 1) + i for length, i, _, _ in lookups], np.uint64))
+            plan = np.array([[at for _, _, at, _ in lookups], [at + size for _, _, at, size in lookups], seeds.view(np.int64),
+                             [p in entries for p in lookups]])
+            if len(self.plans) < 20_000:
+                self.plans[n] = plan
+        return plan
+
+    def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all lines, whether each is that of an index entry as well, and the number of keys of each line."""
+        codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+        powers, inverses = self.powers if len(codes) <= TEXT_BLOCK else _powers(len(codes) + 1)
+        values = self.codes[np.minimum(codes, 0xFFFF)]
+        far = codes >= 0xFFFF
+        if far.any():
+            values[far] = mix64(codes[far].astype(np.uint64) + np.uint64(1))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(values * powers[:len(codes)], out=sums[1:])
+        lengths = [len(line) for line in lines]
+        plans = [self._plan(n) for n in lengths]
+        counts = np.array([plan.shape[1] for plan in plans])
+        first = np.repeat(np.cumsum(lengths) - lengths, counts)
+        begin, end, seeds, entries = np.concatenate(plans, axis=1)
+        begin, end = begin + first, end + first
+        return mix64((sums[end] - sums[begin]) * inverses[begin] + seeds.view(np.uint64)), entries.astype(bool), counts
+
+
+class Listed:
+    """Tells which keys are among ``keys`` (sorted); few others come as far as the search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.marks = np.zeros(1 << 22, bool)
+        self.marks[keys >> np.uint64(42)] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the listed ones."""
+        at = np.flatnonzero(self.marks[keys >> np.uint64(42)])
+        if len(at):
+            found = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+            at = at[self.keys[found] == keys[at]]
+        return at
+
+
+def _segment_rows(docs: DataFrame, limit: int, min_chars: int, live: Broadcast | None = None) -> DataFrame:
+    """``key, id, entry``: lookups of the lines. Those of a line's own segments at their own places are its index entries as well.
+
+    With ``live`` (sorted keys) only rows of these keys come, and ``line``: the text, in one row of each line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        plans: dict[int, tuple] = {}
-        digest = xxhash.xxh3_64_intdigest
+        segmenter = Segmenter(limit)
+        listed = None if live is None else Listed(live.value)
+
+        def rows(ids: list[int], lines: list[str]) -> pa.RecordBatch:
+            keys, entries, counts = segmenter(lines)
+            owners = np.repeat(np.arange(len(lines)), counts)
+            names, texts = ["key", "id", "entry"], []
+            if listed is not None:
+                at = listed(keys)
+                keys, entries, owners = keys[at], entries[at], owners[at]
+                first = np.diff(owners, prepend=-1) != 0
+                names.append("line")
+                texts.append(pa.array([lines[i] if new else None for i, new in zip(owners.tolist(), first.tolist())], pa.string()))
+            ids = np.array(ids, np.uint64)[owners]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(entries), *texts], names=names)
+
         for whole in batches:
+            ids, lines, size = [], [], 0
             for begin in range(0, whole.num_rows, 128):
                 batch = whole.slice(begin, 128)
-                keys, ids, counts, flags = [], [], [], []
                 for id_, line in _normal_lines(batch.column(0).cast(pa.binary()).to_pylist(), min_chars, seen):
-                    n = len(line)
-                    plan = plans.get(n)
-                    if plan is None:
-                        entries = [(n, i, start, size, False) for i, (start, size) in enumerate(segments(n, limit))]
-                        entries += [(*p, True) for p in probes(n, limit)]
-                        plan = ([(at, at + size, length * (limit + 1) + i) for length, i, at, size, _ in entries],
-                                np.array([e[4] for e in entries]))
-                        if len(plans) < 20_000:
-                            plans[n] = plan
-                    try:                                # one byte per character, so places are byte offsets
-                        narrow = line.encode("latin-1")
-                        keys += [digest(narrow[a:b], seed) for a, b, seed in plan[0]]
-                    except UnicodeEncodeError:
-                        keys += [digest(_segment_bytes(line[a:b]), seed) for a, b, seed in plan[0]]
-                    flags.append(plan[1])
-                    counts.append(len(plan[1]))
+                    if lines and size + len(line) > TEXT_BLOCK:
+                        yield rows(ids, lines)
+                        ids, lines, size = [], [], 0
                     ids.append(id_)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64), counts).view(np.int64)),
-                     pa.array(np.concatenate(flags) if flags else np.empty(0, bool))], names=["key", "id", "probe"])
+                    lines.append(line)
+                    size += len(line)
+            if lines:
+                yield rows(ids, lines)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, id long, probe boolean")
+    kind = "key long, id long, entry boolean" + (", line string" if live is not None else "")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
 
 
 def parities(line: str) -> tuple[int, int]:
@@ -254,19 +327,33 @@ def _kept_by(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return rows.join(keys, name, "left_semi")
 
 
+def _met_lines(docs: DataFrame, live: DataFrame, limit: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows of the segments under the live keys, and ``id, line`` of their lines.
+
+    Keys that are counted to be few go to the tasks that cut the lines, so that no other row leaves these; else they are joined by a shuffle.
+    """
+    if live.count() <= BROADCAST_KEYS:
+        keys = np.sort(live.toArrow().column("key").to_numpy().view(np.uint64))
+        found = stage(_segment_rows(docs, limit, min_chars, docs.sparkSession.sparkContext.broadcast(keys)))
+        rows = stage(found.select("key", "id", "entry").distinct())
+        lines = found.filter("line IS NOT NULL").select("id", "line")
+    else:
+        rows = stage(_segment_rows(docs, limit, min_chars).join(live, "key", "left_semi").distinct())
+        lines = _kept_by(_line_texts(docs, min_chars), stage(rows.select("id").distinct()), "id")
+    return rows, lines.groupBy("id").agg(F.min("line").alias("line"))
+
+
 def line_links(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs ``a, b`` (line ids) of different normalised lines within the edit distance, each once."""
     # keys under which an index entry and a lookup of different lines meet; summed up in each task first
     met = _segment_rows(docs, limit, min_chars).groupBy("key").agg(
-        F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("probe").alias("any_entry"), F.max("probe").alias("any_probe"))
-    live = stage(met.filter("lo < hi AND any_probe AND NOT any_entry").select("key"))
-    rows = stage(_kept_by(_segment_rows(docs, limit, min_chars), live, "key").distinct())
-    wanted = stage(rows.select("id").distinct())
-    lines = _kept_by(_line_texts(docs, min_chars), wanted, "id").groupBy("id").agg(F.min("line").alias("line"))
+        F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("entry").alias("any_entry"))
+    live = stage(met.filter("lo < hi AND any_entry").select("key"))
+    rows, lines = _met_lines(docs, live, limit, min_chars)
     lines = stage(_with_parities(lines))
     rows = rows.join(lines.drop("line"), "id")
-    entries = rows.filter("NOT probe").select("key", F.col("id").alias("x"), F.col("chars").alias("cx"), F.col("pairs").alias("px"))
-    lookups = rows.filter("probe").select("key", F.col("id").alias("y"), F.col("chars").alias("cy"), F.col("pairs").alias("py"))
+    entries = rows.filter("entry").select("key", F.col("id").alias("x"), F.col("chars").alias("cx"), F.col("pairs").alias("px"))
+    lookups = rows.select("key", F.col("id").alias("y"), F.col("chars").alias("cy"), F.col("pairs").alias("py"))
     # parities rule out most pairs of long lines that share a segment and no more, inside the join
     near = (F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) <= 2 * limit) & (F.bit_count(F.col("px").bitwiseXOR(F.col("py"))) <= 4 * limit)
     lookups = lookups.withColumnRenamed("key", "key_2")
@@ -311,16 +398,17 @@ def _left_sets(texts: DataFrame) -> DataFrame:
     """``node, shingles`` of ``node, text, places``: the shingles of a text without the lines at these places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
         for whole in batches:
             for begin in range(0, whole.num_rows, 128):
                 batch = whole.slice(begin, 128)
                 left = []
                 for text, gone in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                     gone = set(gone or ())
-                    left.append(b"\n".join(x for i, x in enumerate((text or b"").split(b"\n")) if i not in gone))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary())], names=["doc_id", "text"])
+                    left.append(shingler(b"\n".join(x for i, x in enumerate((text or b"").split(b"\n")) if i not in gone)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), list_array(left)], names=["node", "shingles"])
 
-    return sets_of(texts.select("node", "text", "places").mapInArrow(run, "doc_id long, text binary"))
+    return texts.select("node", "text", "places").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _proven(docs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:

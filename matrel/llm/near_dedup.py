@@ -97,7 +97,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column(1).cast(pa.binary()).to_pylist()
 
 
-def _list_array(parts: list[np.ndarray]) -> pa.ListArray:
+def list_array(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
@@ -116,7 +116,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     buckets.append(signature(s) if len(s) else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _list_array(buckets)],
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), list_array(buckets)],
                     names=["doc_id", "n_shingles", "digest", "buckets"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, buckets array<long>")
@@ -129,16 +129,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
                 sets = [shingler(text) for text in _texts(batch)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), _list_array(sets)], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), list_array(sets)], names=["node", "shingles"])
 
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
-def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node, shingles``: the full sets of ``doc_id, text``."""
-    return _sets(docs.select("doc_id", F.col("text").cast("string").alias("text")), words)
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= similar * union of their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))

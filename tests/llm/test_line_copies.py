@@ -37,3 +37,47 @@ def test_word_hashes_of_a_task_stay_few():
         shingler(" ".join(f"word{i}" for i in range(begin, begin + 1000)).encode())
     assert len(shingler.memo) + len(shingler.memo.old) <= 2 * (WORD_HASHES + 1000) < 140_000
     assert (shingler(b"a b c d e f") == Shingler()(b"a b c d e f")).all()
+
+
+def test_a_line_makes_one_row_for_each_lookup(spark):
+    lines = ["the quick brown fox jumps over", "a line of other words and Ω \U0001F600", "ab" * 40]
+    docs = spark.createDataFrame([("\n".join(lines),), (lines[0],)], "text string").coalesce(1)
+    rows = line_dedup._segment_rows(docs, 2, 20).collect()
+    assert len(rows) == sum(len(line_dedup.probes(len(x), 2)) for x in lines)          # index entries are lookups as well
+    assert sum(r["entry"] for r in rows) == 3 * len(lines)
+
+
+def test_keys_are_those_of_the_substrings():
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ab ￿\xe9\U0001F600") for _ in range(rng.randint(3, 60))) for _ in range(300)]
+    segmenter = line_dedup.Segmenter(2)
+    keys, entries, counts = segmenter(lines)
+    plain = [(n, i, x[at:at + size]) for x in lines for n, i, at, size in line_dedup.probes(len(x), 2)]
+    own = [at == line_dedup.segments(len(x), 2)[i][0] and n == len(x) for x in lines for n, i, at, _ in line_dedup.probes(len(x), 2)]
+    assert sum(counts) == len(keys) == len(plain) and list(entries) == own
+    assert len(set(zip(plain, keys.tolist()))) == len(set(plain)) == len(set(keys.tolist()))
+    long = ["x" * 40, "ab￿" * (line_dedup.TEXT_BLOCK // 2)]
+    assert (segmenter(long)[0][len(line_dedup.probes(40, 2)):] == segmenter(long[1:])[0]).all()
+
+
+def test_links_of_lines_in_and_beyond_latin_1(spark):
+    base = ["функция number one of many lines", "caf\xe9 au lait and a croissant please", "plain letters that make up a line"]
+    texts = base + [base[0][1:], base[1].replace("caf\xe9", "cafē"), base[2] + "\U0001F600!"]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    ids = {line_dedup.xxhash.xxh3_64_intdigest(x.encode()): i for i, x in enumerate(texts)}
+    got = {frozenset((ids[r["a"] % 2**64], ids[r["b"] % 2**64])) for r in line_dedup.line_links(docs).collect()}
+    assert got == {frozenset((i, i + 3)) for i in range(3)}
+
+
+def test_live_keys_in_tasks_and_by_a_shuffle_give_the_same_links(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(8)) for _ in range(60)]
+    docs = spark.createDataFrame([("\n".join(lines[:40]),), ("\n".join(x[:-1] + "y" for x in lines[20:]),), (None,)], "text string").repartition(3)
+    pairs = lambda: sorted(map(tuple, line_dedup.line_links(docs).collect()))
+    scans, plain = [], line_dedup._line_texts
+    monkeypatch.setattr(line_dedup, "_line_texts", lambda *x: scans.append(1) or plain(*x))
+    few = pairs()
+    assert len(few) >= 20 and not scans              # the texts came with the keys, without a scan of their own
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    assert pairs() == few and scans
+    assert line_dedup.line_links(docs.filter("text IS NULL")).count() == 0
