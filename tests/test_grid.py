@@ -127,3 +127,45 @@ def test_stacked_matrices_are_not_staged_again(tables):
 def test_one_exchange_builds_a_matrix(tables):
     plan = tables._part()[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_blocks_of_a_class_hold_every_entry_once(monkeypatch, whole):
+    import pyarrow as pa
+
+    monkeypatch.setattr(grid, "BLOCK", 10)
+    rnd = np.random.default_rng(5)
+    keys = np.sort(rnd.choice([-3, 0, 1, 2, 5, 1 << 40, grid._NULL], 90, p=[.1, .1, .4, .1, .1, .1, .1]))
+    xs, vs = rnd.integers(0, 50, 90) + (keys == 5) * (1 << 35), rnd.choice([0.1, 2.0, np.nan, -0.0], 90)
+    batches = []
+    for begin in range(0, 90, 30):
+        some = slice(begin, begin + 30)
+        starts = np.flatnonzero(np.diff(keys[some], prepend=1 << 60))
+        ends = pa.array(np.append(starts, 30).astype(np.int32))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), 4, np.int32)), pa.array(keys[some][starts]), pa.ListArray.from_arrays(ends, pa.array(xs[some])),
+                                                   pa.ListArray.from_arrays(ends, pa.array(vs[some]))], names=["own", "s", "x", "v"]))
+    out = [x.to_pylist()[0] for x in grid._blocks(1, whole)(iter(batches))]
+    assert [x["block"] for x in out] == list(range(len(out))) and [x["last"] for x in out] == [False] * (len(out) - 1) + [True]
+    parts = [grid._from_bytes(x["data"], 1) for x in out]
+    for i, want in enumerate((keys, xs, vs)):
+        assert np.concatenate([p[i] for p in parts]).tobytes() == want.tobytes()
+    held = [set(p[0].tolist()) for p in parts]
+    assert len(out) > 3 and (sum(map(len, held)) == len(set(keys.tolist()))) == whole
+
+
+def test_entries_are_staged_once_however_many_tasks(matrix_of, monkeypatch):
+    cells = some_cells(8, 120, 900)
+    m = matrix_of(cells, 120)
+    staged, plain = [], grid.stage
+
+    def counted(df):
+        df = plain(df)
+        staged.append(sum(len(grid._from_bytes(x["data"], 1)[0]) for x in df.collect()))
+        return df
+
+    monkeypatch.setattr(grid, "stage", counted)
+    for limits in (MANY, Limits(broadcast_values=0, pairs_per_task=4)):
+        shape = join_shape(m.entries, "c", m.entries, "r", limits)
+        assert grid.grid_of(shape, limits).copies(shape) >= 4 * len(cells)
+        assert cells_of(mul.gridded(m.entries, m.entries, False, limits, shape)) == brute_product(cells, cells)
+    assert staged == [len(cells)] * 4
