@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrel.session import stage
+from matrel.session import discard, stage
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     The component is the smallest node reachable. Both steps point each node at the least
     neighbour it knows of; the edges end as one star per component. Each round is staged, so
-    the lineage stays short, and only a checksum comes to the driver.
+    the lineage stays short, and the round before is deleted; only a checksum comes to the driver.
     """
     edges = stage(edges.select("a", "b").filter("a <> b").distinct())
     before = None
@@ -42,4 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
-        edges = stage(_small_star(_large_star(edges)))
+        last, edges = edges, stage(_small_star(_large_star(edges)))
+        discard(last)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from matrel.llm.common import Memo, attach, text_or_empty
 from matrel.llm.components import components
-from matrel.session import stage
+from matrel.session import scratch, stage
 
 WORDS = 5
 SIMILAR = 75            # percent
@@ -208,18 +208,10 @@ def _merged(labels: DataFrame, hits: DataFrame, found: DataFrame) -> tuple[DataF
     return labels, hits
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
-
-    Words are runs of characters other than ASCII white space, with A-Z lowered. A document of
-    fewer words than a shingle is one shingle; one without words (or with a null text) has none
-    and is linked with nothing. ``component_id`` is the smallest doc_id reachable over links.
-    Rows that share a doc_id are one vertex. A row with a null doc_id is not linked: its
-    component is null and it is kept. Other columns are ignored; an empty table gives an empty
-    result.
-    """
+def _labelled(docs: DataFrame, words: int, similar: int, keep) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles, digest, buckets`` of each row, and ``digest, copies, component_id`` of each set; both are kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(_signatures(texts, words))
+    signed = keep(stage(_signatures(texts, words)))
     known = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     vertices = stage(known.groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.any_value("buckets").alias("buckets")))
@@ -244,7 +236,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR)
     labels, _ = _merged(labels, hits, late)
     labels = vertices.select("digest", "node", "copies").join(labels, "node", "left").select(
         "digest", "copies", F.coalesce("component", "node").alias("component_id"))
-    labels = stage(labels)
+    return signed, keep(stage(labels))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    Words are runs of characters other than ASCII white space, with A-Z lowered. A document of
+    fewer words than a shingle is one shingle; one without words (or with a null text) has none
+    and is linked with nothing. ``component_id`` is the smallest doc_id reachable over links.
+    Rows that share a doc_id are one vertex. A row with a null doc_id is not linked: its
+    component is null and it is kept. Other columns are ignored; an empty table gives an empty
+    result.
+    """
+    with scratch(docs.sparkSession) as keep:
+        signed, labels = _labelled(docs, words, similar, keep)
     total = signed.count()
     out = attach(signed.drop("buckets").withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))), labels, "digest", "copies", total)
     component = F.coalesce("component_id", "doc_id")
@@ -263,7 +269,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = [F.col("doc_id").alias("__llm_id"), F.xxhash64(text).alias("__llm_k1"), F.xxhash64(F.lit(1), text).alias("__llm_k2")]
     keys = stage(docs.select(*key))
     if keys.filter("__llm_id IS NULL").isEmpty() and keys.groupBy("__llm_id").count().filter("count > 1").isEmpty():
-        gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__llm_gone")).distinct()
+        with scratch(docs.sparkSession) as keep:
+            gone = keep(stage(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__llm_gone")).distinct()))
         return docs.join(gone, F.col("doc_id") == F.col("__llm_gone"), "left_anti")
     # ids that grow with the partition and the row keep the order of the sort
     ordered = keys.distinct().orderBy(F.col("__llm_id").asc_nulls_last(), "__llm_k1", "__llm_k2")

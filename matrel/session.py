@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"     # Spark 4.1; others ignore it
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
 
 def local_session(cores: str = "8", memory: str = "16g", app: str = "matrel") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -45,20 +51,58 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/matrel-{spark.sparkContext.applicationId}/{kind}/{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, lets several consumers share one computation, and gives
-    the optimizer the true size of the table.
+    the optimizer the true size of the table. The shuffle files of the
+    computation go with it, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = new_path(spark, "stage")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_SHUFFLES_GO, "false")
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLES_GO, before)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stage`` wrote for ``df``; frames that read it are then void."""
+    _delete(df.sparkSession, [df.staged_at])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those given to the function that is yielded."""
+    paths, kept = [], []
+    outer = _scope.set(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.staged_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(outer)
+        if (above := _scope.get()) is not None:
+            above += kept
+        _delete(spark, [x for x in paths if x not in kept])
 
 
 def release(spark: SparkSession) -> None:
     """Delete everything this application has staged; frames that read it are then void."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/matrel-{context.applicationId}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, [f"{shared_folder(spark)}/matrel-{spark.sparkContext.applicationId}"])

@@ -126,3 +126,15 @@ def test_late_links_join_sets_to_members_that_can_be_linked_only(spark, monkeypa
     alike = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))
     assert got == {(0, 1), (0, 5)} | ({(1, 5)} if alike(1, 5) else set())
     assert staged == [3]             # bucket 3 holds all pairs that sizes allow; twelve rows had sets before
+
+
+def test_only_the_tables_that_the_result_reads_stay_staged(spark, monkeypatch, tmp_path):
+    import os
+
+    from matrel import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + j}" for j in range(40)) + f" end{i}") for i in range(30)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(any(x.endswith(".parquet") for x in files) for _, _, files in os.walk(tmp_path)) == 2
+    assert {r["component_id"] for r in out.collect()} == set(range(0, 30, 3))

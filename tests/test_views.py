@@ -149,3 +149,17 @@ def test_released_files_are_gone(spark, monkeypatch, tmp_path):
     assert os.listdir(tmp_path)
     session.release(spark)
     assert not os.listdir(tmp_path)
+
+
+def test_scratch_keeps_what_it_is_told_to(spark, monkeypatch, tmp_path):
+    import os
+
+    from matrel import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
+    with session.scratch(spark) as keep:
+        with session.scratch(spark) as inner:
+            one, two = session.stage(spark.range(3)), inner(session.stage(spark.range(4).repartition(3)))
+        three = keep(session.stage(two))
+    left = {x for d, _, files in os.walk(tmp_path) for x in [d] if files}
+    assert left == {three.staged_at.removeprefix("file://")} and three.count() == 4 and one.staged_at not in left
