@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from matrel.llm.common import attach, text_key, without_lines
 from matrel.llm.components import components
 from matrel.llm.near_dedup import Shingler, confirmed, list_array, mix64
-from matrel.session import stage
+from matrel.session import scratch, stage
 
 DISTANCE = 2
 MIN_CHARS = 20
 COPY_SHARE = 0.5
 BROADCAST_KEYS = 1_000_000      # 8-byte keys sent to all tasks; more are joined by a shuffle
 TEXT_BLOCK = 1 << 18            # characters whose segments are hashed together
+LIST_KEYS = 1 << 19             # keys that a task holds before it writes them out as lists
 _BASE = 0x9E3779B97F4A7C15      # odd, so that it has an inverse
 _WORD = (1 << 64) - 1
 
@@ -230,48 +231,93 @@ class Listed:
         return at
 
 
-def _segment_rows(docs: DataFrame, limit: int, min_chars: int, live: Broadcast | None = None) -> DataFrame:
+def _segment_rows(docs: DataFrame, limit: int, min_chars: int, buckets: int = 0) -> DataFrame:
     """``key, id, entry``: lookups of the lines. Those of a line's own segments at their own places are its index entries as well.
 
-    With ``live`` (sorted keys) only rows of these keys come, and ``line``: the text, in one row of each line.
+    With ``buckets`` they come as lists of one bucket of the keys each, ``bucket, keys, ids``: 8 bytes a key, its lowest bit
+    telling the entries, and 8 bytes an id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         segmenter = Segmenter(limit)
-        listed = None if live is None else Listed(live.value)
-
-        def rows(ids: list[int], lines: list[str]) -> pa.RecordBatch:
+        held, size = [], 0
+
+        def lists() -> pa.RecordBatch:
+            keys, ids = (np.concatenate([x[i] for x in held]) for i in range(2))
+            bucket = _bucket(keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            offsets = pa.py_buffer((np.append(starts, len(keys)) * 8).astype(np.int32))
+            binary = lambda x: pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(x[order])])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), binary(keys), binary(ids)], names=["bucket", "keys", "ids"])
+
+        for ids, lines in _line_blocks(batches, min_chars, seen):
             keys, entries, counts = segmenter(lines)
-            owners = np.repeat(np.arange(len(lines)), counts)
-            names, texts = ["key", "id", "entry"], []
-            if listed is not None:
-                at = listed(keys)
-                keys, entries, owners = keys[at], entries[at], owners[at]
-                first = np.diff(owners, prepend=-1) != 0
-                names.append("line")
-                texts.append(pa.array([lines[i] if new else None for i, new in zip(owners.tolist(), first.tolist())], pa.string()))
-            ids = np.array(ids, np.uint64)[owners]
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(entries), *texts], names=names)
-
-        for whole in batches:
-            ids, lines, size = [], [], 0
-            for begin in range(0, whole.num_rows, 128):
-                batch = whole.slice(begin, 128)
-                for id_, line in _normal_lines(batch.column(0).cast(pa.binary()).to_pylist(), min_chars, seen):
-                    if lines and size + len(line) > TEXT_BLOCK:
-                        yield rows(ids, lines)
-                        ids, lines, size = [], [], 0
-                    ids.append(id_)
-                    lines.append(line)
-                    size += len(line)
-            if lines:
-                yield rows(ids, lines)
-
-    kind = "key long, id long, entry boolean" + (", line string" if live is not None else "")
+            ids = np.repeat(np.array(ids, np.uint64), counts)
+            if not buckets:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(entries)], names=["key", "id", "entry"])
+                continue
+            held.append(((keys | np.uint64(1)) ^ (~entries).astype(np.uint64), ids))
+            size += len(keys)
+            if size >= LIST_KEYS:
+                yield lists()
+                held, size = [], 0
+        if held:
+            yield lists()
+
+    kind = "bucket int, keys binary, ids binary" if buckets else "key long, id long, entry boolean"
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(1)) % np.uint64(buckets)).astype(np.int16 if buckets < 1 << 15 else np.int64)
+
+
+def _line_blocks(batches: Iterator[pa.RecordBatch], min_chars: int, seen: set) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of the eligible lines of a task, in blocks of bounded text."""
+    for whole in batches:
+        ids, lines, size = [], [], 0
+        for begin in range(0, whole.num_rows, 128):
+            batch = whole.slice(begin, 128)
+            for id_, line in _normal_lines(batch.column(0).cast(pa.binary()).to_pylist(), min_chars, seen):
+                if lines and size + len(line) > TEXT_BLOCK:
+                    yield ids, lines
+                    ids, lines, size = [], [], 0
+                ids.append(id_)
+                lines.append(line)
+                size += len(line)
+        if lines:
+            yield ids, lines
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """``key, id, entry`` of the keys in one bucket under which an index entry and a lookup of different lines meet, each line once a key."""
+    flat = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint64)
+    words, ids = flat("keys"), flat("ids")
+    keys = words >> np.uint64(1)
+    ordered = np.sort(keys)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(again):
+        at = np.minimum(np.searchsorted(again, keys), len(again) - 1)
+        some = again[at] == keys
+        words, ids = words[some], ids[some]
+        order = np.lexsort((~words, ids, words >> np.uint64(1)))          # an entry before the other rows of its line
+        words, ids = words[order], ids[order]
+        keys = words >> np.uint64(1)
+        first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
+        words, ids, keys = words[first], ids[first], keys[first]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        entry = (words & np.uint64(1)).astype(bool)
+        sizes = np.diff(np.append(starts, len(keys)))
+        live = np.repeat((sizes > 1) & np.logical_or.reduceat(entry, starts), sizes)
+        keys, ids, entry = keys[live], ids[live], entry[live]
+    else:
+        keys, ids, entry = keys[:0], ids[:0], np.empty(0, bool)
+    return pa.table({"key": keys.view(np.int64), "id": ids.view(np.int64), "entry": entry})
+
+
 def parities(line: str) -> tuple[int, int]:
     """Two signed 64-bit words: parities of the counts of characters and of character pairs, each in 64 classes.
 
@@ -287,19 +333,25 @@ def parities(line: str) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def _line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
+def _named_texts(docs: DataFrame, min_chars: int, named: Broadcast | None) -> DataFrame:
+    """``id, line`` of the eligible lines, of all or of those whose ids (sorted) are named; each once or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 128):
-                batch = whole.slice(begin, 128)
-                rows = list(_normal_lines(batch.column(0).cast(pa.binary()).to_pylist(), min_chars, seen))
-                ids = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r[1] for r in rows], pa.string())], names=["id", "line"])
+        listed = None if named is None else Listed(named.value)
+        for ids, lines in _line_blocks(batches, min_chars, set()):
+            ids = np.array(ids, np.uint64)
+            if listed is not None:
+                at = listed(ids)
+                ids, lines = ids[at], [lines[i] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(lines, pa.string())], names=["id", "line"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, line string")
 
 
+def _line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
+    return _named_texts(docs, min_chars, None)
+
+
 def _with_parities(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,36 +372,26 @@ def _verified(pairs: DataFrame, limit: int) -> DataFrame:
     return pairs.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
-def _kept_by(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """Rows whose key is listed: by broadcast if the list is counted to be small, else by a shuffle."""
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, name, "left_semi")
-
+def _met_lines(docs: DataFrame, limit: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """``key, id, entry`` of the live keys, each line once a key, and ``id, line`` of their lines.
 
-def _met_lines(docs: DataFrame, live: DataFrame, limit: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct rows of the segments under the live keys, and ``id, line`` of their lines.
-
-    Keys that are counted to be few go to the tasks that cut the lines, so that no other row leaves these; else they are joined by a shuffle.
+    Keys meet in buckets, sorted by numpy. Lines that are counted to be few are named to the tasks that cut the lines, so
+    that no other line leaves these; else they are joined.
     """
-    if live.count() <= BROADCAST_KEYS:
-        keys = np.sort(live.toArrow().column("key").to_numpy().view(np.uint64))
-        found = stage(_segment_rows(docs, limit, min_chars, docs.sparkSession.sparkContext.broadcast(keys)))
-        rows = stage(found.select("key", "id", "entry").distinct())
-        lines = found.filter("line IS NOT NULL").select("id", "line")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(_segment_rows(docs, limit, min_chars, buckets).groupBy("bucket").applyInArrow(_met, "key long, id long, entry boolean"))
+    ids = stage(rows.select("id").distinct())
+    if ids.count() <= BROADCAST_KEYS:
+        wanted = np.sort(ids.toArrow().column("id").to_numpy().view(np.uint64))
+        lines = _named_texts(docs, min_chars, docs.sparkSession.sparkContext.broadcast(wanted))
     else:
-        rows = stage(_segment_rows(docs, limit, min_chars).join(live, "key", "left_semi").distinct())
-        lines = _kept_by(_line_texts(docs, min_chars), stage(rows.select("id").distinct()), "id")
+        lines = _line_texts(docs, min_chars).join(ids, "id", "left_semi")
     return rows, lines.groupBy("id").agg(F.min("line").alias("line"))
 
 
 def line_links(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs ``a, b`` (line ids) of different normalised lines within the edit distance, each once."""
-    # keys under which an index entry and a lookup of different lines meet; summed up in each task first
-    met = _segment_rows(docs, limit, min_chars).groupBy("key").agg(
-        F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("entry").alias("any_entry"))
-    live = stage(met.filter("lo < hi AND any_entry").select("key"))
-    rows, lines = _met_lines(docs, live, limit, min_chars)
+    rows, lines = _met_lines(docs, limit, min_chars)
     lines = stage(_with_parities(lines))
     rows = rows.join(lines.drop("line"), "id")
     entries = rows.filter("entry").select("key", F.col("id").alias("x"), F.col("chars").alias("cx"), F.col("pairs").alias("px"))
@@ -438,18 +480,8 @@ def _proven(docs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
     return copied.join(firm, "row").select("row", "keeps")
 
 
-def repeated_lines(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_CHARS, copy_share: float | None = COPY_SHARE) -> DataFrame:
-    """One row per document: ``doc_id, n_lines, n_links, n_repeated, whole, places, text_key``.
-
-    ``n_lines`` counts the eligible lines, ``n_links`` the links of their texts to different
-    texts, ``n_repeated`` the lines that are not the first of their class; ``places`` lists
-    those to remove, and is null if there are none. ``whole`` tells a document that keeps repeated
-    lines: without a ``copy_share`` a proven copy, else a document left whole by its share. Null and
-    empty texts have no lines. Null doc_ids come last in the order; repeated rows are told
-    apart by their place in the table. Other columns are ignored; an empty table gives an
-    empty result.
-    """
-    rows = stage(_line_rows(docs, min_chars).withColumn("row", F.monotonically_increasing_id()))
+def _marked(docs: DataFrame, rows: DataFrame, limit: int, min_chars: int) -> DataFrame:
+    """Rows with lines of a class of two or more: ``row, n_links, n_repeated, gone, places, again``."""
     links = stage(line_links(docs, limit, min_chars))
     degrees = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     near = degrees.join(components(links).withColumnRenamed("node", "id"), "id", "left").select(
@@ -469,12 +501,28 @@ def repeated_lines(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_
     lines = lines.select("row", "place", "words", F.struct("id", "more").alias("line"))
     marked = attach(lines, repeated, "line", "n", rows.count()).filter("first IS NOT NULL")
     again = ~F.struct("row", "place").eqNullSafe(F.struct("first.row", "first.place"))
-    marked = marked.groupBy("row").agg(
+    return marked.groupBy("row").agg(
         F.sum("degree").alias("n_links"), F.count_if(again).alias("n_repeated"), F.sum(F.when(again, F.col("words"))).alias("gone"),
         F.collect_list(F.when(again, F.col("place"))).alias("places"),
         F.collect_list(F.when(again, F.struct("place", "words", F.col("first.row").alias("leader"), F.col("first.place").alias("at")))).alias("again"))
+
+
+def repeated_lines(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_CHARS, copy_share: float | None = COPY_SHARE) -> DataFrame:
+    """One row per document: ``doc_id, n_lines, n_links, n_repeated, whole, places, text_key``.
+
+    ``n_lines`` counts the eligible lines, ``n_links`` the links of their texts to different
+    texts, ``n_repeated`` the lines that are not the first of their class; ``places`` lists
+    those to remove, and is null if there are none. ``whole`` tells a document that keeps repeated
+    lines: without a ``copy_share`` a proven copy, else a document left whole by its share. Null and
+    empty texts have no lines. Null doc_ids come last in the order; repeated rows are told
+    apart by their place in the table. Other columns are ignored; an empty table gives an
+    empty result.
+    """
+    rows = stage(_line_rows(docs, min_chars).withColumn("row", F.monotonically_increasing_id()))
+    with scratch(docs.sparkSession) as keep:
+        marked = keep(stage(_marked(docs, rows, limit, min_chars)))
     if copy_share is None:
-        return _without_copies(docs, rows, stage(marked))
+        return _without_copies(docs, rows, marked)
     rows = rows.select("row", "doc_id", "text_key", "n_words", F.size("lines").cast("long").alias("n_lines")).join(marked, "row", "left")
     none = F.lit(0).cast("long")
     whole = F.coalesce(F.col("gone") > F.col("n_words") * copy_share, F.lit(False))
@@ -485,7 +533,9 @@ def repeated_lines(docs: DataFrame, limit: int = DISTANCE, min_chars: int = MIN_
 
 def _without_copies(docs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
     """The result of ``repeated_lines`` with proven copies."""
-    marked = marked.join(stage(_proven(docs, rows, marked)), "row", "left")
+    with scratch(docs.sparkSession) as keep:
+        proven = keep(stage(_proven(docs, rows, marked)))
+    marked = marked.join(proven, "row", "left")
     places = F.array_sort(F.array_except("places", F.coalesce("keeps", F.array().cast("array<int>"))))
     rows = rows.select("row", "doc_id", "text_key", F.size("lines").cast("long").alias("n_lines")).join(
         marked.select("row", "n_links", "n_repeated", F.col("keeps").isNotNull().alias("whole"), places.alias("places")), "row", "left")
@@ -503,5 +553,7 @@ def _without_copies(docs: DataFrame, rows: DataFrame, marked: DataFrame) -> Data
 
 def dedup_lines(docs: DataFrame, copy_share: float | None = COPY_SHARE) -> DataFrame:
     """All documents without their repeated lines, with all columns of ``docs``."""
-    removed = repeated_lines(docs, copy_share=copy_share).filter("places IS NOT NULL").select("doc_id", "text_key", "places")
-    return without_lines(docs, stage(removed.dropDuplicates(["doc_id", "text_key"])))
+    with scratch(docs.sparkSession) as keep:
+        removed = repeated_lines(docs, copy_share=copy_share).filter("places IS NOT NULL").select("doc_id", "text_key", "places")
+        removed = keep(stage(removed.dropDuplicates(["doc_id", "text_key"])))
+    return without_lines(docs, removed)

@@ -81,3 +81,22 @@ def test_live_keys_in_tasks_and_by_a_shuffle_give_the_same_links(spark, monkeypa
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
     assert pairs() == few and scans
     assert line_dedup.line_links(docs.filter("text IS NULL")).count() == 0
+
+
+def test_keys_that_meet_in_a_bucket():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(40) << 1, rng.randrange(6), rng.random() < 0.3) for _ in range(120)]
+    want = set()
+    for key in {k for k, _, _ in rows}:
+        own = [x for x in rows if x[0] == key]
+        if len({i for _, i, _ in own}) > 1 and any(e for _, _, e in own):
+            want |= {(key >> 1, i, any(e for _, j, e in own if i == j)) for _, i, _ in own}
+    lists = [rows[i:i + 7] for i in range(0, len(rows), 7)]
+    packed = lambda values: np.array(values, np.uint64).tobytes()
+    table = pa.table({"keys": pa.array([packed([k | e for k, _, e in x]) for x in lists], pa.binary()),
+                      "ids": pa.array([packed([i for _, i, _ in x]) for x in lists], pa.binary())})
+    got = [tuple(x.values()) for x in line_dedup._met(table).to_pylist()]
+    assert set(got) == want and len(got) == len(want) > 10 and line_dedup._met(table.slice(0, 0)).num_rows == 0
