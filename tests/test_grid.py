@@ -169,3 +169,70 @@ def test_entries_are_staged_once_however_many_tasks(matrix_of, monkeypatch):
         assert grid.grid_of(shape, limits).copies(shape) >= 4 * len(cells)
         assert cells_of(mul.gridded(m.entries, m.entries, False, limits, shape)) == brute_product(cells, cells)
     assert staged == [len(cells)] * 4
+
+
+def test_memory_of_a_task_at_1_gb(spark):
+    """36 million entries and 30 products of each: what a task holds of B, and what it makes of some of A."""
+    import tracemalloc
+
+    from matrel.operators.joins import JoinShape
+
+    shape = JoinShape(36 * 10**6, 36 * 10**6, 1.08e9, 0, spark.range(1))
+    held = 36 * 10**6 // grid.grid_of(shape, Limits()).columns
+    rnd = np.random.default_rng(9)
+    block = grid.Block(2, True, True)
+    tracemalloc.start()
+    for begin in range(0, held, 1 << 15):
+        many = min(1 << 15, held - begin)
+        block.add_right(rnd.integers(0, 1 << 20, many, np.int32), rnd.integers(0, 280, many, np.int32), np.ones((many, 2), np.float32))
+    cells = sum(b.num_rows for b in [*block.add_left(np.arange(1 << 17) // 30, rnd.integers(0, 1 << 20, 1 << 17), np.ones(1 << 17)), *block.finish()])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cells > 10_000 and most < 150e6
+
+
+def test_large_values_are_staged_in_small_row_groups(spark):
+    import pyarrow.dataset as ds
+
+    from matrel.session import stage
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.sha2((F.col("id") * 10_000 + i).cast("string"), 512)), "")
+    staged = stage(spark.range(200).coalesce(1).select("id", text.cast("binary").alias("data")))
+    groups = [g.total_byte_size for f in ds.dataset(staged.staged_at, format="parquet").get_fragments() for g in f.row_groups]
+    assert sum(groups) > 45 << 20 and max(groups) < 20 << 20
+
+
+def test_batches_of_blocks_stay_small():
+    assert 10_000 * (32 + 24 * grid.BLOCK) <= 64 << 20
+
+
+def test_entries_of_b_in_any_order(monkeypatch):
+    """Keys and columns that fall behind, lie far apart or are null; values that 4 bytes do not hold."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(grid, "PART", 7)
+    rnd = np.random.default_rng(10)
+    for far in (1, 1 << 40):
+        cells = {(int(k) * far, int(c) * far): float(v) for k, c, v in zip(rnd.integers(0, 12, 90), rnd.integers(-1, 30, 90), rnd.choice([0.1, 2.0, -3.0], 90))}
+        cells = {(k, grid._NULL if c < 0 else c): v for (k, c), v in cells.items()}
+        rows = [(k, c, v) for (k, c), v in cells.items()]
+        batches = [pa.RecordBatch.from_arrays([pa.array([c % 3 for _, c, _ in some], pa.int64()), *map(pa.array, zip(*some))], names=["own", "s", "x", "v"])
+                   for some in (rows[:40], rows[40:])]
+        dealt = [x for batch in grid._dealt(1, 3)(iter(batches)) for x in batch.to_pylist()]
+        got = {}
+        for x in dealt:
+            key, column, v = grid._from_bytes(x["data"], 1)
+            assert len(key) <= 7 and set((column % 3).tolist()) == {x["own"]}
+            got.update({(int(k), int(c)): y for k, c, y in zip(key, column, v)})
+        assert got == cells
+        left = [(r, k * far, 1.0) for r in range(5) for k in range(0, 12, 2)]
+        datas = [x["data"] for x in dealt]
+        first = grid._to_bytes(*(np.array(y) for y in zip(*left[:6])))
+        later = grid._to_bytes(*(np.array(y) for y in zip(*left[6:])))
+        met = pa.RecordBatch.from_arrays([pa.array([*datas, None], pa.binary()), pa.array([first, *[None] * (len(datas) - 1), later], pa.binary())], names=["right", "left"])
+        found = {}
+        for batch in grid._summed(1, False, True)(iter([met.slice(0, 3), met.slice(3)])):
+            for r, c, v in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found[(r, grid._NULL if c is None else c)] = v
+        want = brute_product(left, [(k, c, v) for (k, c), v in cells.items()])
+        assert found.keys() == want.keys() and all(abs(found[x] - want[x]) < 1e-9 for x in want)
