@@ -194,10 +194,10 @@ def test_memory_of_a_task_at_1_gb(spark):
 def test_large_values_are_staged_in_small_row_groups(spark):
     import pyarrow.dataset as ds
 
-    from matrel.session import stage
+    from matrel.session import stage_values
 
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.sha2((F.col("id") * 10_000 + i).cast("string"), 512)), "")
-    staged = stage(spark.range(200).coalesce(1).select("id", text.cast("binary").alias("data")))
+    staged = stage_values(spark.range(200).coalesce(1).select("id", text.cast("binary").alias("data")))
     groups = [g.total_byte_size for f in ds.dataset(staged.staged_at, format="parquet").get_fragments() for g in f.row_groups]
     assert sum(groups) > 45 << 20 and max(groups) < 20 << 20
 
@@ -236,3 +236,33 @@ def test_entries_of_b_in_any_order(monkeypatch):
                 found[(r, grid._NULL if c is None else c)] = v
         want = brute_product(left, [(k, c, v) for (k, c), v in cells.items()])
         assert found.keys() == want.keys() and all(abs(found[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_shares_of_a_are_even(spark, tmp_path):
+    """Three shares of four partitions would be one of two and two of one."""
+    spark.range(0, 4000, 1, 16).write.parquet(f"{tmp_path}/many")
+    read = spark.read.parquet(f"{tmp_path}/many")
+    files = read.rdd.getNumPartitions()
+    assert files > 1 and grid._shares(read, files - 1).rdd.getNumPartitions() == files
+    assert grid._shares(spark.range(0, 4000, 1, 16), 3).rdd.getNumPartitions() == 3
+
+
+def test_a_is_sorted_by_all_cores(matrix_of, monkeypatch):
+    m = matrix_of(some_cells(11, 60, 300), 60)
+    seen, plain = [], grid._staged_left
+    monkeypatch.setattr(grid, "_staged_left", lambda entries, classes: seen.append(classes) or plain(entries, classes))
+    monkeypatch.setattr(grid, "SORTED_ENTRIES", 20)
+    cells = [tuple(x) for x in m.entries.collect()]
+    shape = join_shape(m.entries, "c", m.entries, "r", Limits(broadcast_values=0))
+    assert cells_of(mul.gridded(m.entries, m.entries, False, Limits(broadcast_values=0), shape)) == brute_product(cells, cells)
+    assert seen == [-(-len(cells) // 20)]
+
+
+def test_null_windows_have_a_bound_too():
+    import pyarrow as pa
+
+    from matrel.operators.windows import _window_totals
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([None, None, 18]), pa.array([2.0, 3.0, 1.0]), pa.array([40.0, 5.0, 90.0])], names=["r", "c", "v0", "v1"])
+    out = [x for b in _window_totals(300, 16)(iter([batch])) for x in b.to_pylist()]
+    assert {x["w"]: x["output_upper"] for x in out} == {None: 21, 18: 12}
