@@ -21,6 +21,7 @@ BROADCAST_VALUES = 4_000_000   # 8-byte values of a broadcast side: counted firs
 PAIRS_PER_CELL = 1 << 22       # a key with more pairs than this is cut
 PAIRS_PER_TASK = 1 << 22       # sizing of the join's partitions
 ROWS_PER_TASK = 1 << 22        # input rows of one side: bounds the hash table of a task
+VALUES_PER_TASK = 1 << 22      # 8-byte values of a hash table: about 150 MB in memory that cannot be spilled
 MAX_CUT = 1 << 16              # bounds the copies made of one row
 MAX_PARTITIONS = 200_000
 
@@ -130,6 +131,7 @@ def spread_join(left: DataFrame, left_key: str, left_identity: list[str],
         if spread_by:
             left = left.repartition(parts, *spread_by)
         return left.join(F.broadcast(right), on, how)
+    parts = max(parts, min(MAX_PARTITIONS, -(-shape.right_rows * len(right.columns) // VALUES_PER_TASK)))
     if shape.hot_keys == 0:
         right = right.repartition(parts, right_key).hint(shape.hint(limits))
         return left.repartition(parts, left_key).join(right, on, how)

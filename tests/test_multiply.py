@@ -187,3 +187,14 @@ def test_form_by_cost(matrix_of, tables):
     assert choose_form(matrix_of(sparse, 80))[0] == "merge"
     mixed = matrix_of(dense + sparse, 80)
     assert cells_of(mul.multiply(mixed)) == brute_product(dense + sparse, dense + sparse)
+
+
+def test_hash_tables_are_bounded_by_their_values(matrix_of, monkeypatch):
+    """Few left rows against many wide right ones: the hash table of a task follows rows times columns."""
+    from matrel.operators import joins
+
+    monkeypatch.setattr(joins, "VALUES_PER_TASK", 100)
+    right = matrix_of([(i, i % 7, 1) for i in range(1000)], 1000).entries.select(F.col("r").alias("kb"), "c", "v")
+    left = matrix_of([(0, i, 1) for i in range(0, 1000, 100)], 1000).entries.select("r", F.col("c").alias("k"))
+    got = joins.spread_join(left, "k", ["r"], right, "kb", ["c"], limits=Limits(broadcast_values=0))
+    assert got.rdd.getNumPartitions() == 30 and got.count() == 10
